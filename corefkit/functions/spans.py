@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corefkit.functions.text import _c, words
+from corefkit.functions.text import _c, let, words
+
+
+def _extract_words(w: Column, s: Column, e: Column) -> Column:
+    n = F.size(w)
+    stop = F.when(e < -1, F.greatest(F.lit(0), n + e + 1)).otherwise(e + 1)
+    return F.when((s >= 0) & (e < n), F.array_join(F.slice(w, s + 1, F.greatest(F.lit(0), stop - s)), " "))
 
 
 def extract_span(sentence, start, end) -> Column:
@@ -15,12 +21,8 @@ def extract_span(sentence, start, end) -> Column:
     returns None); ``end < start`` gives ''. A negative ``end`` follows
     Python's slice rule.
     """
-    w = words(sentence)
-    n = F.size(w)
     s, e = _c(start), _c(end)
-    stop = F.when(e < -1, F.greatest(F.lit(0), n + e + 1)).otherwise(e + 1)
-    return F.when((s >= 0) & (e < n),
-                  F.array_join(F.slice(w, s + 1, F.greatest(F.lit(0), stop - s)), " "))
+    return let(words(sentence), lambda w: _extract_words(w, s, e))
 
 
 def pair_length(sentence1, sentence2) -> Column:
@@ -28,13 +30,8 @@ def pair_length(sentence1, sentence2) -> Column:
     return F.size(words(sentence1)) + F.size(words(sentence2))
 
 
-def mark_span(sentence, start, end, on_bad_span: str = "null") -> Column:
-    """P3 put ``*`` before the start word and after the end word.
-
-    Negative indices wrap as in Python. An index outside the sentence
-    gives NULL (``on_bad_span='null'``) or fails the job (``'error'``).
-    """
-    w = words(sentence)
+def mark_words(w: Column, start, end, on_bad_span: str = "null") -> Column:
+    """P3 over an already split word array."""
     n = F.size(w)
     s, e = _c(start), _c(end)
     s_eff = F.when(s < 0, s + n).otherwise(s)
@@ -49,6 +46,18 @@ def mark_span(sentence, start, end, on_bad_span: str = "null") -> Column:
     return F.when(ok, marked)
 
 
+def mark_span(sentence, start, end, on_bad_span: str = "null") -> Column:
+    """P3 put ``*`` before the start word and after the end word.
+
+    Negative indices wrap as in Python. An index outside the sentence
+    gives NULL (``on_bad_span='null'``) or fails the job (``'error'``).
+    """
+    # Bind the words and both offsets once: the per-word lambda then reads
+    # only lambda variables, even after Catalyst inlines derived inputs.
+    bound = F.struct(words(sentence).alias("w"), _c(start).alias("s"), _c(end).alias("e"))
+    return let(bound, lambda b: mark_words(b["w"], b["s"], b["e"], on_bad_span))
+
+
 def with_triggers(df, on_bad_span: str = "null"):
     """Add ``e1_trigger``, ``e2_trigger`` and ``length`` to a pair table."""
     return df.withColumns({

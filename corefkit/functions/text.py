@@ -20,6 +20,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body``.
+
+    A one-element ``transform``: an expression used inside a lambda is
+    otherwise re-evaluated for every element, and Catalyst may inline an
+    expensive derived column into such a lambda when it pushes a filter down.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(s) -> Column:
     """S01 ``s.split()``: runs of Unicode whitespace, no empty items."""
     return F.filter(F.split(_c(s), WS + "+", -1), lambda x: x != F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corefkit.functions.text import _c
+from corefkit.functions.text import _c, let
 
 IGNORE_INDEX = -100
 
@@ -17,12 +17,19 @@ def argmax(v) -> Column:
 
 
 def softmax(v) -> Column:
-    """S15 ``exp(x - max) / sum(exp(x - max))``."""
+    """S15 ``exp(x - max) / sum(exp(x - max))``.
+
+    The max and the sum are bound once per row so the per-element lambdas
+    stay linear in the vector length.
+    """
     x = _c(v).cast("array<double>")
-    m = F.array_max(x)
-    ex = F.transform(x, lambda t: F.exp(t - m))
-    total = F.aggregate(ex, F.lit(0.0), lambda acc, t: acc + t)
-    return F.transform(ex, lambda t: t / total)
+
+    def shifted(b):
+        ex = F.transform(b["x"], lambda t: F.exp(t - b["m"]))
+        total = F.aggregate(ex, F.lit(0.0), lambda acc, u: acc + u)
+        return let(F.struct(ex.alias("ex"), total.alias("s")), lambda c: F.transform(c["ex"], lambda t: t / c["s"]))
+
+    return let(F.struct(x.alias("x"), F.array_max(x).alias("m")), shifted)
 
 
 def shifted_argmax(m) -> Column:

@@ -38,7 +38,10 @@ IM_END = "<|im_end|>"
 ASSISTANT_PROMPT = "<|im_start|>assistant\n"
 
 L = F.lit
-NL = L("\n")
+
+
+def _nl() -> Column:
+    return F.lit("\n")
 
 
 def label_text(label="label") -> Column:
@@ -56,10 +59,10 @@ def user_prompt(kind: str) -> Column:
     Expects ``marked1``/``marked2`` (P3) and the trigger columns.
     """
     m1, m2, t1, t2 = F.col("marked1"), F.col("marked2"), F.col("e1_trigger"), F.col("e2_trigger")
-    gap = [NL] if kind == "api" else []
+    gap = [_nl()] if kind == "api" else []
     parts = [L(TASK_LINE), *gap,
-             L(FIRST_SENTENCE), m1, NL, L(FIRST_WORD), t1, L("*\n"),
-             L(SECOND_SENTENCE), m2, NL, L(SECOND_WORD), t2, L("*\n"), *gap,
+             L(FIRST_SENTENCE), m1, _nl(), L(FIRST_WORD), t1, L("*\n"),
+             L(SECOND_SENTENCE), m2, _nl(), L(SECOND_WORD), t2, L("*\n"), *gap,
              *_question(t1, t2)]
     if kind == "sft":
         parts.append(L(ANSWER_SUFFIX))
@@ -140,7 +143,7 @@ def inference_prompt(messages="messages") -> Column:
 def render_chat(messages="messages") -> Column:
     """M8 ChatML: ``<|im_start|>role\\ncontent<|im_end|>\\n`` per turn."""
     return F.array_join(F.transform(_c(messages), lambda m: F.concat(
-        L(IM_START), m["role"], NL, m["content"], L(IM_END), NL)), "")
+        L(IM_START), m["role"], _nl(), m["content"], L(IM_END), _nl())), "")
 
 
 def render_inference_chat(messages="messages") -> Column:

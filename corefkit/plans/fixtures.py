@@ -32,28 +32,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _mention(w: Column, doc_id: Column) -> Column:
+    n = F.least(F.size(w), F.lit(MAX_WORDS)).cast("int")
+    t_start = ((doc_id * 7) % n).cast("int")
+    t_end = F.least(t_start + doc_id % 2, n - 1).cast("int")
+    return F.struct(
+        F.array_join(F.slice(w, 1, MAX_WORDS), " ").alias("sentence"),
+        t_start.alias("t_start"), t_end.alias("t_end"),
+        F.array_join(F.slice(w, t_start + 1, t_end - t_start + 1), " ").alias("trig"),
+    )
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mention per document: first line, at most 40 words, a 1-2 word trigger."""
+    """One mention per document: first line, at most 40 words, a 1-2 word trigger.
+
+    The words are split once per row and every mention field comes from
+    that one array inside a single expression, so a predicate Catalyst
+    pushes down to the scan does not re-split the text per field.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     # substring_index(text, '\n', 1) is split(text, '\n')[0] without building the array.
-    m = docs.select("doc_id", "source", "lang",
-                    words(F.substring_index("text", "\n", 1)).alias("w"))
-    m = m.where(F.size("w") > 0)
-    n = F.least(F.size("w"), F.lit(MAX_WORDS)).cast("int")
-    m = m.withColumn("n", n)
-    m = m.withColumn("t_start", ((F.col("doc_id") * 7) % F.col("n")).cast("int"))
-    m = m.withColumn("t_end", F.least(F.col("t_start") + F.col("doc_id") % 2, F.col("n") - 1).cast("int"))
-    return m.select(
-        "doc_id", "source", "lang",
-        F.array_join(F.slice("w", 1, MAX_WORDS), " ").alias("sentence"),
-        "t_start", "t_end",
-        F.array_join(F.slice("w", F.col("t_start") + 1, F.col("t_end") - F.col("t_start") + 1), " ").alias("trig"),
-    )
+    first = words(F.substring_index("text", "\n", 1))
+    doc_id = F.col("doc_id")
+    m = docs.select("doc_id", "source", "lang", F.element_at(F.transform(
+        F.array(first), lambda w: F.when(F.size(w) > 0, _mention(w, doc_id))), 1).alias("m"))
+    return m.where(F.col("m").isNotNull()).select("doc_id", "source", "lang", "m.*")
 
 
-def _block(doc_id: Column) -> Column:
-    # floor(doc_id / window) that is exact for any bigint, negative too.
-    return ((doc_id - F.pmod(doc_id, F.lit(PAIR_WINDOW))) / F.lit(PAIR_WINDOW)).cast("bigint")
+def _block(name: str) -> Column:
+    # floor(id / window) with integer arithmetic: exact for any bigint, negative too.
+    return F.expr(f"(`{name}` - pmod(`{name}`, {PAIR_WINDOW})) div {PAIR_WINDOW}")
 
 
 def pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +77,13 @@ def pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("doc1"), F.col("source"), F.col("lang").alias("lang1"),
         F.col("sentence").alias("sentence1"), F.col("t_start").alias("e1_trigger_start"),
         F.col("t_end").alias("e1_trigger_end"), F.col("trig").alias("e1_trigger"),
-        F.explode(F.array(_block(F.col("doc_id")), _block(F.col("doc_id")) + 1)).alias("blk"),
+        F.explode(F.array(_block("doc_id"), _block("doc_id") + 1)).alias("blk"),
     )
     b = m.select(
         F.col("doc_id").alias("doc2"), F.col("source").alias("source_b"), F.col("lang").alias("lang2"),
         F.col("sentence").alias("sentence2"), F.col("t_start").alias("e2_trigger_start"),
         F.col("t_end").alias("e2_trigger_end"), F.col("trig").alias("e2_trigger"),
-        _block(F.col("doc_id")).alias("blk_b"),
+        _block("doc_id").alias("blk_b"),
     )
     j = a.join(b, (a.source == b.source_b) & (a.blk == b.blk_b)
                & (b.doc2 > a.doc1) & (b.doc2 - a.doc1 <= PAIR_WINDOW))
