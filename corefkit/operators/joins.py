@@ -29,7 +29,12 @@ RESPONSE_COLUMNS = ("model_response", "reasoning_content")
 
 def latest_attempts(log: DataFrame, id_col: str = "pair_id", attempt: str = "attempt",
                     cols: Sequence[str] = RESPONSE_COLUMNS) -> DataFrame:
-    """The last attempt per id: ``max_by(struct, attempt)``, partial per task."""
+    """The last successful attempt per id: ``max_by(struct, attempt)``, partial per task.
+
+    Attempts with an ``error`` are skipped: a failed call leaves the row as it was.
+    """
+    if "error" in log.columns:
+        log = log.where(F.col("error").isNull())
     best = F.max_by(F.struct(*[F.col(c) for c in cols], F.col(attempt)), F.col(attempt))
     return log.groupBy(id_col).agg(best.alias("_l")).select(id_col, *[F.col(f"_l.{c}").alias(c) for c in cols])
 

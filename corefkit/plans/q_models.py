@@ -1 +1,168 @@
-"""Registered queries."""
+"""Registered queries for model calls and the end-to-end evaluation flows.
+
+Models are deterministic stubs (pure functions of their input), so the
+DuckDB oracles can restate them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corefkit.functions.parse import tagged_answer
+from corefkit.operators import classifier as C
+from corefkit.operators import encode as E
+from corefkit.operators import inference as INF
+from corefkit.operators import metrics as M
+from corefkit.operators import prompts as P
+from corefkit.plans import fixtures as fx
+from corefkit.plans.oracle_ctes import oracle
+from corefkit.plans.q_evaluation import counts_sql, report_ctes, report_long_sql, safe
+from corefkit.plans.q_prompts import (
+    _SPLIT_PM_CTE, PM_CTE, SYSTEM_SQL, _encode_sql, cat, lit_sql, turn_sql, user_prompt_sql,
+)
+from corefkit.registry import register
+from corefkit.session import shared_dir
+
+
+def _h_sql(x: str) -> str:
+    return f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
+
+
+# ---------------------------------------------------------------- INF1, E4
+
+_STUB_LOGITS = """sl AS (SELECT pair_id, split, label, s,
+        [CAST((s % 2001) - 1000 AS DOUBLE) / 1000.0, CAST((s * 7 % 2001) - 1000 AS DOUBLE) / 1000.0] logits
+    FROM (SELECT pair_id, split, label, list_sum(list_transform(input_ids, lambda x, i: CAST(x AS BIGINT) * i)) s
+          FROM enc))"""
+_PRED = "CAST(list_position(logits, list_max(logits)) - 1 AS INT)"
+
+
+def _scores(spark, sf_dir, test_only=False):
+    s = fx.splits(spark, sf_dir)
+    if test_only:
+        s = s.where(F.col("split") == "test")
+    enc = E.encode_pairs(P.encoder_text(s))
+    scored = INF.score_pairs(enc, INF.HashLogitModel, batch_size=512)
+    return scored.join(s.select("pair_id", "label"), "pair_id")
+
+
+@register("score_pairs", oracle(
+    f"""SELECT pair_id, logits, {_PRED} pred,
+        list_transform(logits, lambda t: round(exp(t - list_max(logits)) / list_sum(list_transform(logits,
+            lambda u: exp(u - list_max(logits)))), 9)) probs FROM sl""",
+    _SPLIT_PM_CTE, f"enc AS ({_encode_sql(E.MAX_LEN)})", _STUB_LOGITS), "INF1", "N8", "J4")
+def q_score_pairs(spark, sf_dir):
+    sc = _scores(spark, sf_dir)
+    return sc.select("pair_id", "logits", "pred", F.transform("probs", lambda t: F.round(t, 9)).alias("probs"))
+
+
+@register("evaluate_encoder_flow", oracle(
+    report_long_sql(),
+    _SPLIT_PM_CTE, f"enc AS ({_encode_sql(E.MAX_LEN)} WHERE split = 'test')", _STUB_LOGITS,
+    f"c AS ({counts_sql(f'(SELECT label, {_PRED} pred FROM sl)')})", *report_ctes("c")), "E4", "A8", "M5", "M6")
+def q_evaluate_encoder_flow(spark, sf_dir):
+    sc = _scores(spark, sf_dir, test_only=True)
+    return M.report_long(M.confusion(sc))
+
+
+# ---------------------------------------------------------------- INF2, E2
+
+_REASON_INFER_SQL = cat(turn_sql("system", SYSTEM_SQL), turn_sql("user", user_prompt_sql("reason")),
+                        lit_sql(P.ASSISTANT_PROMPT))
+
+
+def _gen_sql(prompt: str) -> str:
+    h = _h_sql(prompt)
+    yn = f"(CASE WHEN ({h} // 4) % 2 = 0 THEN 'Yes' ELSE 'No' END)"
+    return f"""(CASE {h} % 4
+        WHEN 0 THEN '<reasoning>' || chr(10) || CAST(length({prompt}) AS VARCHAR) || chr(10) || '</reasoning>' || chr(10)
+                    || '<answer>' || chr(10) || {yn} || chr(10) || '</answer>' || chr(10)
+        WHEN 1 THEN '<reasoning>short</reasoning> <answer>' || {yn} || '</answer>'
+        WHEN 2 THEN 'Answer: ' || {yn} END)"""
+
+
+_GEN_CTE = f"""gen AS (SELECT pair_id, label, {_gen_sql('prompt')} completion
+    FROM (SELECT pair_id, label, {_REASON_INFER_SQL} prompt FROM pm))"""
+
+
+def _generated(spark, sf_dir):
+    m = P.reason_messages(fx.pairs(spark, sf_dir))
+    prompts = m.select("pair_id", "label", P.render_inference_chat().alias("prompt"))
+    g = INF.generate_responses(prompts, INF.HashShapeGenerator, batch_size=128)
+    return g.join(prompts.select("pair_id", "label"), "pair_id")
+
+
+@register("generate_responses", oracle("SELECT pair_id, completion FROM gen", PM_CTE, _GEN_CTE), "INF2", "M9", "P11")
+def q_generate_responses(spark, sf_dir):
+    return _generated(spark, sf_dir).select("pair_id", "completion")
+
+
+_E2_COUNTS = counts_sql(
+    f"(SELECT label, CASE WHEN contains(completion, '<answer>') THEN (CASE WHEN contains(lower(split_part(completion, "
+    f"'<answer>', 2)), 'yes') THEN 1 WHEN contains(lower(split_part(completion, '<answer>', 2)), 'no') THEN 0 END) END "
+    f"pred FROM gen)",
+    extra=", count(*) FILTER (WHERE pred IS NULL) invalid_count, count(*) total_samples")
+
+
+@register("evaluate_reasoning_flow", oracle(
+    f"""SELECT tn, fp, fn, tp, invalid_count, total_samples, {safe('invalid_count', 'total_samples')} invalid_rate,
+        precision1 AS precision, recall1 AS recall, f1_1 f1_score, accuracy FROM rc2""",
+    PM_CTE, _GEN_CTE, f"c AS ({_E2_COUNTS})", *report_ctes("c")), "E2", "A11", "N4", "M3")
+def q_evaluate_reasoning_flow(spark, sf_dir):
+    g = _generated(spark, sf_dir).withColumn("pred", tagged_answer(F.col("completion")))
+    r = M.evaluate_with_invalid(g)
+    return r.select("tn", "fp", "fn", "tp", "invalid_count", "total_samples", "invalid_rate",
+                    F.col("precision1").alias("precision"), F.col("recall1").alias("recall"),
+                    F.col("f1_1").alias("f1_score"), "accuracy")
+
+
+# ---------------------------------------------------------------- INF3, IO13
+
+_API_CONTENT = user_prompt_sql("api")
+
+
+def _collect_sql(fail_once: bool = False) -> str:
+    h = _h_sql("content")
+    fails = f"{h} % 11 = 0" if not fail_once else "FALSE"
+    return f"""SELECT CAST(pair_id AS VARCHAR) pair_id, label,
+            CASE WHEN {fails} THEN NULL WHEN ({h} // 16) % 2 = 0 THEN 'Yes' ELSE 'No' END model_response,
+            CASE WHEN {fails} THEN NULL ELSE 'thought ' || CAST({h} % 1000 AS VARCHAR) END reasoning_content
+        FROM (SELECT pair_id, label, {_API_CONTENT} content FROM pm)"""
+
+
+@register("collect_responses", oracle(_collect_sql(), PM_CTE), "INF3", "IO13", "P5", "J3", "M4")
+def q_collect_responses(spark, sf_dir):
+    store = shared_dir(spark, "responses", unique=True)
+    p = fx.pairs(spark, sf_dir)
+    merged = INF.collect_responses(p, lambda: INF.HashStubClient(fail_mod=11), store, concurrency=50)
+    return merged.select("pair_id", "label", "model_response", "reasoning_content")
+
+
+@register("collect_resume", None, "INF3", "IO13", "A13")
+def q_collect_resume(spark, sf_dir):
+    """Two runs with a client that fails some rows once: the second run calls only those rows.
+
+    Returns the attempt log joined with the final table (rows-only check;
+    the equivalence with one clean run is asserted in the tests).
+    """
+    store = shared_dir(spark, "responses_resume", unique=True)
+    p = fx.pairs(spark, sf_dir)
+
+    def factory():
+        return INF.HashStubClient(fail_mod=11, fail_once=True)
+
+    factory.cache_key = "HashStubClient-fail-once"
+    INF.collect_responses(p, factory, store, concurrency=50)
+    merged = INF.collect_responses(p, factory, store, concurrency=50)
+    from corefkit.sources.response_store import read_log
+    return INF.summary(merged, read_log(spark, store))
+
+
+# ---------------------------------------------------------------- INF4
+
+@register("fit_pair_classifier", None, "INF4")
+def q_fit_pair_classifier(spark, sf_dir):
+    s = fx.splits(spark, sf_dir)
+    model = C.fit(s.where(F.col("split") == "train"), s.where(F.col("split") == "dev"))
+    pred = C.predict(model, s.where(F.col("split") == "test"))
+    return pred.select("pair_id", "label", "pred", "prob1")
