@@ -10,7 +10,9 @@ from corefkit.plans import fixtures as fx
 from corefkit.plans.oracle_ctes import oracle
 from corefkit.plans.oracle_ctes import strip as d_strip
 from corefkit.plans.oracle_ctes import words as d_words
+from corefkit.operators import sampling as S
 from corefkit.plans.q_evaluation import counts_sql, report_ctes
+from corefkit.plans.q_sampling import N_NEGATIVE, N_UNIQUE, SEED, T5_RESULT, t5_ctes
 from corefkit.registry import register
 from corefkit.session import shared_dir
 from corefkit.sources import documents as D
@@ -250,3 +252,20 @@ def q_collection_summary(spark, sf_dir):
         F.count_if(~is_row).alias("attempts"),
     )
 
+
+
+# ---------------------------------------------------------------- E1
+
+_TYPED_ALL_COLS = [c for c in RP.RAW_FIELDS] + ["e1_trigger", "e2_trigger", "length"]
+_TYPED_ALL = (_TYPED.replace("TRY_CAST(e1_time_start AS INT) e1_time_start,",
+                             ", ".join(f"TRY_CAST({c} AS INT) {c}" for c in RP.OPTIONAL_INT) + ","))
+
+
+@register("preprocess_flow", oracle(T5_RESULT, *_raw_ctes(), f"typed AS ({_TYPED_ALL})",
+                                    *t5_ctes(_TYPED_ALL_COLS, "typed")), "E1", "T4", "T5", "IO1", "IO3")
+def q_preprocess_flow(spark, sf_dir):
+    """E1 raw lines -> typed pairs with triggers -> balanced set -> diversity sample."""
+    raw = RP.read_raw_pairs(spark, _write_raw(spark, sf_dir))
+    typed = RP.cast_pairs(raw, "strict").select("pair_id", *_TYPED_ALL_COLS)
+    bal = S.balanced(typed, N_NEGATIVE, SEED).drop("shuffle_key")
+    return S.unique_sample(bal, N_UNIQUE, SEED).select("pair_id", "label", "shuffle_key")

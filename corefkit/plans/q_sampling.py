@@ -59,8 +59,12 @@ def q_shuffle_keyed(spark, sf_dir):
     return S.shuffle_keyed(fx.pairs(spark, sf_dir), SEED).select("pair_id", "shuffle_key")
 
 
-_BAL = f"""bal AS (SELECT * FROM pairs WHERE label = 1
-    UNION ALL (SELECT * FROM pairs WHERE label = 0 ORDER BY {rk()}, pair_id LIMIT {N_NEGATIVE}))"""
+def bal_cte(src: str = "pairs") -> str:
+    return f"""bal AS (SELECT * FROM {src} WHERE label = 1
+    UNION ALL (SELECT * FROM {src} WHERE label = 0 ORDER BY {rk()}, pair_id LIMIT {N_NEGATIVE}))"""
+
+
+_BAL = bal_cte()
 
 
 @register("balanced_dataset", oracle(f"SELECT pair_id, label, {rk('shuffle')} shuffle_key FROM bal", _BAL), "T4")
@@ -69,21 +73,30 @@ def q_balanced_dataset(spark, sf_dir):
 
 
 _DATA = ", ".join(DATA_COLS)
-_T5 = [
-    _BAL,
-    f"""f1 AS (SELECT min_by(pair_id, row({rk('shuffle')}, pair_id)) pair_id FROM bal GROUP BY sentence1)""",
-    f"""f2 AS (SELECT min_by(pair_id, row({rk('shuffle')}, pair_id)) pair_id FROM bal GROUP BY sentence2)""",
-    f"""u1 AS (SELECT b.* FROM bal b JOIN f1 USING (pair_id) ORDER BY {rk('s1')}, pair_id LIMIT {N_UNIQUE})""",
-    f"""u2 AS (SELECT b.* FROM bal b JOIN f2 USING (pair_id) ORDER BY {rk('s2')}, pair_id LIMIT {N_UNIQUE})""",
-    f"""comb AS (SELECT min(pair_id) pair_id FROM (SELECT * FROM u1 UNION ALL SELECT * FROM u2) GROUP BY {_DATA})""",
-    """rem AS (SELECT pair_id FROM bal WHERE label = 1 AND pair_id NOT IN (SELECT pair_id FROM comb))""",
-    f"""cand AS (SELECT pair_id, 0 p, {rk('final')} k FROM comb UNION ALL SELECT pair_id, 1 p, {rk('topup')} k FROM rem)""",
-    f"""pick AS (SELECT pair_id FROM cand ORDER BY p, k, pair_id LIMIT {N_UNIQUE})""",
-]
-
-
-@register("unique_sample", oracle(
-    f"SELECT pair_id, label, {rk('shuffle')} shuffle_key FROM pick JOIN bal USING (pair_id)", *_T5), "T5", "U1", "U2", "J1")
+
+
+def t5_ctes(data_cols, src: str = "pairs") -> list[str]:
+    """T5 over ``src``: balanced set, first rows per sentence, two samples, union, top-up."""
+    data = ", ".join(data_cols)
+    return [
+        bal_cte(src),
+        f"""f1 AS (SELECT min_by(pair_id, row({rk('shuffle')}, pair_id)) pair_id FROM bal GROUP BY sentence1)""",
+        f"""f2 AS (SELECT min_by(pair_id, row({rk('shuffle')}, pair_id)) pair_id FROM bal GROUP BY sentence2)""",
+        f"""u1 AS (SELECT b.* FROM bal b JOIN f1 USING (pair_id) ORDER BY {rk('s1')}, pair_id LIMIT {N_UNIQUE})""",
+        f"""u2 AS (SELECT b.* FROM bal b JOIN f2 USING (pair_id) ORDER BY {rk('s2')}, pair_id LIMIT {N_UNIQUE})""",
+        f"""comb AS (SELECT min(pair_id) pair_id FROM (SELECT * FROM u1 UNION ALL SELECT * FROM u2) GROUP BY {data})""",
+        """rem AS (SELECT pair_id FROM bal WHERE label = 1 AND pair_id NOT IN (SELECT pair_id FROM comb))""",
+        f"""cand AS (SELECT pair_id, 0 p, {rk('final')} k FROM comb UNION ALL
+                     SELECT pair_id, 1 p, {rk('topup')} k FROM rem)""",
+        f"""pick AS (SELECT pair_id FROM cand ORDER BY p, k, pair_id LIMIT {N_UNIQUE})""",
+    ]
+
+
+_T5 = t5_ctes(DATA_COLS)
+T5_RESULT = f"SELECT pair_id, label, {rk('shuffle')} shuffle_key FROM pick JOIN bal USING (pair_id)"
+
+
+@register("unique_sample", oracle(T5_RESULT, *_T5), "T5", "U1", "U2", "J1")
 def q_unique_sample(spark, sf_dir):
     bal = S.balanced(fx.pairs(spark, sf_dir), N_NEGATIVE, SEED).drop("shuffle_key")
     return S.unique_sample(bal, N_UNIQUE, SEED).select("pair_id", "label", "shuffle_key")
