@@ -21,8 +21,8 @@ def extract_span(sentence, start, end) -> Column:
     returns None); ``end < start`` gives ''. A negative ``end`` follows
     Python's slice rule.
     """
-    s, e = _c(start), _c(end)
-    return let(words(sentence), lambda w: _extract_words(w, s, e))
+    bound = F.struct(words(sentence).alias("w"), _c(start).alias("s"), _c(end).alias("e"))
+    return let(bound, lambda b: _extract_words(b["w"], b["s"], b["e"]))
 
 
 def pair_length(sentence1, sentence2) -> Column:
@@ -30,20 +30,34 @@ def pair_length(sentence1, sentence2) -> Column:
     return F.size(words(sentence1)) + F.size(words(sentence2))
 
 
+def _edit_at(w: Column, k: Column, prefix: str, suffix: str) -> Column:
+    """``w`` with element ``k`` (0-based) wrapped in prefix/suffix.
+
+    ``k`` is clamped into range so an invalid span never makes ``slice``
+    fail; callers discard the result for invalid spans.
+    """
+    n = F.size(w)
+    k = F.greatest(F.least(k, n - 1), F.lit(0))
+    item = F.concat(F.lit(prefix), F.try_element_at(w, k + 1), F.lit(suffix))
+    return F.concat(F.slice(w, 1, k), F.array(item), F.slice(w, k + 2, F.greatest(n - k - 1, F.lit(0))))
+
+
 def mark_words(w: Column, start, end, on_bad_span: str = "null") -> Column:
-    """P3 over an already split word array."""
+    """P3 over an already split word array (slices and concat, no per-word lambda).
+
+    The start word gets its ``*`` first and the end word second, like the
+    reference's two assignments, so ``start == end`` gives ``*word*``.
+    """
     n = F.size(w)
     s, e = _c(start), _c(end)
     s_eff = F.when(s < 0, s + n).otherwise(s)
     e_eff = F.when(e < 0, e + n).otherwise(e)
     ok = (s_eff >= 0) & (s_eff < n) & (e_eff >= 0) & (e_eff < n)
-    marked = F.array_join(
-        F.transform(w, lambda x, k: F.concat(F.when(k == s_eff, "*").otherwise(""), x,
-                                              F.when(k == e_eff, "*").otherwise(""))),
-        " ")
+    first = F.struct(_edit_at(w, s_eff, "*", "").alias("w1"), e_eff.alias("e"), ok.alias("ok"))
+    marked = let(first, lambda c: F.when(c["ok"], F.array_join(_edit_at(c["w1"], c["e"], "", "*"), " ")))
     if on_bad_span == "error":
-        return F.when(ok, marked).otherwise(F.raise_error(F.lit("trigger span outside the sentence")))
-    return F.when(ok, marked)
+        return F.coalesce(marked, F.raise_error(F.lit("trigger span outside the sentence")))
+    return marked
 
 
 def mark_span(sentence, start, end, on_bad_span: str = "null") -> Column:
@@ -51,9 +65,9 @@ def mark_span(sentence, start, end, on_bad_span: str = "null") -> Column:
 
     Negative indices wrap as in Python. An index outside the sentence
     gives NULL (``on_bad_span='null'``) or fails the job (``'error'``).
+    The words and both offsets are bound once per row (``let``), so
+    inlined inputs are never re-evaluated.
     """
-    # Bind the words and both offsets once: the per-word lambda then reads
-    # only lambda variables, even after Catalyst inlines derived inputs.
     bound = F.struct(words(sentence).alias("w"), _c(start).alias("s"), _c(end).alias("e"))
     return let(bound, lambda b: mark_words(b["w"], b["s"], b["e"], on_bad_span))
 
