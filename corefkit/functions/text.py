@@ -107,3 +107,8 @@ def eps_div(a, b, eps: float = 1e-10) -> Column:
 def hash_int(s) -> Column:
     """First 32 bits of md5 as a non-negative bigint (stable across engines)."""
     return F.conv(F.substring(F.md5(_c(s).cast("string")), 1, 8), 16, 10).cast("bigint")
+
+
+def timestamp_text(fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """S18 the run time as text (``%Y-%m-%d %H:%M:%S``); not deterministic."""
+    return F.date_format(F.current_timestamp(), fmt)

@@ -90,7 +90,7 @@ def q_confusion_by_group(spark, sf_dir):
         CASE WHEN tp + tn + fp + fn = 0 THEN NULL ELSE CAST(tp + tn AS DOUBLE) / CAST(tp + tn + fp + fn AS DOUBLE) END AS accuracy
     FROM (SELECT *, CAST(tp AS DOUBLE) / (CAST(tp + fp AS DOUBLE) + 1e-10) AS precision,
                  CAST(tp AS DOUBLE) / (CAST(tp + fn AS DOUBLE) + 1e-10) AS recall
-          FROM (""" + counts_sql("preds") + "))"), "A6")
+          FROM (""" + counts_sql("preds") + "))"), "A6", "S20")
 def q_binary_metrics_eps(spark, sf_dir):
     return M.binary_eps(M.confusion(fx.preds(spark, sf_dir)))
 
@@ -132,7 +132,7 @@ def q_multiclass_macro(spark, sf_dir):
 # ---------------------------------------------------------------- A8 / A14
 
 @register("classification_report", oracle(
-    report_long_sql(), f"c AS ({counts_sql('preds')})", *report_ctes("c")), "A8", "A14")
+    report_long_sql(), f"c AS ({counts_sql('preds')})", *report_ctes("c")), "A8", "A14", "S20")
 def q_classification_report(spark, sf_dir):
     return M.report_long(M.confusion(fx.preds(spark, sf_dir)))
 

@@ -10,6 +10,7 @@ from corefkit.plans import fixtures as fx
 from corefkit.plans.oracle_ctes import oracle
 from corefkit.plans.oracle_ctes import strip as d_strip
 from corefkit.plans.oracle_ctes import words as d_words
+from corefkit.functions.text import timestamp_text
 from corefkit.operators import sampling as S
 from corefkit.plans.q_evaluation import counts_sql, report_ctes
 from corefkit.plans.q_sampling import N_NEGATIVE, N_UNIQUE, SEED, T5_RESULT, t5_ctes
@@ -144,6 +145,7 @@ def metrics_documents(spark, sf_dir):
         F.struct(F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"),
                  F.col("tn").alias("true_negatives"), F.col("fn").alias("false_negatives"),
                  "invalid_count", "invalid_rate", "total_samples").alias("additional_metrics"),
+        timestamp_text().alias("timestamp"),
         F.col("source").alias("tag"),
     )
 
@@ -174,7 +176,7 @@ def _flatten_doc(d):
     )
 
 
-@register("metrics_json_round_trip", oracle(_DOC_SQL, *_DOC_CTES), "IO8", "A8")
+@register("metrics_json_round_trip", oracle(_DOC_SQL, *_DOC_CTES), "IO8", "A8", "S18")
 def q_metrics_json_round_trip(spark, sf_dir):
     path = shared_dir(spark, "metrics", unique=True)
     D.write_metrics(metrics_documents(spark, sf_dir), path)

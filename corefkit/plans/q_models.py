@@ -138,13 +138,20 @@ def q_collect_responses(spark, sf_dir):
     return merged.select("pair_id", "label", "model_response", "reasoning_content")
 
 
-@register("collect_resume", None, "INF3", "IO13", "A13")
+_RESUME_SQL = f"""SELECT count(*) total_rows, count(*) successful, count(*) FILTER (WHERE h % 11 = 0) failed_attempts,
+        count(*) + count(*) FILTER (WHERE h % 11 = 0) attempts
+    FROM (SELECT {_h_sql('content')} h FROM (SELECT {_API_CONTENT} content FROM pm))"""
+
+
+@register("collect_resume", oracle(_RESUME_SQL, PM_CTE), "INF3", "IO13", "A13")
 def q_collect_resume(spark, sf_dir):
     """Two runs with a client that fails some rows once: the second run calls only those rows.
 
-    Returns the attempt log joined with the final table (rows-only check;
-    the equivalence with one clean run is asserted in the tests).
+    Returns the collection summary (A13): all rows succeed in the end, and
+    the attempts are the rows plus exactly the rows that failed once.
     """
+    from corefkit.sources.response_store import read_log
+
     store = shared_dir(spark, "responses_resume", unique=True)
     p = fx.pairs(spark, sf_dir)
 
@@ -154,7 +161,6 @@ def q_collect_resume(spark, sf_dir):
     factory.cache_key = "HashStubClient-fail-once"
     INF.collect_responses(p, factory, store, concurrency=50)
     merged = INF.collect_responses(p, factory, store, concurrency=50)
-    from corefkit.sources.response_store import read_log
     return INF.summary(merged, read_log(spark, store))
 
 
@@ -166,3 +172,20 @@ def q_fit_pair_classifier(spark, sf_dir):
     model = C.fit(s.where(F.col("split") == "train"), s.where(F.col("split") == "dev"))
     pred = C.predict(model, s.where(F.col("split") == "test"))
     return pred.select("pair_id", "label", "pred", "prob1")
+
+
+# ---------------------------------------------------------------- §2.14 streaming form
+
+@register("collect_stream", oracle(_collect_sql(), PM_CTE), "INF3", "IO13", "§2.14")
+def q_collect_stream(spark, sf_dir):
+    """The collection as a stream over a pair directory (availableNow), then merged."""
+    from corefkit.streaming.collect_stream import collect_stream, collected_table
+
+    base = shared_dir(spark, "stream", unique=True)
+    p = fx.pairs(spark, sf_dir)
+    p.write.mode("overwrite").parquet(f"{base}/pairs")
+    collect_stream(spark, f"{base}/pairs", p.schema, lambda: INF.HashStubClient(fail_mod=11),
+                   f"{base}/responses", f"{base}/checkpoint")
+    pairs = spark.read.parquet(f"{base}/pairs").select(F.col("pair_id").cast("string").alias("pair_id"), "label")
+    return collected_table(spark, pairs, f"{base}/responses").select(
+        "pair_id", "label", "model_response", "reasoning_content")
