@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from corefkit.functions.text import _c, hash_int, words
+from corefkit.functions.text import _c, hash_int, let, words
 
 PAD_ID, CLS_ID, SEP_ID = 0, 1, 2
 N_SPECIAL = 3
@@ -53,9 +53,26 @@ def encode_ids(ids_a: Column, ids_b: Column, max_len: int = MAX_LEN) -> tuple[Co
 
 def encode_pairs(df: DataFrame, text_a: str = "text_a", text_b: str = "text_b", label: str = "label",
                  max_len: int = MAX_LEN) -> DataFrame:
-    """M6 encode every pair (M7: run once over a table carrying a ``split`` column)."""
-    ids, mask = encode_ids(token_ids(F.col(text_a)), token_ids(F.col(text_b)), max_len)
-    return df.withColumns({"input_ids": ids, "attention_mask": mask, "label": F.col(label).cast("int")})
+    """M6 encode every pair (M7: run once over a table carrying a ``split`` column).
+
+    Both id arrays are bound once per row (``let``): the budget, the slices
+    and the padding all read them, and re-deriving them would re-hash every
+    word several times.
+    """
+    enc = encode_struct(token_ids(F.col(text_a)), token_ids(F.col(text_b)), max_len)
+    return (df.withColumn("_enc", enc)
+            .withColumns({"input_ids": F.col("_enc.input_ids"), "attention_mask": F.col("_enc.attention_mask"),
+                          "label": F.col(label).cast("int")})
+            .drop("_enc"))
+
+
+def encode_struct(ids_a: Column, ids_b: Column, max_len: int = MAX_LEN) -> Column:
+    """``struct(input_ids, attention_mask)`` with both inputs evaluated once."""
+    def body(t):
+        ids, mask = encode_ids(t["a"], t["b"], max_len)
+        return F.struct(ids.alias("input_ids"), mask.alias("attention_mask"))
+
+    return let(F.struct(ids_a.alias("a"), ids_b.alias("b")), body)
 
 
 def encode_with(df: DataFrame, tokenize: Callable, text_a: str = "text_a", text_b: str = "text_b",
@@ -72,8 +89,9 @@ def encode_with(df: DataFrame, tokenize: Callable, text_a: str = "text_a", text_
     def _tok(s: pd.Series) -> pd.Series:
         return tokenize(s)
 
-    ids, mask = encode_ids(_tok(F.col(text_a)), _tok(F.col(text_b)), max_len)
-    return df.withColumns({"input_ids": ids, "attention_mask": mask})
+    enc = encode_struct(_tok(F.col(text_a)), _tok(F.col(text_b)), max_len)
+    return df.withColumn("_enc", enc).withColumns(
+        {"input_ids": F.col("_enc.input_ids"), "attention_mask": F.col("_enc.attention_mask")}).drop("_enc")
 
 
 def within_budget(text, max_tokens: int) -> Column:
@@ -84,3 +102,11 @@ def within_budget(text, max_tokens: int) -> Column:
 def truncate_tokens(text, max_tokens: int) -> Column:
     """M13 the text cut to its first ``max_tokens`` words (joined by one blank)."""
     return F.array_join(F.slice(words(_c(text)), 1, max_tokens), " ")
+
+
+def budget(text, max_tokens: int, keep: int | None = None) -> Column:
+    """M13 in one pass: ``struct(n_tokens, fits, head)`` with the text split once."""
+    k = max_tokens if keep is None else keep
+    return let(words(_c(text)), lambda w: F.struct(
+        F.size(w).alias("n_tokens"), (F.size(w) <= max_tokens).alias("fits"),
+        F.array_join(F.slice(w, 1, k), " ").alias("head")))

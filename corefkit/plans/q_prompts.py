@@ -164,9 +164,9 @@ def q_completion_split(spark, sf_dir):
         FROM (SELECT pair_id, {_INFER_TEXT_SQL} text FROM pm)""", PM_CTE), "M13")
 def q_length_budget(spark, sf_dir):
     m = P.sft_messages(fx.pairs(spark, sf_dir)).select("pair_id", P.render_inference_chat().alias("text"))
-    return m.select("pair_id", F.size(E.words("text")).alias("n_tokens"),
-                    E.within_budget("text", 256).alias("prompt_fits"),
-                    E.truncate_tokens("text", 64).alias("head_64"))
+    return m.select("pair_id", E.budget("text", 256, 64).alias("b")).select(
+        "pair_id", F.col("b.n_tokens").alias("n_tokens"), F.col("b.fits").alias("prompt_fits"),
+        F.col("b.head").alias("head_64"))
 
 
 # ---------------------------------------------------------------- M10, M11, IO11, IO12

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corefkit.functions import parse as N
 from corefkit.functions import rewards as R
 from corefkit.functions.spans import extract_span, mark_span, pair_length
-from corefkit.functions.text import hash_int, strip, words
+from corefkit.functions.text import hash_int, let, strip, words
 from corefkit.functions.vectors import IGNORE_INDEX, argmax, drop_ignored, shifted_argmax, softmax
 from corefkit.operators.prompts import label_text
 from corefkit.plans import fixtures as fx
@@ -141,10 +141,14 @@ def q_parse_after_think(spark, sf_dir):
 def _token_rows(spark, sf_dir):
     """Completion words with ids; the first half is masked with -100 (prompt part)."""
     r = fx.responses(spark, sf_dir).where(F.col("completion").isNotNull())
-    r = r.select("pair_id", words("completion").alias("tokens"))
-    ids = F.transform("tokens", lambda t, i: F.when(i < F.floor(F.size("tokens") / 2), F.lit(IGNORE_INDEX))
-                      .otherwise((hash_int(t) % 30000).cast("int")))
-    return r.withColumn("ids", ids)
+    def tag(tokens):
+        half = F.floor(F.size(tokens) / 2)
+        ids = F.transform(tokens, lambda t, i: F.when(i < half, F.lit(IGNORE_INDEX))
+                          .otherwise((hash_int(t) % 30000).cast("int")))
+        return F.struct(tokens.alias("tokens"), ids.alias("ids"))
+
+    # words are split once per row and shared by both arrays
+    return r.select("pair_id", let(words("completion"), tag).alias("t")).select("pair_id", "t.tokens", "t.ids")
 
 
 _TOKEN_CTE = f"""tk AS (SELECT pair_id, tokens, list_transform(tokens, lambda t, i: CASE WHEN i - 1 < floor(len(tokens) / 2)
