@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 # Above this many rows, an exact sample is cut by a hash histogram instead of
-# a top-k (which merges n rows per task in a single task).
-TOPK_MAX_ROWS = 100_000
+# a top-k: a top-k sends every task's local top n to one merging task
+# (partitions x n rows), the histogram never gathers n rows anywhere.
+TOPK_MAX_ROWS = 20_000
 HIST_BUCKETS_HEX = 4  # 16^4 = 65,536 histogram buckets
 POSITION_BUCKET = 1 << 16
 
