@@ -65,7 +65,10 @@ def _sample_by_histogram(df: DataFrame, n: int | Column, key: Column, id_col: st
     # At most 65,536 rows: a single ordered window is bounded.
     cum = hist.withColumn("_cum", F.sum("_c").over(Window.orderBy("_b")))
     edge = cum.where((F.col("_cum") >= n_col) & (F.col("_cum") - F.col("_c") < n_col))
-    cut_bucket = F.coalesce(edge.select(F.min("_b")).scalar(), F.lit(1 << (4 * HIST_BUCKETS_HEX)))
+    # No boundary bucket: keep everything when the population is smaller than
+    # n, nothing when n <= 0.
+    cut_bucket = F.when(n_col <= 0, F.lit(-1)).otherwise(
+        F.coalesce(edge.select(F.min("_b")).scalar(), F.lit(1 << (4 * HIST_BUCKETS_HEX))))
     need = edge.select(F.min(n_col - (F.col("_cum") - F.col("_c")))).scalar()
     below = keyed.where(F.col("_b") < cut_bucket)
     at = keyed.where(F.col("_b") == cut_bucket)
@@ -125,9 +128,17 @@ def unique_sample(df: DataFrame, n: int, seed: int = 42, label: str = "label",
     u2 = sample_n(first_per_key(df, "sentence2", seed, "shuffle", id_col), n, seed, "s2", id_col)
     combined = distinct_rows(u1.unionByName(u2), data_cols, id_col)
     remaining = df.where(F.col(label) == 1).join(combined.select(id_col), id_col, "left_anti")
-    cand = (combined.withColumns({"_p": F.lit(0), "_rk": rank_key(id_col, seed, "final")})
-            .unionByName(remaining.withColumns({"_p": F.lit(1), "_rk": rank_key(id_col, seed, "topup")})))
-    picked = cand.orderBy("_p", "_rk", id_col).limit(n).drop("_p", "_rk")
+    if n <= TOPK_MAX_ROWS:
+        cand = (combined.withColumns({"_p": F.lit(0), "_rk": rank_key(id_col, seed, "final")})
+                .unionByName(remaining.withColumns({"_p": F.lit(1), "_rk": rank_key(id_col, seed, "topup")})))
+        picked = cand.orderBy("_p", "_rk", id_col).limit(n).drop("_p", "_rk")
+    else:
+        # Same rows without a single-task merge: n of the union, then the
+        # top-up size as a scalar subquery.
+        first = _sample_by_histogram(combined, n, rank_key(id_col, seed, "final"), id_col)
+        short = F.greatest(F.lit(n) - combined.select(F.count(F.lit(1))).scalar(), F.lit(0))
+        topup = _sample_by_histogram(remaining, short, rank_key(id_col, seed, "topup"), id_col)
+        picked = first.unionByName(topup)
     return shuffle_keyed(picked, seed, id_col)
 
 

@@ -19,7 +19,7 @@ def test_sample_is_partition_independent(spark):
 
 def test_histogram_equals_topk(spark):
     base = spark.range(0, 20000).withColumnRenamed("id", "pair_id")
-    for n in (1, 777, 19999, 20000, 25000):
+    for n in (0, 1, 777, 19999, 20000, 25000):
         a = _ids(S.sample_n(base, n, 7, method="topk"))
         b = _ids(S.sample_n(base, n, 7, method="histogram"))
         assert a == b
@@ -59,3 +59,14 @@ def test_unique_sample_rules(spark):
     assert big.count() <= 150
     firsts = S.first_per_key(df, "sentence1", 42)
     assert firsts.count() == 40
+
+
+def test_unique_sample_large_n_path_equals_topk_path(spark, monkeypatch):
+    rows = [(i, f"s{i % 70}", f"t{i % 90}", int(i % 4 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "pair_id long, sentence1 string, sentence2 string, label int")
+    for n in (50, 120):
+        a = _ids(S.unique_sample(df, n, 42))
+        monkeypatch.setattr(S, "TOPK_MAX_ROWS", 10)
+        b = _ids(S.unique_sample(df, n, 42))
+        monkeypatch.setattr(S, "TOPK_MAX_ROWS", 20_000)
+        assert a == b and len(a) == len(set(a))
