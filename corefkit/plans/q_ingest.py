@@ -269,5 +269,12 @@ def q_preprocess_flow(spark, sf_dir):
     """E1 raw lines -> typed pairs with triggers -> balanced set -> diversity sample."""
     raw = RP.read_raw_pairs(spark, _write_raw(spark, sf_dir))
     typed = RP.cast_pairs(raw, "strict").select("pair_id", *_TYPED_ALL_COLS)
-    bal = S.balanced(typed, N_NEGATIVE, SEED).drop("shuffle_key")
-    return S.unique_sample(bal, N_UNIQUE, SEED).select("pair_id", "label", "shuffle_key")
+    # Each stage is written to the shared folder and read back (the
+    # reference saves each stage too): the diversity sample reads its input
+    # four times, and a Parquet scan is cheaper than re-parsing raw text.
+    base = shared_dir(spark, "preprocess", unique=True)
+    typed.write.mode("overwrite").parquet(f"{base}/pairs")
+    bal = S.balanced(spark.read.parquet(f"{base}/pairs"), N_NEGATIVE, SEED).drop("shuffle_key")
+    bal.write.mode("overwrite").parquet(f"{base}/balanced")
+    return S.unique_sample(spark.read.parquet(f"{base}/balanced"), N_UNIQUE, SEED).select(
+        "pair_id", "label", "shuffle_key")
