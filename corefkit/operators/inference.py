@@ -80,13 +80,11 @@ class HashLogitModel:
     cache_key = "HashLogitModel"
 
     def __call__(self, batch: pd.DataFrame) -> np.ndarray:
-        out = np.empty((len(batch), 2))
-        for r, ids in enumerate(batch["input_ids"]):
-            a = np.asarray(ids, dtype=np.int64)
-            s = int(np.dot(a, np.arange(1, len(a) + 1, dtype=np.int64)))
-            out[r, 0] = ((s % 2001) - 1000) / 1000.0
-            out[r, 1] = ((s * 7 % 2001) - 1000) / 1000.0
-        return out
+        if len(batch) == 0:
+            return np.empty((0, 2))
+        ids = np.stack(batch["input_ids"].to_numpy()).astype(np.int64)   # one matrix per batch
+        s = ids @ np.arange(1, ids.shape[1] + 1, dtype=np.int64)
+        return np.column_stack((((s % 2001) - 1000) / 1000.0, ((s * 7 % 2001) - 1000) / 1000.0))
 
 
 # ---------------------------------------------------------------- INF2
