@@ -85,6 +85,14 @@ def pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("t_end").alias("e2_trigger_end"), F.col("trig").alias("e2_trigger"),
         _block("doc_id").alias("blk_b"),
     )
+    # Hash-partition both sides on the join key with an explicit count:
+    # the per-pair work downstream (marking, prompts, hashing) then runs in
+    # that many tasks even when the source is one file, and a sort-merge
+    # join needs exactly this distribution anyway. An explicit count is not
+    # coalesced away by AQE; only mentions (not pairs) move.
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = a.repartition(n_parts, "source", "blk")
+    b = b.repartition(n_parts, "source_b", "blk_b")
     j = a.join(b, (a.source == b.source_b) & (a.blk == b.blk_b)
                & (b.doc2 > a.doc1) & (b.doc2 - a.doc1 <= PAIR_WINDOW))
     same_initial = F.substring(F.lower("e1_trigger"), 1, 1) == F.substring(F.lower("e2_trigger"), 1, 1)
