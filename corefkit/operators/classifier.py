@@ -49,13 +49,15 @@ def pipeline(reg_param: float) -> Pipeline:
     tf_b = HashingTF(inputCol="tok_b", outputCol="tf_b", numFeatures=N_FEATURES)
     vec = VectorAssembler(inputCols=["tf_a", "tf_b", "f_same_trigger", "f_trigger_overlap", "f_jaccard",
                                      "f_same_initial"], outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=20, regParam=reg_param)
+    lr = LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=10, regParam=reg_param)
     return Pipeline(stages=[tok_a, tok_b, tf_a, tf_b, vec, lr])
 
 
 def fit(train: DataFrame, dev: DataFrame, reg_params: Sequence[float] = (0.01, 0.1)) -> PipelineModel:
     """Fit one model per ``reg_param``; keep the best class-1 F1 on ``dev``."""
-    tr, dv = features(train).cache(), features(dev)
+    # Both feature tables are read once per setting and once per optimizer
+    # iteration: cache them for the duration of the search.
+    tr, dv = features(train).cache(), features(dev).cache()
     best, best_f1 = None, -1.0
     try:
         for rp in reg_params:
@@ -66,6 +68,7 @@ def fit(train: DataFrame, dev: DataFrame, reg_params: Sequence[float] = (0.01, 0
                 best, best_f1 = model, f1
     finally:
         tr.unpersist()
+        dv.unpersist()
     return best
 
 
