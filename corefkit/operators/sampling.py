@@ -154,24 +154,38 @@ def oversample_positives(df: DataFrame, k: int, label: str = "label") -> DataFra
     return df.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.when(F.col(label) == 1, k).otherwise(1))))
 
 
-def _position_bucket(name: str, is_integral: bool) -> Column:
-    # Monotone in the key: integer division (exact for any bigint), or a prefix.
-    if is_integral:
-        return F.expr(f"`{name}` div {POSITION_BUCKET}")
-    return F.substring(F.col(name).cast("string"), 1, HIST_BUCKETS_HEX)
+def _keyed_buckets(df: DataFrame, order_col: str, by: Sequence[str]) -> DataFrame:
+    """Add ``_pb``: an order-preserving bucket of about ``POSITION_BUCKET`` rows.
+
+    Integral keys: the bucket width comes from each shard's key range and
+    row count (a small per-shard aggregate), so sparse ids do not make one
+    bucket per row. String keys (hash ids): a 4-character prefix.
+    """
+    if not isinstance(df.schema[order_col].dataType, IntegralType):
+        return df.withColumn("_pb", F.substring(F.col(order_col).cast("string"), 1, HIST_BUCKETS_HEX))
+    key = F.col(order_col).cast("decimal(38,0)")
+    stats_aggs = [F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n")]
+    n_buckets = F.greatest(F.ceil(F.col("_n") / F.lit(POSITION_BUCKET)), F.lit(1))
+    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / n_buckets), F.lit(1))
+    if by:
+        stats = df.groupBy(*by).agg(*stats_aggs).select(*by, "_lo", width.alias("_w"))
+        keyed = df.join(stats, list(by))
+    else:
+        stats = df.agg(*stats_aggs)
+        keyed = df.withColumns({"_lo": stats.select("_lo").scalar(), "_w": stats.select(width).scalar()})
+    bucket = F.floor((key - F.col("_lo")) / F.col("_w")).cast("bigint")
+    return keyed.withColumn("_pb", bucket).drop("_lo", "_w")
 
 
 def positions(df: DataFrame, order_col: str, by: Sequence[str] = ()) -> DataFrame:
     """0-based ``position`` of each row in ``order_col`` order within ``by``.
 
     Skew-safe two-level rank: rows are counted per order-preserving bucket
-    (integral keys: 65,536 ids per bucket; string keys: 4-character prefix),
-    bucket offsets come from a window over that small count table, and the
-    row number is taken only within (by, bucket). No window ever holds a
-    whole group, however hot.
+    (about 65,536 rows each), bucket offsets come from a window over that
+    small count table, and the row number is taken only within (by,
+    bucket). No window ever holds a whole group, however hot.
     """
-    is_int = isinstance(df.schema[order_col].dataType, IntegralType)
-    keyed = df.withColumn("_pb", _position_bucket(order_col, is_int))
+    keyed = _keyed_buckets(df, order_col, by)
     counts = keyed.groupBy(*by, "_pb").agg(F.count(F.lit(1)).alias("_pc"))
     w_off = Window.partitionBy(*by).orderBy("_pb")
     offsets = counts.withColumn("_off", F.sum("_pc").over(w_off) - F.col("_pc")).drop("_pc")

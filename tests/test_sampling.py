@@ -70,3 +70,14 @@ def test_unique_sample_large_n_path_equals_topk_path(spark, monkeypatch):
         b = _ids(S.unique_sample(df, n, 42))
         monkeypatch.setattr(S, "TOPK_MAX_ROWS", 20_000)
         assert a == b and len(a) == len(set(a))
+
+
+def test_positions_sparse_ids_use_few_buckets(spark):
+    df = spark.range(0, 200000).select(
+        (F.col("id") * 1_000_003).alias("pair_id"), F.when(F.col("id") % 5 == 0, "b").otherwise("hot").alias("shard"))
+    got = S.positions(df, "pair_id", ["shard"]).select("pair_id", "position")
+    w = Window.partitionBy("shard").orderBy("pair_id")
+    exp = df.select("pair_id", (F.row_number().over(w) - 1).alias("position"))
+    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+    buckets = S._keyed_buckets(df, "pair_id", ["shard"]).select("shard", "_pb").distinct().count()
+    assert buckets <= 8  # about rows / 65,536 per shard, not one per id
