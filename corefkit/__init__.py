@@ -7,6 +7,13 @@ Everything except the model call is a DataFrame expression planned by
 Catalyst.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from corefkit.session import build_session, shared_dir
 
+# Functions that run in Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["build_session", "shared_dir"]
