@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from corefkit.llm import bpe, exact_dedup
+from corefkit.llm import bpe, exact_dedup, quality_fm, toxicity, url_filter
 
 QUERIES = {
+    "op1_quality_fm": quality_fm.query,
     "op4_byte_bpe": bpe.query,
+    "op5_url_cascade": url_filter.query,
+    "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
+    "op5_url_cascade": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

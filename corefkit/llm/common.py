@@ -47,20 +47,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` learnable labelled rows as (doc_id, text, label).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str,
+                    bounds: dict[int, int]) -> tuple[DataFrame, dict[int, float]]:
+    """Learnable labelled rows (doc_id, text, label), about ``bounds[value]`` of each label value at most.
 
-    The sample is the smallest md5 of the id, so it does not depend on the
-    partitioning. Null labels and ids are left out; an id labelled twice takes
-    its larger label.
+    Also returns the share of each value that was taken. Rows are taken by the md5
+    of the id, so the sample does not depend on the partitioning. Null labels and
+    ids are left out; an id labelled twice takes its larger label.
     """
+    value = (F.col(label) > 0).cast("int")
     picked = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-              .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")))
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-            .join(picked, "doc_id"))
-    total = picked.count()
-    if total > max_rows:
-        # md5 is uniform: keep the share that gives about max_rows, then cut exactly
-        share = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
-        rows = rows.where(share < max_rows / total)
-    return rows
+              .groupBy("doc_id").agg(F.max(value).alias("label")))
+    have = {int(r["label"]): r["count"] for r in picked.groupBy("label").count().collect()}
+    shares = {k: min(1.0, bound / max(1, have.get(k, 0))) for k, bound in bounds.items()}
+    place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
+    limit = F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])
+    # the bounds hold for this side whatever the input, so it may be broadcast
+    picked = F.broadcast(picked.where(place < limit))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id"), shares
