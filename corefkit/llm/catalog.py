@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corefkit.llm import bpe, exact_dedup, quality_fm, toxicity, url_filter
+from corefkit.llm import bpe, exact_dedup, quality_fm, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_fm": quality_fm.query,
     "op4_byte_bpe": bpe.query,
     "op5_url_cascade": url_filter.query,
+    "op7_simhash": simhash.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
