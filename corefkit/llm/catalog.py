@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corefkit.llm import bpe, exact_dedup, quality_fm, simhash, substring_dedup, toxicity, url_filter
+from corefkit.llm import bpe, exact_dedup, mixing, quality_fm, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_fm": quality_fm.query,
+    "op3_sainte_lague": mixing.query,
     "op4_byte_bpe": bpe.query,
     "op5_url_cascade": url_filter.query,
     "op7_simhash": simhash.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_sainte_lague": mixing.ORACLE,
     "op5_url_cascade": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
