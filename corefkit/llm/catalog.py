@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corefkit.llm import bpe, exact_dedup, mixing, quality_fm, simhash, substring_dedup, toxicity, url_filter
+from corefkit.llm import bpe, exact_dedup, line_dedup, mixing, quality_fm, scaled_sketch, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_fm": quality_fm.query,
+    "op2_scaled_sketch": scaled_sketch.query,
     "op3_sainte_lague": mixing.query,
     "op4_byte_bpe": bpe.query,
     "op5_url_cascade": url_filter.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_simhash": simhash.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_toxicity": toxicity.query,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_line_dedup": line_dedup.ORACLE,
     "op3_sainte_lague": mixing.ORACLE,
     "op5_url_cascade": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
