@@ -43,8 +43,8 @@ def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     """The retained hashes, ascending."""
-    limit = -(1 << 63) + (1 << 64) // scale
-    few = lambda h: F.filter(h, lambda x: x < F.lit(limit))
+    limit = -(1 << 63) + (1 << 64) // scale - 1
+    few = lambda h: F.filter(h, lambda x: x <= F.lit(limit))
     return F.sort_array(let(shingle_hashes(text, shingle), lambda h: let(few(h), lambda kept: F.when(
         F.size(kept) > 0, F.array_distinct(kept)).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(h))))
 
@@ -58,9 +58,9 @@ def containment(a: Column, b: Column) -> Column:
 
 def merge(sketches: Column, scale: int = SCALE) -> Column:
     """The sketch of several texts together, from an array of their sketches."""
-    limit = -(1 << 63) + (1 << 64) // scale
+    limit = -(1 << 63) + (1 << 64) // scale - 1
     return let(F.array_distinct(F.flatten(sketches)), lambda all_: let(
-        F.filter(all_, lambda x: x < F.lit(limit)),
+        F.filter(all_, lambda x: x <= F.lit(limit)),
         lambda kept: F.sort_array(F.when(F.size(kept) > 0, kept).otherwise(F.slice(F.sort_array(all_), 1, 1)))))
 
 
