@@ -12,12 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corefkit.functions.parse import tagged_answer
-from corefkit.functions.text import hash_int, words
+from corefkit.functions.text import hash_int, let, words
 
 # Fixed values of the fixture definition.
-MAX_WORDS = 40          # words kept from a document's first line
-PAIR_WINDOW = 200       # partner documents at most this many ids apart
-PAIR_ID_BASE = 1_000_000
+PAIR_ID_BASE = 1_000_003  # pair_id = document id * base + line number
 RUN_EPOCH = "2024-01-01 00:00:00"
 
 PAIR_COLUMNS = [
@@ -32,72 +30,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _mention(w: Column, doc_id: Column) -> Column:
-    n = F.least(F.size(w), F.lit(MAX_WORDS)).cast("int")
-    t_start = ((doc_id * 7) % n).cast("int")
-    t_end = F.least(t_start + doc_id % 2, n - 1).cast("int")
+def _mention(w: Column, doc_id: Column, line: Column) -> Column:
+    n = F.size(w)
+    t_start = ((doc_id * 7 + line * 3) % n).cast("int")
+    t_end = F.least(t_start + (doc_id + line) % 2, n - 1).cast("int")
     return F.struct(
-        F.array_join(F.slice(w, 1, MAX_WORDS), " ").alias("sentence"),
+        line.cast("long").alias("line"), F.array_join(w, " ").alias("sentence"),
         t_start.alias("t_start"), t_end.alias("t_end"),
         F.array_join(F.slice(w, t_start + 1, t_end - t_start + 1), " ").alias("trig"),
     )
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mention per document: first line, at most 40 words, a 1-2 word trigger.
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ``ms``, an array of one mention per line that has words; no word is left out.
 
-    The words are split once per row and every mention field comes from
-    that one array inside a single expression, so a predicate Catalyst
-    pushes down to the scan does not re-split the text per field.
+    Documents are dealt by id, so that the work per document runs in parallel even
+    when the table is one file; AQE chooses the number of partitions. Every use in
+    a query takes the same columns and so shares the exchange.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    # substring_index(text, '\n', 1) is split(text, '\n')[0] without building the array.
-    first = words(F.substring_index("text", "\n", 1))
-    doc_id = F.col("doc_id")
-    m = docs.select("doc_id", "source", "lang", F.element_at(F.transform(
-        F.array(first), lambda w: F.when(F.size(w) > 0, _mention(w, doc_id))), 1).alias("m"))
-    return m.where(F.col("m").isNotNull()).select("doc_id", "source", "lang", "m.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").repartition("doc_id")
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: words(x)), lambda w: F.size(w) > 0)
+    ms = F.transform(lines, lambda w, k: _mention(w, F.col("doc_id"), k))
+    return docs.select("doc_id", "source", "lang", ms.alias("ms"))
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mention per line of every document: all its words, a 1-2 word trigger."""
+    return _documents(spark, sf_dir).select("doc_id", "source", "lang", F.inline("ms"))
 
 
-def _block(name: str) -> Column:
-    # floor(id / window) with integer arithmetic: exact for any bigint, negative too.
-    return F.expr(f"(`{name}` - pmod(`{name}`, {PAIR_WINDOW})) div {PAIR_WINDOW}")
+def _pair(a: Column, b: Column) -> list[Column]:
+    out = []
+    for k, m in (("1", a), ("2", b)):
+        out += [m["sentence"].alias(f"sentence{k}"), m["t_start"].alias(f"e{k}_trigger_start"),
+                m["t_end"].alias(f"e{k}_trigger_end"), m["trig"].alias(f"e{k}_trigger")]
+    return out
 
 
 def pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of same-source mentions at most 200 document ids apart.
+    """Each line with the next line of the corpus, so the pairs grow with the lines.
 
-    A band join written as an equi-join: each left mention is sent to its
-    own id block and the next one, so the join key is (source, block) and
-    a key holds at most ``PAIR_WINDOW`` ids however large one source is.
-    No candidate outside the band is ever produced.
+    Within a document that is the next element of its array (no join). The last
+    line of a document meets the first line of the document with the next id: an
+    equality join on a unique key, so no key is hot. A pair has the source of its
+    first line.
     """
-    m = mentions(spark, sf_dir)
-    a = m.select(
-        F.col("doc_id").alias("doc1"), F.col("source"), F.col("lang").alias("lang1"),
-        F.col("sentence").alias("sentence1"), F.col("t_start").alias("e1_trigger_start"),
-        F.col("t_end").alias("e1_trigger_end"), F.col("trig").alias("e1_trigger"),
-        F.explode(F.array(_block("doc_id"), _block("doc_id") + 1)).alias("blk"),
-    )
-    b = m.select(
-        F.col("doc_id").alias("doc2"), F.col("source").alias("source_b"), F.col("lang").alias("lang2"),
-        F.col("sentence").alias("sentence2"), F.col("t_start").alias("e2_trigger_start"),
-        F.col("t_end").alias("e2_trigger_end"), F.col("trig").alias("e2_trigger"),
-        _block("doc_id").alias("blk_b"),
-    )
-    # Hash-partition both sides on the join key with an explicit count:
-    # the per-pair work downstream (marking, prompts, hashing) then runs in
-    # that many tasks even when the source is one file, and a sort-merge
-    # join needs exactly this distribution anyway. An explicit count is not
-    # coalesced away by AQE; only mentions (not pairs) move.
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    a = a.repartition(n_parts, "source", "blk")
-    b = b.repartition(n_parts, "source_b", "blk_b")
-    j = a.join(b, (a.source == b.source_b) & (a.blk == b.blk_b)
-               & (b.doc2 > a.doc1) & (b.doc2 - a.doc1 <= PAIR_WINDOW))
+    docs = _documents(spark, sf_dir)
+    inside = docs.select("doc_id", "source", "lang", F.inline(let(F.col("ms"), lambda m: F.when(F.size(m) > 1, F.transform(
+        F.sequence(F.lit(0), F.size(m) - 2), lambda k: F.struct(m[k].alias("a"), m[k + 1].alias("b")))))))
+    within = inside.select(
+        F.col("a.line").alias("line1"), "source", F.col("doc_id").alias("doc1"), F.col("doc_id").alias("doc2"),
+        F.col("lang").alias("lang1"), F.col("lang").alias("lang2"), *_pair(F.col("a"), F.col("b")))
+    some = docs.where(F.size("ms") > 0)
+    last = some.select((F.col("doc_id") + 1).alias("doc2"), F.col("doc_id").alias("doc1"), "source",
+                       F.col("lang").alias("lang1"), F.element_at("ms", -1).alias("a"))
+    first = some.select(F.col("doc_id").alias("doc2"), F.col("lang").alias("lang2"), F.element_at("ms", 1).alias("b"))
+    across = last.join(first, "doc2").select(
+        F.col("a.line").alias("line1"), "source", "doc1", "doc2", "lang1", "lang2", *_pair(F.col("a"), F.col("b")))
+    j = within.unionByName(across)
     same_initial = F.substring(F.lower("e1_trigger"), 1, 1) == F.substring(F.lower("e2_trigger"), 1, 1)
     return j.select(
-        (F.col("doc1") * PAIR_ID_BASE + F.col("doc2")).alias("pair_id"),
+        (F.col("doc1") * PAIR_ID_BASE + F.col("line1")).alias("pair_id"),
         "source", "doc1", "doc2", "lang1", "lang2",
         "sentence1", "e1_trigger_start", "e1_trigger_end", "e1_trigger",
         "sentence2", "e2_trigger_start", "e2_trigger_end", "e2_trigger",
@@ -158,17 +151,15 @@ def preds_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", (F.col("label") % 2).alias("label"),
-                    F.slice("embedding", 1, 2).cast("array<double>").alias("logits"))
+                    F.col("embedding").cast("array<double>").alias("logits"))
 
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with the collected-response columns; shapes 4-7 have no reasoning."""
-    p = pairs(spark, sf_dir)
-    r = responses_shaped(spark, sf_dir).select("pair_id", "shape", "completion")
-    j = p.join(r, "pair_id", "left")
-    return j.select(
+    p = pairs(spark, sf_dir).withColumn("shape", _shape(F.col("pair_id")))
+    return p.select(
         *PAIR_COLUMNS,
-        F.col("completion").alias("model_response"),
+        completion_for(F.col("shape"), F.col("label")).alias("model_response"),
         F.when(F.col("shape") < 4, F.concat(F.lit("reasoning "), F.col("shape").cast("string")))
         .alias("reasoning_content"),
     )

@@ -41,19 +41,22 @@ def occurrences(x: str, sub_sql: str, sub_len: int) -> str:
 
 
 _BASE = [
-    f"""m0 AS (SELECT doc_id, source, lang, {words("string_split(text, chr(10))[1]")} w FROM documents)""",
-    """m1 AS (SELECT doc_id, source, lang, w, CAST(least(len(w), 40) AS INT) n FROM m0 WHERE len(w) > 0)""",
-    """m2 AS (SELECT *, CAST((doc_id * 7) % n AS INT) s FROM m1)""",
-    """m3 AS (SELECT *, CAST(least(s + doc_id % 2, n - 1) AS INT) e FROM m2)""",
-    """mentions AS (SELECT doc_id, source, lang, array_to_string(w[1:40], ' ') sentence, s t_start, e t_end,
+    f"""m0 AS (SELECT doc_id, source, lang,
+                    list_filter(list_transform(string_split(text, chr(10)), lambda x: {words("x")}), lambda w: len(w) > 0) ls
+             FROM documents)""",
+    """m1 AS (SELECT doc_id, source, lang, len(ls) n_lines, unnest(range(len(ls))) line, unnest(ls) w FROM m0)""",
+    """m2 AS (SELECT *, len(w) n, CAST((doc_id * 7 + line * 3) % len(w) AS INT) s FROM m1)""",
+    """m3 AS (SELECT *, CAST(least(s + (doc_id + line) % 2, n - 1) AS INT) e FROM m2)""",
+    """mentions AS (SELECT doc_id, source, lang, line, n_lines, array_to_string(w, ' ') sentence, s t_start, e t_end,
                     array_to_string(w[s + 1:e + 1], ' ') trig FROM m3)""",
-    """pairs_wide AS (SELECT a.doc_id * 1000000 + b.doc_id pair_id, a.source, a.doc_id doc1, b.doc_id doc2,
+    """pairs_wide AS (SELECT a.doc_id * 1000003 + a.line pair_id, a.source, a.doc_id doc1, b.doc_id doc2,
                  a.lang lang1, b.lang lang2,
                  a.sentence sentence1, a.t_start e1_trigger_start, a.t_end e1_trigger_end, a.trig e1_trigger,
                  b.sentence sentence2, b.t_start e2_trigger_start, b.t_end e2_trigger_end, b.trig e2_trigger,
                  CASE WHEN substr(lower(a.trig), 1, 1) = substr(lower(b.trig), 1, 1) THEN 1 ELSE 0 END label
           FROM mentions a JOIN mentions b
-            ON a.source = b.source AND a.doc_id < b.doc_id AND b.doc_id - a.doc_id <= 200)""",
+            ON b.doc_id = a.doc_id + CASE WHEN a.line = a.n_lines - 1 THEN 1 ELSE 0 END
+           AND b.line = CASE WHEN a.line = a.n_lines - 1 THEN 0 ELSE a.line + 1 END)""",
     """pairs AS (SELECT pair_id, source, sentence1, e1_trigger_start, e1_trigger_end, e1_trigger,
                  sentence2, e2_trigger_start, e2_trigger_end, e2_trigger, label FROM pairs_wide)""",
     f"""r0 AS (SELECT pair_id, source, label,
@@ -72,7 +75,7 @@ _BASE = [
     """responses AS (SELECT pair_id, source, label, completion FROM responses_h)""",
     f"""preds AS (SELECT pair_id, source, label, {tagged_answer("completion")} pred FROM responses_h)""",
     """preds_multi AS (SELECT pair_id, lang1 label, lang2 pred FROM pairs_wide)""",
-    """logits AS (SELECT vec_id, label % 2 label, CAST(embedding[1:2] AS DOUBLE[]) logits FROM embeddings)""",
+    """logits AS (SELECT vec_id, label % 2 label, CAST(embedding AS DOUBLE[]) logits FROM embeddings)""",
     """answered AS (SELECT p.*, r.completion model_response,
                  CASE WHEN r.h < 4 THEN 'reasoning ' || CAST(r.h AS VARCHAR) END reasoning_content
           FROM pairs p LEFT JOIN responses_h r USING (pair_id))""",
