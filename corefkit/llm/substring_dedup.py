@@ -99,9 +99,13 @@ def _ask(window: int, buckets: int):
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each batch that sent to this bucket: its hashes that came more than once."""
     asked = [np.frombuffer(x, np.uint64) for x in pdf.hashes]
-    seen = np.sort(np.concatenate(asked))
+    together = np.concatenate(asked)
+    seen = np.sort(together)
     twice = np.unique(seen[1:][seen[1:] == seen[:-1]])
-    found = [np.unique(x[np.isin(x, twice)]).tobytes() for x in asked]
+    hit = twice[np.minimum(np.searchsorted(twice, together), len(twice) - 1)] == together if len(twice) else np.zeros(
+        len(together), dtype=bool)
+    ends = np.cumsum([len(x) for x in asked])[:-1]
+    found = [np.unique(x[h]).tobytes() for x, h in zip(asked, np.split(hit, ends))]
     out = pd.DataFrame({"batch": pdf.batch, "hashes": found})
     return out[out.hashes.map(len) > 0]
 
