@@ -15,14 +15,22 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corefkit.functions.text import WS, words
 from corefkit.operators.metrics import encoder_eval
 from corefkit.operators.prompts import encoder_text
+from corefkit.session import staged
 
 N_FEATURES = 1 << 12
+MAX_ITER, TOL = 50, 1e-4
+
+
+def _bigrams(w) -> Column:
+    """Distinct character pairs of a string."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))),
+                                        lambda k: F.substring(w, k, F.lit(2))))
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -32,43 +40,44 @@ def features(df: DataFrame) -> DataFrame:
     s1, s2 = words(F.lower("sentence1")), words(F.lower("sentence2"))
     inter = F.size(F.array_intersect(s1, s2)).cast("double")
     union = F.size(F.array_union(s1, s2)).cast("double")
+    c1, c2 = _bigrams(F.lower("e1_trigger")), _bigrams(F.lower("e2_trigger"))
+    shared = F.size(F.array_intersect(c1, c2)).cast("double")
     return t.withColumns({
         "f_same_trigger": (F.lower("e1_trigger") == F.lower("e2_trigger")).cast("double"),
         "f_trigger_overlap": F.size(F.array_intersect(w1, w2)).cast("double"),
         "f_jaccard": F.when(union > 0, inter / union).otherwise(F.lit(0.0)),
-        "f_same_initial": (F.substring(F.lower("e1_trigger"), 1, 1)
-                           == F.substring(F.lower("e2_trigger"), 1, 1)).cast("double"),
+        "f_trigger_chars": shared / F.size(F.array_union(c1, c2)),
         "label_d": F.col("label").cast("double"),
     })
 
 
-def pipeline(reg_param: float) -> Pipeline:
+def pipeline(reg_param: float, n_features: int = N_FEATURES, max_iter: int = MAX_ITER, tol: float = TOL) -> Pipeline:
+    """Hashed words of both texts and the overlap features into a class-weighted logistic regression."""
     tok_a = RegexTokenizer(inputCol="text_a", outputCol="tok_a", pattern=WS + "+", toLowercase=True)
     tok_b = RegexTokenizer(inputCol="text_b", outputCol="tok_b", pattern=WS + "+", toLowercase=True)
-    tf_a = HashingTF(inputCol="tok_a", outputCol="tf_a", numFeatures=N_FEATURES)
-    tf_b = HashingTF(inputCol="tok_b", outputCol="tf_b", numFeatures=N_FEATURES)
+    tf_a = HashingTF(inputCol="tok_a", outputCol="tf_a", numFeatures=n_features)
+    tf_b = HashingTF(inputCol="tok_b", outputCol="tf_b", numFeatures=n_features)
     vec = VectorAssembler(inputCols=["tf_a", "tf_b", "f_same_trigger", "f_trigger_overlap", "f_jaccard",
-                                     "f_same_initial"], outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=10, regParam=reg_param)
+                                     "f_trigger_chars"], outputCol="features")
+    lr = LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=max_iter, tol=tol, regParam=reg_param,
+                            weightCol="weight")
     return Pipeline(stages=[tok_a, tok_b, tf_a, tf_b, vec, lr])
 
 
 def fit(train: DataFrame, dev: DataFrame, reg_params: Sequence[float] = (0.01, 0.1)) -> PipelineModel:
     """Fit one model per ``reg_param``; keep the best class-1 F1 on ``dev``."""
-    # Both feature tables are read once per setting and once per optimizer
-    # iteration: cache them for the duration of the search.
-    tr, dv = features(train).cache(), features(dev).cache()
+    # Both feature tables are read once per setting and optimizer iteration: written once to the shared folder.
+    tr, dv = staged(features(train), "train_features"), staged(features(dev), "dev_features")
+    share = tr.agg(F.avg("label_d")).first()[0] or 0.0
+    positive = min(max(share, 1e-3), 1 - 1e-3)
+    tr = tr.withColumn("weight", F.when(F.col("label_d") == 1, 0.5 / positive).otherwise(0.5 / (1 - positive)))
     best, best_f1 = None, -1.0
-    try:
-        for rp in reg_params:
-            model = pipeline(rp).fit(tr)
-            m = encoder_eval(predict(model, dv, featurized=True)).select("f1_class1").first()
-            f1 = m["f1_class1"] if m and m["f1_class1"] is not None else 0.0
-            if f1 > best_f1:
-                best, best_f1 = model, f1
-    finally:
-        tr.unpersist()
-        dv.unpersist()
+    for rp in reg_params:
+        model = pipeline(rp).fit(tr)
+        m = encoder_eval(predict(model, dv, featurized=True)).select("f1_class1").first()
+        f1 = m["f1_class1"] if m and m["f1_class1"] is not None else 0.0
+        if f1 > best_f1:
+            best, best_f1 = model, f1
     return best
 
 

@@ -85,12 +85,15 @@ def leaderboard_marks(board: DataFrame, metrics: Sequence[str] = LEADERBOARD_MET
                       lower_is_better: Sequence[str] = LOWER_IS_BETTER) -> DataFrame:
     """W4 best and worst run per metric, computed (the hand-marked table has errors)."""
     long = board.unpivot(["run"], list(metrics), "metric", "value")
-    w = Window.partitionBy("metric")
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
+    # One row per metric, combined map-side; the rows never meet in a task per metric.
+    ends = long.groupBy("metric").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    long = long.join(ends, "metric")
+    lo, hi = F.col("_lo"), F.col("_hi")
     low_good = F.col("metric").isin(list(lower_is_better))
     best = F.when(low_good, F.col("value") == lo).otherwise(F.col("value") == hi)
     worst = F.when(low_good, F.col("value") == hi).otherwise(F.col("value") == lo)
-    return long.withColumns({"is_best": F.coalesce(best, F.lit(False)), "is_worst": F.coalesce(worst, F.lit(False))})
+    return long.withColumns({"is_best": F.coalesce(best, F.lit(False)), "is_worst": F.coalesce(worst, F.lit(False))}
+                            ).select("run", "metric", "value", "is_best", "is_worst")
 
 
 def log_documents(runs: DataFrame, chunk_steps: int = 1000, run_col: str = "run_id") -> DataFrame:

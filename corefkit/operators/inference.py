@@ -1,9 +1,10 @@
 """Model and API calls over Arrow batches (INF1-INF3).
 
 The only Python in the hot path. Each function takes a *factory* that is
-shipped to the workers and called once per Python worker (the instance is
-cached), then run on fixed-size chunks of each Arrow batch. ``pair_id``
-travels with every row, so results never depend on position (J4).
+shipped to the workers and called once per Python worker and call (so a
+second model never meets the first one's instance), then run on fixed-size
+chunks of each Arrow batch. ``pair_id`` and any ``keep`` columns travel with
+every row, so results never depend on position and need no join back (J4).
 
 Calls are at-least-once: a lost executor re-runs its task. Collected
 responses are therefore appended with an ``attempt`` number and merged by
@@ -13,8 +14,11 @@ latest successful attempt, which makes re-delivery harmless.
 from __future__ import annotations
 
 import asyncio
-import hashlib
-from collections.abc import Callable, Iterator
+import math
+import sys
+import types
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,21 +28,30 @@ from pyspark.sql import functions as F
 from corefkit.functions.text import _c
 from corefkit.functions.vectors import argmax, softmax
 from corefkit.operators.joins import RESPONSE_COLUMNS, merge_responses
-from corefkit.operators.prompts import api_messages
+from corefkit.operators.prompts import api_prompts
 from corefkit.operators.sampling import row_range
+from corefkit.session import staged
 from corefkit.sources.response_store import append_chunk, read_log
 
-_INSTANCES: dict[str, object] = {}
 
+def _once(factory: Callable[[], object]) -> Callable[[], object]:
+    """``factory`` as a getter that makes one instance per Python worker.
 
-def _instance(factory: Callable[[], object]) -> object:
-    """One model per Python worker process, created on first use."""
-    key = getattr(factory, "cache_key", None) or f"{factory.__module__}.{getattr(factory, '__qualname__', factory)}"
-    obj = _INSTANCES.get(key)
-    if obj is None:
-        obj = factory()
-        _INSTANCES[key] = obj
-    return obj
+    The key is drawn here, on the driver, once per call of an operator: a worker
+    that Spark reuses drops what an earlier call left there.
+    """
+    key = uuid.uuid4().hex
+
+    def get() -> object:
+        # functions travel by value, so the instance is held by the worker process itself
+        held = sys.modules.setdefault("_corefkit_instance", types.ModuleType("_corefkit_instance"))
+        if getattr(held, "key", None) != key:
+            held.key, held.value = None, None
+            held.value = factory()
+            held.key = key
+        return held.value
+
+    return get
 
 
 def _chunks(pdf: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
@@ -49,169 +62,117 @@ def _chunks(pdf: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
 # ---------------------------------------------------------------- INF1
 
 
+def _kept(df: DataFrame, columns: Sequence[str]) -> str:
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def score_pairs(df: DataFrame, model_factory: Callable[[], Callable[[pd.DataFrame], np.ndarray]],
                 batch_size: int = 512, id_col: str = "pair_id",
-                inputs: tuple[str, ...] = ("input_ids", "attention_mask")) -> DataFrame:
+                inputs: tuple[str, ...] = ("input_ids", "attention_mask"), keep: Sequence[str] = ()) -> DataFrame:
     """INF1 logits per encoded pair; then class (S14) and probabilities (S15) as columns.
 
     ``model(batch) -> ndarray[n, k]`` sees a pandas frame with ``inputs``.
-    Only ``id`` and the logits come back, so wide inputs never shuffle.
+    Only ``id``, the ``keep`` columns and the logits come back, so wide inputs never shuffle.
     """
+    model_of, carried = _once(model_factory), [id_col, *keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _instance(model_factory)
         for pdf in batches:
             for chunk in _chunks(pdf, batch_size):
-                logits = np.asarray(model(chunk[list(inputs)]), dtype="float64")
-                yield pd.DataFrame({id_col: chunk[id_col].to_numpy(), "logits": list(logits)})
+                logits = np.asarray(model_of()(chunk[list(inputs)]), dtype="float64")
+                yield chunk[carried].assign(logits=list(logits))
 
     id_type = df.schema[id_col].dataType.simpleString()
-    out = df.select(id_col, *inputs).mapInPandas(run, f"{id_col} {id_type}, logits array<double>")
+    out = df.select(*carried, *inputs).mapInPandas(run, f"{id_col} {id_type}{_kept(df, keep)}, logits array<double>")
     return out.withColumns({"pred": argmax("logits"), "probs": softmax("logits")})
 
 
-class HashLogitModel:
-    """Deterministic stand-in for an encoder classifier (tests, oracle checks).
-
-    ``s = sum(ids[i] * (i + 1))``; logits ``((s % 2001) - 1000) / 1000`` and
-    ``((7 s % 2001) - 1000) / 1000``.
-    """
-
-    cache_key = "HashLogitModel"
-
-    def __call__(self, batch: pd.DataFrame) -> np.ndarray:
-        if len(batch) == 0:
-            return np.empty((0, 2))
-        ids = np.stack(batch["input_ids"].to_numpy()).astype(np.int64)   # one matrix per batch
-        s = ids @ np.arange(1, ids.shape[1] + 1, dtype=np.int64)
-        return np.column_stack((((s % 2001) - 1000) / 1000.0, ((s * 7 % 2001) - 1000) / 1000.0))
-
-
 # ---------------------------------------------------------------- INF2
 
 
 def generate_responses(df: DataFrame, generator_factory: Callable[[], Callable[[list[str]], list[str | None]]],
-                       prompt_col: str = "prompt", batch_size: int = 128, id_col: str = "pair_id") -> DataFrame:
-    """INF2 one completion per prompt, generated in batches of ``batch_size``."""
+                       prompt_col: str = "prompt", batch_size: int = 128, id_col: str = "pair_id",
+                       keep: Sequence[str] = ()) -> DataFrame:
+    """INF2 one completion per prompt, generated in batches of ``batch_size``; ``keep`` columns come along."""
+    generator_of, carried = _once(generator_factory), [id_col, *keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = _instance(generator_factory)
         for pdf in batches:
             for chunk in _chunks(pdf, batch_size):
-                texts = gen(chunk[prompt_col].tolist())
-                yield pd.DataFrame({id_col: chunk[id_col].to_numpy(), "completion": texts})
+                yield chunk[carried].assign(completion=generator_of()(chunk[prompt_col].tolist()))
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, prompt_col).mapInPandas(run, f"{id_col} {id_type}, completion string")
-
-
-def _h(text: str) -> int:
-    return int(hashlib.md5(text.encode("utf-8")).hexdigest()[:8], 16)
-
-
-class HashShapeGenerator:
-    """Deterministic stand-in for a generator: the output shape and answer
-    come from md5 of the prompt (0 strict layout, 1 one-line layout, 2 no
-    answer tag, 3 nothing)."""
-
-    cache_key = "HashShapeGenerator"
-
-    def __call__(self, prompts: list[str]) -> list[str | None]:
-        out: list[str | None] = []
-        for p in prompts:
-            h = _h(p)
-            yn = "Yes" if (h // 4) % 2 == 0 else "No"
-            shape = h % 4
-            if shape == 0:
-                out.append(f"<reasoning>\n{len(p)}\n</reasoning>\n<answer>\n{yn}\n</answer>\n")
-            elif shape == 1:
-                out.append(f"<reasoning>short</reasoning> <answer>{yn}</answer>")
-            elif shape == 2:
-                out.append(f"Answer: {yn}")
-            else:
-                out.append(None)
-        return out
+    return df.select(*carried, prompt_col).mapInPandas(run, f"{id_col} {id_type}{_kept(df, keep)}, completion string")
 
 
 # ---------------------------------------------------------------- INF3
 
+NO_PROMPT = "NoPrompt: a template input is NULL"
 
-class HashStubClient:
-    """Deterministic stand-in for a remote chat API.
-
-    ``complete(content, attempt)`` fails for md5(content) % ``fail_mod`` == 0
-    (only on the first attempt when ``fail_once``); otherwise answers
-    Yes/No with a short reasoning.
-    """
-
-    cache_key = "HashStubClient"
-
-    def __init__(self, fail_mod: int = 11, fail_once: bool = False):
-        self.fail_mod = fail_mod
-        self.fail_once = fail_once
 
-    async def complete(self, content: str, attempt: int) -> tuple[str, str]:
-        h = _h(content)
-        if h % self.fail_mod == 0 and (attempt == 1 or not self.fail_once):
-            raise RuntimeError("stub API error")
-        return ("Yes" if (h // 16) % 2 == 0 else "No"), f"thought {h % 1000}"
+def _call_rows(pdf: pd.DataFrame, client, concurrency: int) -> pd.DataFrame:
+    """One event loop per batch, ``concurrency`` calls in flight at any time; errors are kept per row."""
 
+    async def gather() -> list:
+        free = asyncio.Semaphore(concurrency)
 
-def _call_rows(pdf: pd.DataFrame, client, concurrency: int) -> pd.DataFrame:
-    """One event loop per chunk: up to ``concurrency`` calls in flight, errors kept per row."""
+        async def one(content, attempt):
+            async with free:
+                return await client.complete(content, int(attempt))
 
-    async def gather(chunk: pd.DataFrame):
-        tasks = [client.complete(c, int(a)) for c, a in zip(chunk["content"], chunk["attempt"])]
-        return await asyncio.gather(*tasks, return_exceptions=True)
+        calls = [one(c, a) for c, a in zip(pdf["content"], pdf["attempt"]) if c is not None]
+        return await asyncio.gather(*calls, return_exceptions=True)
 
+    results = iter(asyncio.run(gather()))
     rows = []
-    for chunk in _chunks(pdf, concurrency):
-        results = asyncio.run(gather(chunk))
-        for pid, att, res in zip(chunk["pair_id"], chunk["attempt"], results):
-            if isinstance(res, BaseException):
-                rows.append((str(pid), int(att), None, None, f"{type(res).__name__}: {res}"))
-            else:
-                rows.append((str(pid), int(att), res[0], res[1], None))
+    for pid, att, content in zip(pdf["pair_id"], pdf["attempt"], pdf["content"]):
+        res = next(results) if content is not None else None
+        if content is None:
+            rows.append((str(pid), int(att), None, None, NO_PROMPT))
+        elif isinstance(res, BaseException):
+            rows.append((str(pid), int(att), None, None, f"{type(res).__name__}: {res}"))
+        else:
+            rows.append((str(pid), int(att), res[0], res[1], None))
     return pd.DataFrame(rows, columns=["pair_id", "attempt", "model_response", "reasoning_content", "error"])
 
 
 def collect_responses(pairs: DataFrame, client_factory: Callable[[], object], store: str,
                       start: int = 0, end: int = -1, concurrency: int = 50,
-                      tasks: int | None = None) -> DataFrame:
-    """INF3 resumable collection: pending rows only, one commit per call.
+                      tasks: int | None = None, wave_rows: int = 50_000) -> DataFrame:
+    """INF3 resumable collection: pending rows only, committed in waves.
 
     Pending = no successful reasoning yet in the store (P5 on the store, as
-    an anti join). Prompts are M4 chats; calls run ``concurrency`` at a
-    time per task, so at most ``tasks x concurrency`` are in flight. The
-    chunk is appended to ``store`` (IO13) and the merged table (J3) is
-    returned. Calling again retries only the rows still pending.
+    an anti join on one row per id). The prompts of the pending rows are written
+    once; each wave of about ``wave_rows`` of them (by id hash) is called and
+    appended to ``store`` (IO13), so a failure loses the answers of one wave at
+    most and calling again asks only for the rows still pending. At most
+    ``tasks x concurrency`` calls are in flight (``tasks``: the session's default
+    parallelism unless given). A row that cannot be prompted is logged as a
+    failed attempt. Returns the merged table (J3).
     """
     spark = pairs.sparkSession
+    tasks = tasks or spark.sparkContext.defaultParallelism
     rows = row_range(pairs, start, end) if (start, end) != (0, -1) else pairs
-    log = read_log(spark, store)
-    done = log.where(F.col("reasoning_content").isNotNull()).select("pair_id").distinct()
-    key = rows.withColumn("_pid", F.col("pair_id").cast("string"))
-    pending = key.join(done.withColumnRenamed("pair_id", "_pid"), "_pid", "left_anti")
-    tries = log.groupBy(F.col("pair_id").alias("_pid")).agg(F.max("attempt").alias("_last"))
-    pending = pending.join(tries, "_pid", "left")
-    msgs = api_messages(pending).select(
-        F.col("_pid").alias("pair_id"),
-        (F.coalesce(F.col("_last"), F.lit(0)) + 1).cast("int").alias("attempt"),
-        F.col("messages")[0]["content"].alias("content"))
-    if tasks:
-        msgs = msgs.repartition(tasks, "pair_id")
+    key = staged(rows.withColumn("pair_id", F.col("pair_id").cast("string")), "collect_rows")
+    state = read_log(spark, store).groupBy("pair_id").agg(
+        F.max("attempt").alias("_last"), F.bool_or(F.col("reasoning_content").isNotNull()).alias("_done"))
+    pending = key.join(state, "pair_id", "left").where(~F.coalesce("_done", F.lit(False)))
+    msgs = staged(api_prompts(pending).select(
+        "pair_id", (F.coalesce("_last", F.lit(0)) + 1).cast("int").alias("attempt"), "content"), "collect_prompts")
+    waves = max(1, math.ceil(msgs.count() / wave_rows))
+    client_of = _once(client_factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = _instance(client_factory)
         for pdf in batches:
             if len(pdf):
-                yield _call_rows(pdf, client, concurrency)
-
-    results = msgs.mapInPandas(run, "pair_id string, attempt int, model_response string, "
-                                    "reasoning_content string, error string")
-    append_chunk(results, store)
-    merged = merge_responses(key.drop("pair_id").withColumnRenamed("_pid", "pair_id"), read_log(spark, store))
-    return merged
+                yield _call_rows(pdf.astype({"content": object}).where(pdf.notna(), None), client_of(), concurrency)
+
+    for wave in range(waves):
+        part = msgs.where(F.pmod(F.xxhash64("pair_id"), F.lit(waves)) == wave) if waves > 1 else msgs
+        # an explicit count: it bounds the calls in flight
+        append_chunk(part.repartition(tasks, "pair_id").mapInPandas(
+            run, "pair_id string, attempt int, model_response string, reasoning_content string, error string"), store)
+    return merge_responses(key, read_log(spark, store))
 
 
 def summary(merged: DataFrame, log: DataFrame) -> DataFrame:

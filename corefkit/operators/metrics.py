@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corefkit.functions.text import eps_div, safe_div
@@ -170,7 +170,7 @@ def accuracy_invalid_as_wrong(df: DataFrame, label: str = "label", pred: str = "
     """A12 accuracy with invalid counted wrong, and the invalid share."""
     n = F.count(F.lit(1)).cast("double")
     return df.groupBy(*by).agg(
-        (_cnt(F.col(label).eqNullSafe(F.col(pred))).cast("double") / n).alias("accuracy"),
+        (_cnt(F.col(pred).isNotNull() & (F.col(label) == F.col(pred))).cast("double") / n).alias("accuracy"),
         (_cnt(F.col(pred).isNull()).cast("double") / n).alias("num_invalid"),
     )
 
@@ -196,13 +196,9 @@ def multiclass(df: DataFrame, label: str = "label", pred: str = "pred") -> DataF
         _cnt(F.col("is_true") & ~F.col("is_pred")).alias("fn"),
         F.count(F.lit(1)).alias("n"),
     )
-    # The grouped table has one row per class plus the marker: a tiny,
-    # class-count-bounded window carries the totals to every class row.
-    everything = Window.partitionBy()
-    g = g.withColumns({
-        "n_total": F.max(F.when(F.col("is_all"), F.col("n"))).over(everything),
-        "n_correct": F.max(F.when(F.col("is_all"), F.col("fp"))).over(everything),
-    }).where(~F.col("is_all"))
+    # The marker's row carries the totals to every class row as a scalar.
+    totals = g.where("is_all").select(F.min(F.struct("n", "fp"))).scalar()
+    g = g.where(~F.col("is_all")).withColumns({"n_total": totals["n"], "n_correct": totals["fp"]})
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     g = g.withColumn("tn", F.col("n_total") - tp - fp - fn)
     m = binary_eps(g)
@@ -210,12 +206,12 @@ def multiclass(df: DataFrame, label: str = "label", pred: str = "pred") -> DataF
                     F.col("n_total").alias("total"), F.col("n_correct").alias("correct"))
 
 
-def multiclass_macro(per_class: DataFrame, digits: int = 6) -> DataFrame:
-    """A7 macro averages over classes and overall accuracy."""
+def multiclass_macro(per_class: DataFrame) -> DataFrame:
+    """A7 macro averages over classes and overall accuracy, unrounded."""
     return per_class.agg(
-        F.round(F.avg("precision"), digits).alias("macro_precision"),
-        F.round(F.avg("recall"), digits).alias("macro_recall"),
-        F.round(F.avg("f1"), digits).alias("macro_f1"),
+        F.avg("precision").alias("macro_precision"),
+        F.avg("recall").alias("macro_recall"),
+        F.avg("f1").alias("macro_f1"),
         (F.max("correct").cast("double") / F.max("total").cast("double")).alias("accuracy"),
         F.count(F.lit(1)).alias("n_classes"),
     )

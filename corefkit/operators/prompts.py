@@ -125,6 +125,17 @@ def api_messages(df: DataFrame, on_null: str = "drop") -> DataFrame:
     return d.withColumn("messages", F.array(_msg("user", user_prompt("api"))))
 
 
+def api_prompts(df: DataFrame) -> DataFrame:
+    """M4 as a ``content`` column; NULL where a template input is NULL, and no row is left out."""
+    return with_marked(df).withColumn("content", user_prompt("api"))
+
+
+def reason_prompts(df: DataFrame, system: str = DEFAULT_SYSTEM, on_null: str = "drop") -> DataFrame:
+    """M9 for inference as a ``prompt`` column: needs neither label nor reasoning."""
+    d = grpo_messages(df, system, on_null)
+    return d.withColumn("prompt", F.concat(render_chat(), L(ASSISTANT_PROMPT)))
+
+
 def encoder_text(df: DataFrame, on_null: str = "drop") -> DataFrame:
     """M5 ``text_a``/``text_b``: each sentence with its starred trigger."""
     d = _prepared(df, [], on_null)

@@ -12,14 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
-# Above this many rows, an exact sample is cut by a hash histogram instead of
-# a top-k: a top-k sends every task's local top n to one merging task
-# (partitions x n rows), the histogram never gathers n rows anywhere.
-TOPK_MAX_ROWS = 20_000
-HIST_BUCKETS_HEX = 4  # 16^4 = 65,536 histogram buckets
-POSITION_BUCKET = 1 << 16
+from corefkit.session import staged
+
+HIST_HEX = 4  # 16^4 = 65,536 buckets per histogram level
 
 
 def rank_key(id_col: str | Column, seed: int = 42, salt: str | None = None) -> Column:
@@ -30,51 +26,50 @@ def rank_key(id_col: str | Column, seed: int = 42, salt: str | None = None) -> C
 
 
 def sample_n(df: DataFrame, n: int | Column, seed: int = 42, salt: str | None = None,
-             id_col: str = "pair_id", method: str = "auto", strict: bool = False) -> DataFrame:
+             id_col: str = "pair_id", strict: bool = False) -> DataFrame:
     """T1 exactly ``n`` rows without replacement (all rows when fewer).
 
-    ``method='topk'`` is ``orderBy(key).limit(n)`` (each task keeps n rows,
-    one task merges); ``'histogram'`` finds the bucket of the n-th key with a
-    65,536-bucket count, keeps all rows below it and ranks only the rows of
-    that one bucket, so no task ever holds n rows. ``auto`` picks top-k for a
-    literal ``n`` up to ``TOPK_MAX_ROWS``. ``strict`` fails when fewer than
-    ``n`` rows exist, as the reference does.
+    The n-th smallest (key, id) is found by :func:`_cut`; the sample is a filter
+    on it, so no task ever holds n rows, whatever n is. ``strict`` fails when
+    fewer than ``n`` rows exist, as the reference does.
     """
-    key = rank_key(id_col, seed, salt)
-    if method == "auto":
-        method = "topk" if isinstance(n, int) and n <= TOPK_MAX_ROWS else "histogram"
-    if method == "topk":
-        if not isinstance(n, int):
-            raise ValueError("top-k sampling needs a literal n")
-        out = df.withColumn("_rk", key).orderBy("_rk", id_col).limit(n).drop("_rk")
-    else:
-        out = _sample_by_histogram(df, n, key, id_col)
+    n_col = F.lit(n) if isinstance(n, int) else n
+    keyed = _ranked_ids(df, rank_key(id_col, seed, salt), id_col)
+    out = _up_to(df, rank_key(id_col, seed, salt), id_col, n_col, _cut(keyed, n_col))
     if strict:
-        n_col = F.lit(n) if isinstance(n, int) else n
-        have = df.select(F.count(F.lit(1))).scalar()
+        have = keyed.select(F.count(F.lit(1))).scalar()
         out = out.where(F.when(have >= n_col, F.lit(True))
                         .otherwise(F.raise_error(F.lit("sample larger than population"))))
     return out
 
 
-def _sample_by_histogram(df: DataFrame, n: int | Column, key: Column, id_col: str) -> DataFrame:
-    n_col = F.lit(n) if isinstance(n, int) else n
-    bucket = F.conv(F.substring(key, 1, HIST_BUCKETS_HEX), 16, 10).cast("int")
-    keyed = df.withColumns({"_rk": key, "_b": bucket})
-    hist = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    # At most 65,536 rows: a single ordered window is bounded.
-    cum = hist.withColumn("_cum", F.sum("_c").over(Window.orderBy("_b")))
-    edge = cum.where((F.col("_cum") >= n_col) & (F.col("_cum") - F.col("_c") < n_col))
-    # No boundary bucket: keep everything when the population is smaller than
-    # n, nothing when n <= 0.
-    cut_bucket = F.when(n_col <= 0, F.lit(-1)).otherwise(
-        F.coalesce(edge.select(F.min("_b")).scalar(), F.lit(1 << (4 * HIST_BUCKETS_HEX))))
-    need = edge.select(F.min(n_col - (F.col("_cum") - F.col("_c")))).scalar()
-    below = keyed.where(F.col("_b") < cut_bucket)
-    at = keyed.where(F.col("_b") == cut_bucket)
-    at = at.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_rk", id_col)))
-    at = at.where(F.col("_rn") <= need).drop("_rn")
-    return below.unionByName(at).drop("_rk", "_b")
+def _ranked_ids(df: DataFrame, key: Column, id_col: str) -> DataFrame:
+    """(_rk, _id) of every row, written once: all that finding a cut reads."""
+    return staged(df.select(key.alias("_rk"), F.col(id_col).alias("_id")), "ranked_ids")
+
+
+def _cut(keyed: DataFrame, n: Column) -> Column:
+    """The n-th smallest (_rk, _id) as a scalar struct; NULL when there are fewer rows.
+
+    Two histogram levels on four hex digits of the key each leave about one row in
+    2^32 to rank. Every ordered window is over one histogram (65,536 rows).
+    """
+    rows, before = keyed, F.lit(0).cast("bigint")
+    for level in range(2):
+        rows = rows.withColumn("_b", F.substring("_rk", 1 + level * HIST_HEX, HIST_HEX))
+        hist = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+        cum = hist.withColumn("_cum", F.sum("_c").over(Window.orderBy("_b")) + before)
+        edge = cum.where((F.col("_cum") >= n) & (F.col("_cum") - F.col("_c") < n))
+        found = edge.select(F.min(F.struct("_b", (F.col("_cum") - F.col("_c")).alias("before")))).scalar()
+        rows, before = rows.where(F.col("_b") == found["_b"]), found["before"]
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_rk", "_id")) + before
+    return rows.withColumn("_n", place).where(F.col("_n") == n).select(F.min(F.struct("_rk", "_id"))).scalar()
+
+
+def _up_to(df: DataFrame, key: Column, id_col: str, n: Column, cut: Column) -> DataFrame:
+    """The rows of ``df`` up to the cut."""
+    here = F.struct(key.alias("_rk"), F.col(id_col).alias("_id"))
+    return df.where((n > 0) & (cut.isNull() | (here <= cut)))
 
 
 def sample_fraction(df: DataFrame, frac: float, seed: int = 42, salt: str | None = None,
@@ -83,8 +78,9 @@ def sample_fraction(df: DataFrame, frac: float, seed: int = 42, salt: str | None
 
     The size is a scalar subquery, so nothing is computed on the driver.
     """
-    n = df.select(F.bround(F.lit(float(frac)) * F.count(F.lit(1))).cast("bigint")).scalar()
-    return _sample_by_histogram(df, n, rank_key(id_col, seed, salt), id_col)
+    keyed = _ranked_ids(df, rank_key(id_col, seed, salt), id_col)
+    n = keyed.select(F.bround(F.lit(float(frac)) * F.count(F.lit(1))).cast("bigint")).scalar()
+    return _up_to(df, rank_key(id_col, seed, salt), id_col, n, _cut(keyed, n))
 
 
 def shuffle_keyed(df: DataFrame, seed: int = 42, id_col: str = "pair_id", salt: str = "shuffle") -> DataFrame:
@@ -119,27 +115,19 @@ def unique_sample(df: DataFrame, n: int, seed: int = 42, label: str = "label",
 
     First row per sentence1 and per sentence2 (shuffled order); ``min(n,
     size)`` of each; union without exact duplicates; then ``n`` of those, or
-    all of them topped up with unsampled positives. Both branches are one
-    ordered top-k over (priority, key), so no driver decision is needed.
-    Each draw has its own salt.
+    all of them topped up with unsampled positives (the missing number is a
+    scalar subquery, so no driver decision is needed). Each draw has its own salt.
     """
     data_cols = list(data_cols or [c for c in df.columns if c != id_col])
+    df = staged(df, "diversity_input")  # read by five branches
     u1 = sample_n(first_per_key(df, "sentence1", seed, "shuffle", id_col), n, seed, "s1", id_col)
     u2 = sample_n(first_per_key(df, "sentence2", seed, "shuffle", id_col), n, seed, "s2", id_col)
-    combined = distinct_rows(u1.unionByName(u2), data_cols, id_col)
+    combined = staged(distinct_rows(u1.unionByName(u2), data_cols, id_col), "diversity_union")
     remaining = df.where(F.col(label) == 1).join(combined.select(id_col), id_col, "left_anti")
-    if n <= TOPK_MAX_ROWS:
-        cand = (combined.withColumns({"_p": F.lit(0), "_rk": rank_key(id_col, seed, "final")})
-                .unionByName(remaining.withColumns({"_p": F.lit(1), "_rk": rank_key(id_col, seed, "topup")})))
-        picked = cand.orderBy("_p", "_rk", id_col).limit(n).drop("_p", "_rk")
-    else:
-        # Same rows without a single-task merge: n of the union, then the
-        # top-up size as a scalar subquery.
-        first = _sample_by_histogram(combined, n, rank_key(id_col, seed, "final"), id_col)
-        short = F.greatest(F.lit(n) - combined.select(F.count(F.lit(1))).scalar(), F.lit(0))
-        topup = _sample_by_histogram(remaining, short, rank_key(id_col, seed, "topup"), id_col)
-        picked = first.unionByName(topup)
-    return shuffle_keyed(picked, seed, id_col)
+    first = sample_n(combined, n, seed, "final", id_col)
+    short = F.greatest(F.lit(n) - combined.select(F.count(F.lit(1))).scalar(), F.lit(0))
+    topup = sample_n(remaining, short, seed, "topup", id_col)
+    return shuffle_keyed(first.unionByName(topup), seed, id_col)
 
 
 def distinct_rows(df: DataFrame, data_cols: Sequence[str], id_col: str | None = "pair_id") -> DataFrame:
@@ -154,45 +142,24 @@ def oversample_positives(df: DataFrame, k: int, label: str = "label") -> DataFra
     return df.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.when(F.col(label) == 1, k).otherwise(1))))
 
 
-def _keyed_buckets(df: DataFrame, order_col: str, by: Sequence[str]) -> DataFrame:
-    """Add ``_pb``: an order-preserving bucket of about ``POSITION_BUCKET`` rows.
-
-    Integral keys: the bucket width comes from each shard's key range and
-    row count (a small per-shard aggregate), so sparse ids do not make one
-    bucket per row. String keys (hash ids): a 4-character prefix.
-    """
-    if not isinstance(df.schema[order_col].dataType, IntegralType):
-        return df.withColumn("_pb", F.substring(F.col(order_col).cast("string"), 1, HIST_BUCKETS_HEX))
-    key = F.col(order_col).cast("decimal(38,0)")
-    stats_aggs = [F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n")]
-    n_buckets = F.greatest(F.ceil(F.col("_n") / F.lit(POSITION_BUCKET)), F.lit(1))
-    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / n_buckets), F.lit(1))
-    if by:
-        stats = df.groupBy(*by).agg(*stats_aggs).select(*by, "_lo", width.alias("_w"))
-        keyed = df.join(stats, list(by))
-    else:
-        stats = df.agg(*stats_aggs)
-        keyed = df.withColumns({"_lo": stats.select("_lo").scalar(), "_w": stats.select(width).scalar()})
-    bucket = F.floor((key - F.col("_lo")) / F.col("_w")).cast("bigint")
-    return keyed.withColumn("_pb", bucket).drop("_lo", "_w")
-
-
 def positions(df: DataFrame, order_col: str, by: Sequence[str] = ()) -> DataFrame:
     """0-based ``position`` of each row in ``order_col`` order within ``by``.
 
-    Skew-safe two-level rank: rows are counted per order-preserving bucket
-    (about 65,536 rows each), bucket offsets come from a window over that
-    small count table, and the row number is taken only within (by,
-    bucket). No window ever holds a whole group, however hot.
+    Rows are range-partitioned on (by, order_col), which splits a hot shard for any
+    key type, and written with their partition number. Rows are numbered within
+    (partition, by); offsets come from the table of counts per (partition, by). A
+    NULL shard is a shard and a NULL key comes first; no row is lost.
     """
-    keyed = _keyed_buckets(df, order_col, by)
-    counts = keyed.groupBy(*by, "_pb").agg(F.count(F.lit(1)).alias("_pc"))
-    w_off = Window.partitionBy(*by).orderBy("_pb")
-    offsets = counts.withColumn("_off", F.sum("_pc").over(w_off) - F.col("_pc")).drop("_pc")
-    w_row = Window.partitionBy(*by, "_pb").orderBy(order_col)
-    ranked = keyed.withColumn("_rn", F.row_number().over(w_row))
-    out = ranked.join(offsets, [*by, "_pb"])
-    return out.withColumn("position", F.col("_off") + F.col("_rn") - 1).drop("_pb", "_off", "_rn")
+    parted = staged(df.repartitionByRange(*by, order_col).withColumn("_part", F.spark_partition_id()), "positions")
+    counts = parted.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_pc"))
+    before = F.sum("_pc").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_pc")
+    offsets = counts.select(F.col("_part").alias("_opart"), *[F.col(c).alias(f"_o_{c}") for c in by], before.alias("_off"))
+    ranked = parted.withColumn("_rn", F.row_number().over(Window.partitionBy("_part", *by).orderBy(order_col)))
+    same = F.col("_part") == F.col("_opart")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    out = ranked.join(offsets, same)
+    return out.withColumn("position", F.col("_off") + F.col("_rn") - 1).select(*df.columns, "position")
 
 
 def assign_batches(df: DataFrame, batch_size: int, order_col: str = "pair_id",

@@ -126,7 +126,8 @@ def q_multiclass_metrics(spark, sf_dir):
               round(avg(f1), 6) macro_f1, CAST(max(correct) AS DOUBLE) / CAST(max(total) AS DOUBLE) accuracy,
               count(*) n_classes FROM mc2""", *_MC_CTES), "A7")
 def q_multiclass_macro(spark, sf_dir):
-    return M.multiclass_macro(M.multiclass(fx.preds_multi(spark, sf_dir)))
+    macro = M.multiclass_macro(M.multiclass(fx.preds_multi(spark, sf_dir)))
+    return macro.withColumns({c: F.round(c, 6) for c in ("macro_precision", "macro_recall", "macro_f1")})
 
 
 # ---------------------------------------------------------------- A8 / A14

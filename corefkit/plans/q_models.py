@@ -15,13 +15,14 @@ from corefkit.operators import inference as INF
 from corefkit.operators import metrics as M
 from corefkit.operators import prompts as P
 from corefkit.plans import fixtures as fx
+from corefkit.plans import stubs
 from corefkit.plans.oracle_ctes import oracle
 from corefkit.plans.q_evaluation import counts_sql, report_ctes, report_long_sql, safe
 from corefkit.plans.q_prompts import (
     _SPLIT_PM_CTE, PM_CTE, SYSTEM_SQL, _encode_sql, cat, lit_sql, turn_sql, user_prompt_sql,
 )
 from corefkit.registry import register
-from corefkit.session import shared_dir
+from corefkit.session import shared_dir, staged
 
 
 def _h_sql(x: str) -> str:
@@ -42,8 +43,7 @@ def _scores(spark, sf_dir, test_only=False):
     if test_only:
         s = s.where(F.col("split") == "test")
     enc = E.encode_pairs(P.encoder_text(s))
-    scored = INF.score_pairs(enc, INF.HashLogitModel, batch_size=512)
-    return scored.join(s.select("pair_id", "label"), "pair_id")
+    return INF.score_pairs(enc, stubs.HashLogitModel, batch_size=512, keep=("label",))
 
 
 @register("score_pairs", oracle(
@@ -86,10 +86,8 @@ _GEN_CTE = f"""gen AS (SELECT pair_id, label, {_gen_sql('prompt')} completion
 
 
 def _generated(spark, sf_dir):
-    m = P.reason_messages(fx.pairs(spark, sf_dir))
-    prompts = m.select("pair_id", "label", P.render_inference_chat().alias("prompt"))
-    g = INF.generate_responses(prompts, INF.HashShapeGenerator, batch_size=128)
-    return g.join(prompts.select("pair_id", "label"), "pair_id")
+    prompts = P.reason_prompts(fx.pairs(spark, sf_dir)).select("pair_id", "label", "prompt")
+    return INF.generate_responses(prompts, stubs.HashShapeGenerator, batch_size=128, keep=("label",))
 
 
 @register("generate_responses", oracle("SELECT pair_id, completion FROM gen", PM_CTE, _GEN_CTE), "INF2", "M9", "P11")
@@ -97,6 +95,17 @@ def q_generate_responses(spark, sf_dir):
     return _generated(spark, sf_dir).select("pair_id", "completion")
 
 
+@register("generate_two_models", oracle(
+    f"""SELECT pair_id, 'a' model, {_gen_sql("('a' || prompt)").replace("length(('a' || prompt))", "length(prompt)")} completion FROM pr
+        UNION ALL SELECT pair_id, 'b', {_gen_sql("('b' || prompt)").replace("length(('b' || prompt))", "length(prompt)")} FROM pr""",
+    PM_CTE, f"pr AS (SELECT pair_id, {_REASON_INFER_SQL} prompt FROM pm)"), "INF2")
+def q_generate_two_models(spark, sf_dir):
+    """Two differently set generators in one session: each call meets its own model."""
+    prompts = P.reason_prompts(fx.pairs(spark, sf_dir)).select("pair_id", "prompt")
+    a, b = (INF.generate_responses(prompts, lambda m=m: stubs.HashShapeGenerator(m)).withColumn("model", F.lit(m)) for m in "ab")
+    return a.unionByName(b).select("pair_id", "model", "completion")
+
+
 _E2_COUNTS = counts_sql(
     f"(SELECT label, CASE WHEN contains(completion, '<answer>') THEN (CASE WHEN contains(lower(split_part(completion, "
     f"'<answer>', 2)), 'yes') THEN 1 WHEN contains(lower(split_part(completion, '<answer>', 2)), 'no') THEN 0 END) END "
@@ -134,7 +143,7 @@ def _collect_sql(fail_once: bool = False) -> str:
 def q_collect_responses(spark, sf_dir):
     store = shared_dir(spark, "responses", unique=True)
     p = fx.pairs(spark, sf_dir)
-    merged = INF.collect_responses(p, lambda: INF.HashStubClient(fail_mod=11), store, concurrency=50)
+    merged = INF.collect_responses(p, lambda: stubs.HashStubClient(fail_mod=11), store, concurrency=50)
     return merged.select("pair_id", "label", "model_response", "reasoning_content")
 
 
@@ -156,9 +165,8 @@ def q_collect_resume(spark, sf_dir):
     p = fx.pairs(spark, sf_dir)
 
     def factory():
-        return INF.HashStubClient(fail_mod=11, fail_once=True)
+        return stubs.HashStubClient(fail_mod=11, fail_once=True)
 
-    factory.cache_key = "HashStubClient-fail-once"
     INF.collect_responses(p, factory, store, concurrency=50)
     merged = INF.collect_responses(p, factory, store, concurrency=50)
     return INF.summary(merged, read_log(spark, store))
@@ -166,12 +174,31 @@ def q_collect_resume(spark, sf_dir):
 
 # ---------------------------------------------------------------- INF4
 
-@register("fit_pair_classifier", None, "INF4")
+@register("collect_range", oracle(
+    _collect_sql() + " WHERE pair_id IN (SELECT pair_id FROM pairs ORDER BY pair_id LIMIT 200 OFFSET 100)", PM_CTE), "INF3", "P8")
+def q_collect_range(spark, sf_dir):
+    """Collection of a row range [100, 300), two waves."""
+    store = shared_dir(spark, "responses_range", unique=True)
+    merged = INF.collect_responses(fx.pairs(spark, sf_dir), lambda: stubs.HashStubClient(fail_mod=11), store,
+                                   start=100, end=300, wave_rows=100)
+    return merged.select("pair_id", "label", "model_response", "reasoning_content")
+
+
+@register("fit_pair_classifier", oracle(
+    "SELECT pair_id, label, TRUE valid, TRUE above_base FROM splits WHERE split = 'test'"), "INF4")
 def q_fit_pair_classifier(spark, sf_dir):
+    """Fitted on train, chosen on dev, applied to test; every test pair gets a class and a probability.
+
+    ``above_base``: the class-1 F1 on test is above that of calling every pair positive.
+    """
     s = fx.splits(spark, sf_dir)
     model = C.fit(s.where(F.col("split") == "train"), s.where(F.col("split") == "dev"))
-    pred = C.predict(model, s.where(F.col("split") == "test"))
-    return pred.select("pair_id", "label", "pred", "prob1")
+    pred = staged(C.predict(model, s.where(F.col("split") == "test")).select("pair_id", "label", "pred", "prob1"), "predicted")
+    hit = F.count_if((F.col("label") == 1) & (F.col("pred") == 1))
+    n_label, n_pred, n = F.sum("label"), F.sum("pred"), F.count(F.lit(1))
+    better = pred.select(2 * hit / (n_label + n_pred) > 2 * n_label / (n_label + n)).scalar()
+    return pred.select("pair_id", "label", (F.col("pred").isin(0, 1) & F.col("prob1").between(0, 1)).alias("valid"),
+                       better.alias("above_base"))
 
 
 # ---------------------------------------------------------------- §2.14 streaming form
@@ -184,7 +211,7 @@ def q_collect_stream(spark, sf_dir):
     base = shared_dir(spark, "stream", unique=True)
     p = fx.pairs(spark, sf_dir)
     p.write.mode("overwrite").parquet(f"{base}/pairs")
-    collect_stream(spark, f"{base}/pairs", p.schema, lambda: INF.HashStubClient(fail_mod=11),
+    collect_stream(spark, f"{base}/pairs", p.schema, lambda: stubs.HashStubClient(fail_mod=11),
                    f"{base}/responses", f"{base}/checkpoint")
     pairs = spark.read.parquet(f"{base}/pairs").select(F.col("pair_id").cast("string").alias("pair_id"), "label")
     return collected_table(spark, pairs, f"{base}/responses").select(

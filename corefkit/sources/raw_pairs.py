@@ -38,23 +38,32 @@ def field_names(with_ids: bool) -> list[str]:
     return (ID_FIELDS if with_ids else []) + RAW_FIELDS
 
 
+COPY_CHUNK = 1_000  # copies of one line that one task writes in a row
+
+
 def assign_pair_ids(lines: DataFrame, col: str = "value") -> DataFrame:
     """``pair_id = md5(line) ':' ordinal`` among identical lines.
 
     Identical lines are identical rows, so any numbering of them gives the
-    same set of (id, line). Ordinals come from counts per (line, input
-    partition) and offsets over those small counts: a line repeated a third
-    of the table is counted map-side and spread over the partitions that
-    hold it, never ranked by one task.
+    same set of (id, line). Copies are counted per input partition (map-side)
+    and get offsets from these counts. More than ``COPY_CHUNK`` copies are cut
+    into chunks that are dealt out by (hash, chunk) before they are written
+    out, so a line repeated a third of the table is spread over all tasks.
     """
-    pid = F.spark_partition_id()
-    counts = lines.groupBy(F.col(col).alias("line"), pid.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("line").orderBy("_part")
-    offs = counts.withColumn("_off", F.sum("_n").over(w) - F.col("_n"))
-    ords = offs.select("line", F.explode(F.sequence(F.col("_off"), F.col("_off") + F.col("_n") - 1)).alias("_ord"))
-    return ords.select(
-        F.concat(F.md5("line"), F.lit(":"), F.col("_ord").cast("string")).alias("pair_id"),
-        F.col("line").alias(col))
+    counts = (lines.groupBy(F.md5(col).alias("_h"), F.col(col).alias("line"), F.spark_partition_id().alias("_part"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    before = F.sum("_n").over(Window.partitionBy("_h").orderBy("_part")) - F.col("_n")
+    numbered = counts.select("_h", "line", "_n", before.alias("_off"))
+    few = numbered.where(F.col("_n") <= COPY_CHUNK).select(
+        "_h", "line", F.explode(F.sequence(F.col("_off"), F.col("_off") + F.col("_n") - 1)).alias("_ord"))
+    chunk = F.lit(COPY_CHUNK).cast("long")
+    many = numbered.where(F.col("_n") > COPY_CHUNK).select(
+        "_h", "line", (F.col("_off") + F.col("_n") - 1).alias("_last"),
+        F.explode(F.sequence(F.col("_off"), F.col("_off") + F.col("_n") - 1, chunk)).alias("_first"))
+    many = many.repartition("_h", "_first").select("_h", "line", F.explode(F.sequence(
+        F.col("_first"), F.least(F.col("_last"), F.col("_first") + chunk - 1))).alias("_ord"))
+    return few.unionByName(many).select(
+        F.concat("_h", F.lit(":"), F.col("_ord").cast("string")).alias("pair_id"), F.col("line").alias(col))
 
 
 def split_fields(lines: DataFrame, with_ids: bool = False, col: str = "value") -> DataFrame:

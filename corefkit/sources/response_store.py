@@ -9,7 +9,7 @@ rows that the merge (latest attempt per id) makes idempotent.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 RESPONSE_LOG_SCHEMA = ("pair_id string, attempt int, model_response string, reasoning_content string, "
                        "error string")
@@ -24,5 +24,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All committed attempts (empty when nothing was collected yet)."""
     try:
         return spark.read.schema(RESPONSE_LOG_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # a store that can't be read must not look like one where nothing was collected
         return spark.createDataFrame([], RESPONSE_LOG_SCHEMA)

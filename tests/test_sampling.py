@@ -17,13 +17,12 @@ def test_sample_is_partition_independent(spark):
     assert len(samples[0]) == 300
 
 
-def test_histogram_equals_topk(spark):
+def test_sample_equals_ordered_limit(spark):
     base = spark.range(0, 20000).withColumnRenamed("id", "pair_id")
     for n in (0, 1, 777, 19999, 20000, 25000):
-        a = _ids(S.sample_n(base, n, 7, method="topk"))
-        b = _ids(S.sample_n(base, n, 7, method="histogram"))
-        assert a == b
-        assert len(a) == min(n, 20000)
+        want = _ids(base.orderBy(S.rank_key("pair_id", 7), "pair_id").limit(n))
+        assert _ids(S.sample_n(base, n, 7)) == want
+        assert len(want) == min(n, 20000)
 
 
 def test_sample_fraction_exact_size(spark):
@@ -61,23 +60,18 @@ def test_unique_sample_rules(spark):
     assert firsts.count() == 40
 
 
-def test_unique_sample_large_n_path_equals_topk_path(spark, monkeypatch):
-    rows = [(i, f"s{i % 70}", f"t{i % 90}", int(i % 4 == 0)) for i in range(600)]
-    df = spark.createDataFrame(rows, "pair_id long, sentence1 string, sentence2 string, label int")
-    for n in (50, 120):
-        a = _ids(S.unique_sample(df, n, 42))
-        monkeypatch.setattr(S, "TOPK_MAX_ROWS", 10)
-        b = _ids(S.unique_sample(df, n, 42))
-        monkeypatch.setattr(S, "TOPK_MAX_ROWS", 20_000)
-        assert a == b and len(a) == len(set(a))
+def test_positions_keep_null_shards_and_keys(spark):
+    rows = [(None, "a"), (1, "a"), (None, None), (5, None), (3, None), (2, "a"), (9, "b")]
+    df = spark.createDataFrame(rows, "pair_id long, shard string")
+    got = sorted((r.shard or "", -1 if r.pair_id is None else r.pair_id, r.position)
+                 for r in S.positions(df, "pair_id", ["shard"]).collect())
+    assert got == [("", -1, 0), ("", 3, 1), ("", 5, 2), ("a", -1, 0), ("a", 1, 1), ("a", 2, 2), ("b", 9, 0)]
+    assert S.assign_batches(df, 2, "pair_id", ["shard"]).count() == 7
 
 
-def test_positions_sparse_ids_use_few_buckets(spark):
-    df = spark.range(0, 200000).select(
-        (F.col("id") * 1_000_003).alias("pair_id"), F.when(F.col("id") % 5 == 0, "b").otherwise("hot").alias("shard"))
-    got = S.positions(df, "pair_id", ["shard"]).select("pair_id", "position")
-    w = Window.partitionBy("shard").orderBy("pair_id")
-    exp = df.select("pair_id", (F.row_number().over(w) - 1).alias("position"))
-    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
-    buckets = S._keyed_buckets(df, "pair_id", ["shard"]).select("shard", "_pb").distinct().count()
-    assert buckets <= 8  # about rows / 65,536 per shard, not one per id
+def test_positions_of_string_keys_with_few_prefixes(spark):
+    df = spark.range(0, 50_000).select(F.format_string("row-%08d", "id").alias("key"), (F.col("id") % 7).alias("shard"))
+    got = S.positions(df, "key", ["shard"])
+    w = Window.partitionBy("shard").orderBy("key")
+    exp = df.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+    assert got.exceptAll(exp.select(got.columns)).count() == 0 and got.count() == 50_000
