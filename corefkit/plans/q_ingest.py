@@ -10,7 +10,6 @@ from corefkit.plans import fixtures as fx
 from corefkit.plans.oracle_ctes import oracle
 from corefkit.plans.oracle_ctes import strip as d_strip
 from corefkit.plans.oracle_ctes import words as d_words
-from corefkit.functions.text import timestamp_text
 from corefkit.operators import sampling as S
 from corefkit.plans.q_evaluation import counts_sql, report_ctes
 from corefkit.plans.q_sampling import N_NEGATIVE, N_UNIQUE, SEED, T5_RESULT, t5_ctes
@@ -139,15 +138,7 @@ def q_load_splits(spark, sf_dir):
 def metrics_documents(spark, sf_dir):
     """One metrics document per ``source`` (A11 + A8 as the nested reference layout)."""
     r = M.evaluate_with_invalid(fx.preds(spark, sf_dir), by=["source"])
-    return r.select(
-        M.report_struct(r).alias("classification_report"),
-        M.matrix(r).alias("confusion_matrix"),
-        F.struct(F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"),
-                 F.col("tn").alias("true_negatives"), F.col("fn").alias("false_negatives"),
-                 "invalid_count", "invalid_rate", "total_samples").alias("additional_metrics"),
-        timestamp_text().alias("timestamp"),
-        F.col("source").alias("tag"),
-    )
+    return D.metrics_document(r, F.col("source"))
 
 
 _DOC_SQL = """SELECT source tag, precision1 AS precision, recall1 AS recall, f1_1 f1_score, accuracy, support0,
@@ -160,10 +151,10 @@ _DOC_CTES = [f"""c AS ({counts_sql('preds', by='source', extra=", count(*) FILTE
              *report_ctes("c2")]
 
 
-def _flatten_doc(d):
+def _flatten_doc(d, more=()):
     cr, am = "classification_report", "additional_metrics"
     return d.select(
-        "tag",
+        "tag", *more,
         F.col(f"{cr}.Coreferent.precision").alias("precision"), F.col(f"{cr}.Coreferent.recall").alias("recall"),
         F.col(f"{cr}.Coreferent.`f1-score`").alias("f1_score"), F.col(f"{cr}.accuracy").alias("accuracy"),
         F.col(f"{cr}.`Not Coreferent`.support").alias("support0"),

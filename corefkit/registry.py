@@ -44,7 +44,7 @@ def register(name: str, oracle: str | None, *inventory: str):
 def _load_all() -> None:
     # Importing the plan modules fills the registry.
     from corefkit.plans import (  # noqa: F401
-        q_evaluation, q_ingest, q_models, q_prompts, q_reports, q_sampling, q_text,
+        q_evaluation, q_flows, q_ingest, q_models, q_prompts, q_reports, q_sampling, q_text,
     )
 
 
