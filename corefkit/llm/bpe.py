@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of its bytes. Every neighbouring pair that is in
-the vocabulary waits in the bucket of its merge rank, and a three-level bitmap
+the vocabulary waits in the bucket of its merge rank, and a two-level bitmap
 over the ranks marks the buckets in use, so find-first-set gives the next rank
-in three steps. Each merge touches two neighbours; entries whose pair has
+in two steps. Each merge touches two neighbours; entries whose pair has
 changed since are stale and skipped. Work per pre-token is near linear in its
 length, so a pre-token of a million bytes is no special case.
 
 Texts are encoded in Arrow batches where they lie; nothing is shuffled. The rank
 file (under 1 MB) is read on the driver and broadcast. Each Python worker keeps
-the ids of at most ``CACHE_ENTRIES`` short pre-tokens.
+the ids of the short pre-tokens it has met last, two generations of ``CACHE_ENTRIES``.
 
 Null texts count as empty and give no ids. Rows are independent: repeated rows,
 null ids and extra columns pass through without effect.
@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,124 +32,132 @@ from pyspark.sql import functions as F
 from corefkit.llm.common import documents
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-CACHE_ENTRIES = 200_000
-CACHE_BYTES = 64
+#: The cache of a Python worker holds two generations of so many pre-tokens of at most so many characters.
+CACHE_ENTRIES = 400_000
+CACHE_CHARS = 48
 OUT_TOKENS = 1_000_000
+#: Ranks per word of the bitmap: 256 words of 256 ranks make the upper level one word.
+SHIFT = 8
+MASK = (1 << SHIFT) - 1
+BIT = [1 << k for k in range(1 << SHIFT)]
 #: Unicode White_Space, as the pattern's \\s is meant (Python's own class has U+001C to U+001F too).
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-class RankQueue:
-    """Positions by merge rank: buckets under a bitmap of 64-bit words in three levels."""
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """A rank file: one base64 token and its rank a line."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
-    def __init__(self, n_ranks: int):
-        self.low = [0] * ((n_ranks >> 6) + 1)
-        self.mid = [0] * ((n_ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The leftmost position of the smallest rank."""
-        if not self.top:
-            return None
-        i = (self.top & -self.top).bit_length() - 1
-        word = self.mid[i]
-        j = i << 6 | (word & -word).bit_length() - 1
-        word = self.low[j]
-        rank = j << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[j] &= ~(1 << (rank & 63))
-            if not self.low[j]:
-                self.mid[i] &= ~(1 << (j & 63))
-                if not self.mid[i]:
-                    self.top &= ~(1 << i)
-        return rank, position
+class Generation(dict):
+    """Packed ids by pre-token. What is missing comes from the generation before, or is made; short ones stay."""
 
+    def __init__(self, make: Callable[[str], bytes], before: dict[str, bytes] | None = None):
+        super().__init__()
+        self.make = make
+        self.before = dict(before or ())  # a plain copy, so that it keeps no generation before itself
 
-def read_ranks(data: bytes) -> dict[bytes, int]:
-    """A rank file: one base64 token and its rank a line."""
-    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+    def __missing__(self, word: str) -> bytes:
+        packed = self.before.get(word) or self.make(word)
+        if len(word) <= CACHE_CHARS:
+            self[word] = packed
+        return packed
 
 
 class Encoder:
     """Encodes and decodes with one rank file and split pattern; no special tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        n_ranks = max(ranks.values(), default=0) + 1
         self.ranks = ranks
-        self.tokens = {r: t for t, r in ranks.items()}
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.tokens = [b""] * n_ranks
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        # The rank queue: buckets of positions, and a word of the bitmap for every 2^SHIFT ranks.
+        # Both are empty between pre-tokens; the upper level of the bitmap lives in ``merge``.
+        self.buckets: dict[int, list[int]] = {}
+        self.bitmap = [0] * ((n_ranks >> SHIFT) + 1)
         spaced = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
-        self.split = regex.compile(spaced).finditer
-        self.cache: dict[str, bytes] = {}
+        self.split = regex.compile(spaced).findall
+        self.cache = Generation(self.pack)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest rank merges first, the leftmost of equal ranks."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        n, queue, rank_of = len(piece), self.queue, ranks.get
+        rank_of = self.ranks.get
+        if (whole := rank_of(piece)) is not None:
+            return [whole]
+        buckets, bitmap, upper = self.buckets, self.bitmap, 0
+        n = len(piece)
         end = list(range(1, n + 1))  # where the node that starts here ends, which is where the next starts
         before = list(range(-1, n))  # the start of the node before
-        waits: list[int | None] = [None] * n  # the rank under which a node waits for its right neighbour
-        for i in range(n - 1):
-            r = waits[i] = rank_of(piece[i:i + 2])
-            if r is not None:
-                queue.push(r, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
+        # the rank under which a node waits for its right neighbour
+        waits: list[int | None] = [rank_of(piece[i:i + 2]) for i in range(n - 1)]
+        waits.append(None)
+        entries = enumerate(waits)
+        while True:
+            for i, rank in entries:
+                if rank is None:
+                    continue
+                bucket = buckets.get(rank)
+                if bucket is not None:
+                    heappush(bucket, i)
+                    continue
+                buckets[rank] = [i]
+                at = rank >> SHIFT
+                bitmap[at] |= BIT[rank & MASK]
+                upper |= BIT[at]
+            if not upper:
+                break
+            # find-first-set on both levels gives the smallest rank in use
+            at = (upper & -upper).bit_length() - 1
+            word = bitmap[at]
+            bit = (word & -word).bit_length() - 1
+            rank = at << SHIFT | bit
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                word = bitmap[at] = word ^ BIT[bit]
+                if not word:
+                    upper ^= BIT[at]
+            entries = ()
             if waits[i] != rank:
-                continue
+                continue  # stale: the pair has changed since
             right = end[i]
             stop = end[i] = end[right]
             waits[right] = None
             if stop < n:
                 before[stop] = i
-                r = waits[i] = rank_of(piece[i:end[stop]])
-                if r is not None:
-                    queue.push(r, i)
+                rank = rank_of(piece[i:end[stop]])
             else:
-                waits[i] = None
+                rank = None
+            waits[i] = rank
             left = before[i]
-            if left >= 0:
-                r = rank_of(piece[left:stop])
-                if r != waits[left]:
-                    waits[left] = r
-                    if r is not None:
-                        queue.push(r, left)
+            if left < 0:
+                if rank is not None:
+                    entries = ((i, rank),)
+                continue
+            other = rank_of(piece[left:stop])
+            if other != waits[left]:
+                waits[left] = other
+                entries = ((i, rank), (left, other))
+            else:
+                entries = ((i, rank),)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i:end[i]]])
+            ids.append(self.ranks[piece[i:end[i]]])
             i = end[i]
         return ids
 
+    def pack(self, word: str) -> bytes:
+        ids = self.merge(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        cache, parts = self.cache, []
-        for match in self.split(text):
-            word = match[0]
-            ids = cache.get(word)
-            if ids is None:
-                piece = word.encode()
-                ids = np.array(self.merge(piece), "<u4").tobytes()
-                if len(piece) <= CACHE_BYTES:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[word] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        if len(self.cache) >= CACHE_ENTRIES:
+            self.cache = Generation(self.pack, self.cache)
+        return b"".join(map(self.cache.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
