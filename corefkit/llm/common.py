@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corefkit.session import shared_dir
+from corefkit.session import staged  # noqa: F401  (for the operators)
 
 #: The white space of every contract: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -27,17 +27,6 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the cluster's shared folder and read it back.
-
-    Cuts the lineage, so several readers and later rounds neither recompute it
-    nor depend on an executor that may be lost.
-    """
-    path = shared_dir(df.sparkSession, "llm", name, unique=True)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def conjunction(conditions: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a & b, conditions)
 

@@ -1,7 +1,16 @@
 """The pipeline's stages on a small table, and that each works on what the one before kept."""
+import base64
+import hashlib
+
+import numpy as np
+import public_tokenizers as P
+import tiktoken
+
 import corpus_pipeline
-from corefkit.llm import exact_dedup, simhash
+from corefkit.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from corefkit.llm.common import staged
+from tests.llm.test_exact_dedup import lower
+from tests.llm.test_simhash import brute_groups, brute_print
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +55,44 @@ def test_run_equals_the_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = staged(stage(spark, docs, SF), "test")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, docs.select("doc_id", "ids_sha256").collect()))
+
+
+def test_every_stage_equals_brute_force(spark):
+    """Each stage on the rows that the one before kept, against plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    outputs = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, SF), "test")
+        outputs.append(docs.collect())
+    start = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    matcher = toxicity.Matcher(model.lexicon)
+    clean = [r for r in start if model.score(np.array([matcher.features(r.text or "")]))[0] < 0.5]
+    assert {r.doc_id for r in outputs[0]} == {r.doc_id for r in clean}
+
+    last = {}
+    for r in outputs[0]:
+        last[lower(r.text)] = max(r.doc_id, last.get(lower(r.text), r.doc_id))
+    assert {r.doc_id for r in outputs[1]} == set(last.values())
+
+    prints = [(r.doc_id, brute_print(r.text)) for r in outputs[1]]
+    assert {r.doc_id for r in outputs[2]} == set(brute_groups(prints, 2).values())
+
+    taken = {r.row.doc_id: r.taken for r in mixing.mix(spark.createDataFrame(outputs[2]), ["doc_id"]).collect()}
+    words = dict.fromkeys(taken, 0)
+    texts = {r.doc_id: r.text.split() for r in outputs[2]}
+    for r in outputs[3]:
+        words[r.doc_id] += len(r.text.split())
+        rest = iter(texts[r.doc_id])
+        assert all(w in rest for w in r.text.split())  # the words of the document in their order
+    assert words == taken
+
+    with open(P.path(bpe.RANK_FILE), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in outputs[3]:
+        ids = np.array(own.encode_ordinary(r.text), "<u4").tobytes()
+        want.append((r.doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()))
+    assert sorted(tuple(r)[:4] for r in outputs[4]) == sorted(want)
