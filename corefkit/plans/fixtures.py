@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corefkit.functions.parse import tagged_answer
-from corefkit.functions.text import hash_int, let, words
+from corefkit.functions.text import WS, hash_int, let, words
 
 # Fixed values of the fixture definition.
 PAIR_ID_BASE = 1_000_003  # pair_id = document id * base + line number
@@ -41,22 +41,16 @@ def _mention(w: Column, doc_id: Column, line: Column) -> Column:
     )
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with ``ms``, an array of one mention per line that has words; no word is left out.
-
-    Documents are dealt by id, so that the work per document runs in parallel even
-    when the table is one file; AQE chooses the number of partitions. Every use in
-    a query takes the same columns and so shares the exchange.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").repartition("doc_id")
+def _mentions(doc_id: Column) -> Column:
+    """An array of one mention per line of ``text`` that has words; no word is left out."""
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: words(x)), lambda w: F.size(w) > 0)
-    ms = F.transform(lines, lambda w, k: _mention(w, F.col("doc_id"), k))
-    return docs.select("doc_id", "source", "lang", ms.alias("ms"))
+    return F.transform(lines, lambda w, k: _mention(w, doc_id, k))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mention per line of every document: all its words, a 1-2 word trigger."""
-    return _documents(spark, sf_dir).select("doc_id", "source", "lang", F.inline("ms"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return docs.select("doc_id", "source", "lang", F.inline(_mentions(F.col("doc_id"))))
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -70,24 +64,31 @@ def _pair(a: Column, b: Column) -> list[Column]:
 def pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line with the next line of the corpus, so the pairs grow with the lines.
 
-    Within a document that is the next element of its array (no join). The last
-    line of a document meets the first line of the document with the next id: an
-    equality join on a unique key, so no key is hot. A pair has the source of its
-    first line.
+    Within a document that is the next element of its array. The last line of a
+    document meets the first line of the document with the next id, which an
+    equality join on a unique key brings along, so no key is hot. A pair has the
+    source of its first line.
     """
-    docs = _documents(spark, sf_dir)
-    inside = docs.select("doc_id", "source", "lang", F.inline(let(F.col("ms"), lambda m: F.when(F.size(m) > 1, F.transform(
-        F.sequence(F.lit(0), F.size(m) - 2), lambda k: F.struct(m[k].alias("a"), m[k + 1].alias("b")))))))
-    within = inside.select(
-        F.col("a.line").alias("line1"), "source", F.col("doc_id").alias("doc1"), F.col("doc_id").alias("doc2"),
-        F.col("lang").alias("lang1"), F.col("lang").alias("lang2"), *_pair(F.col("a"), F.col("b")))
-    some = docs.where(F.size("ms") > 0)
-    last = some.select((F.col("doc_id") + 1).alias("doc2"), F.col("doc_id").alias("doc1"), "source",
-                       F.col("lang").alias("lang1"), F.element_at("ms", -1).alias("a"))
-    first = some.select(F.col("doc_id").alias("doc2"), F.col("lang").alias("lang2"), F.element_at("ms", 1).alias("b"))
-    across = last.join(first, "doc2").select(
-        F.col("a.line").alias("line1"), "source", "doc1", "doc2", "lang1", "lang2", *_pair(F.col("a"), F.col("b")))
-    j = within.unionByName(across)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    # The first line with words, as the partner of the document before: it begins at the first character that is no blank.
+    start = words(F.substring_index(F.regexp_replace("text", f"^{WS}+", ""), "\n", 1))
+    first = let(start, lambda w: F.when(F.size(w) > 0, _mention(w, F.col("doc_id"), F.lit(0))))
+    firsts = docs.select("doc_id", "lang", first.alias("next")).select(
+        (F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("next_lang"), "next")
+    # Documents are dealt by id, so that the work per document runs in parallel even when the table is one
+    # file; AQE chooses the number of partitions.
+    docs = docs.repartition("doc_id").join(firsts, "doc_id", "left")
+    none = F.array().cast("array<struct<line:bigint,sentence:string,t_start:int,t_end:int,trig:string>>")
+    after = F.when(F.col("next").isNotNull(), F.array("next")).otherwise(none)
+    row = let(_mentions(F.col("doc_id")), lambda own: let(F.concat(own, after), lambda m: F.when(
+        (F.size(own) > 0) & (F.size(m) > 1), F.transform(F.sequence(F.lit(0), F.size(m) - 2), lambda k: F.struct(
+            m[k].alias("a"), m[k + 1].alias("b"), (k + 1 == F.size(own)).alias("across"))))))
+    both = docs.select("doc_id", "source", "lang", "next_lang", F.inline(row))
+    j = both.select(
+        F.col("a.line").alias("line1"), "source", F.col("doc_id").alias("doc1"),
+        (F.col("doc_id") + F.col("across").cast("int")).alias("doc2"), F.col("lang").alias("lang1"),
+        F.when(F.col("across"), F.col("next_lang")).otherwise(F.col("lang")).alias("lang2"),
+        *_pair(F.col("a"), F.col("b")))
     same_initial = F.substring(F.lower("e1_trigger"), 1, 1) == F.substring(F.lower("e2_trigger"), 1, 1)
     return j.select(
         (F.col("doc1") * PAIR_ID_BASE + F.col("line1")).alias("pair_id"),
