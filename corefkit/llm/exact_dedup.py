@@ -153,7 +153,9 @@ def _places_by_bytes(raw: DataFrame, alike: DataFrame, size: int, hash_of) -> Da
 def exact_groups(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     named = staged(identities(docs, **options), "identities")
-    groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # staged, so that the join below shuffles both sides anew and a large group's rows can be split over tasks
+    groups = staged(named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")),
+                    "groups")
     rows = (named.join(groups, ["level", "name"])
             .withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(COPIES).cast("long"))))
             .withColumn("copy", F.explode(F.sequence("first", F.least("copies", F.col("first") + (COPIES - 1))))))
