@@ -7,16 +7,22 @@ compared: the share of the smaller sketch that lies in the larger one estimates
 containment. A text with words but no hash below the fraction keeps its smallest
 hash, so that only texts without words have an empty sketch.
 
+A fraction says little about a text of few shingles. A text of at most ``whole``
+distinct ones therefore keeps them all, and two texts of which one is so short
+are compared on all hashes of both, so that what they share is counted, not
+estimated. Only two longer texts are compared by the retained hashes.
+
 ``fingerprint_edits`` also fingerprints an edited text, whose last quarter is
 replaced by the beginning of the next document. The next id of every id comes
 from a range-partitioned table of ids alone (windows within partitions, one
 boundary row per partition). Documents are then shuffled once by id: there each
-hands the asked prefix and its sketch to the document before it, which meets
-them in the same exchange.
+hands the asked prefix and its sketch (to a short document all its hashes instead) to the
+document before it, which meets them in the same exchange. Sketches are made
+behind that exchange, which carries texts alone.
 
 All columns are DataFrame expressions. Ids ascend with null first; rows that
 share an id have the same next document, and where several rows have the next id
-the smallest prefix (then the smallest sketch) of them is used. Null texts count
+the smallest prefix (then the smallest hashes handed) of them is used. Null texts count
 as empty. A single document is its own next one.
 """
 
@@ -30,7 +36,9 @@ from corefkit.llm.common import WORD_PATTERN, documents, staged
 
 SHINGLE = 5
 #: One hash in so many is kept.
-SCALE = 8
+SCALE = 2
+#: Texts of at most so many distinct shingles keep all hashes.
+WHOLE = 64
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -41,12 +49,25 @@ def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
         .when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>")))
 
 
-def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """The retained hashes, ascending."""
+def distinct_hashes(text: Column, shingle: int = SHINGLE) -> Column:
+    return F.array_distinct(shingle_hashes(text, shingle))
+
+
+def thin(hashes: Column, scale: int = SCALE) -> Column:
+    """Those of some distinct hashes that a sketch retains; if none, the smallest."""
     limit = -(1 << 63) + (1 << 64) // scale - 1
-    few = lambda h: F.filter(h, lambda x: x <= F.lit(limit))
-    return F.sort_array(let(shingle_hashes(text, shingle), lambda h: let(few(h), lambda kept: F.when(
-        F.size(kept) > 0, F.array_distinct(kept)).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(h))))
+    return let(F.filter(hashes, lambda x: x <= F.lit(limit)), lambda kept: F.when(F.size(kept) > 0, kept).when(
+        F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes))
+
+
+def sketch_of(hashes: Column, scale: int = SCALE, whole: int = 0) -> Column:
+    """The sketch, ascending, of a text with these distinct hashes."""
+    return F.sort_array(F.when(F.size(hashes) <= whole, hashes).otherwise(thin(hashes, scale)))
+
+
+def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE, whole: int = 0) -> Column:
+    """The retained hashes, ascending; all of them if there are at most ``whole``."""
+    return let(distinct_hashes(text, shingle), lambda h: sketch_of(h, scale, whole))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -57,11 +78,8 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def merge(sketches: Column, scale: int = SCALE) -> Column:
-    """The sketch of several texts together, from an array of their sketches."""
-    limit = -(1 << 63) + (1 << 64) // scale - 1
-    return let(F.array_distinct(F.flatten(sketches)), lambda all_: let(
-        F.filter(all_, lambda x: x <= F.lit(limit)),
-        lambda kept: F.sort_array(F.when(F.size(kept) > 0, kept).otherwise(F.slice(F.sort_array(all_), 1, 1)))))
+    """The sketch of several texts together, from an array of their sketches (of whole ones, what the scale retains)."""
+    return F.sort_array(let(F.array_distinct(F.flatten(sketches)), lambda all_: thin(all_, scale)))
 
 
 def as_text(hashes: Column) -> Column:
@@ -83,35 +101,50 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return rows.select(*ids.columns, after["known"].alias("next_known"), after["id"].alias("next_id"))
 
 
-def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, whole: int = 0) -> DataFrame:
+    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Texts of at most ``whole`` distinct shingles are fingerprinted and compared on all of them.
+    """
     text = F.coalesce("text", F.lit(""))
     known, id_ = F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")
-    ids = docs.select(known, id_, F.char_length(text).alias("chars")).groupBy("known", "id").agg(
-        F.floor(F.max("chars") / 4).cast("int").alias("need"))
+    few = lambda hashes: F.size(hashes) <= whole
+    # a text without words needs no hashes to be compared
+    ask_all = let(distinct_hashes(text, shingle), lambda h: few(h) & (F.size(h) > 0))
+    ids = docs.select(known, id_, F.char_length(text).alias("chars"), ask_all.alias("few"))
+    ids = ids.groupBy("known", "id").agg(F.floor(F.max("chars") / 4).cast("int").alias("need"), F.max("few").alias("ask_all"))
     asks = staged(next_ids(ids), "next_ids").select(
         F.col("next_known").alias("known"), F.col("next_id").alias("id"), F.col("known").alias("for_known"),
-        F.col("id").alias("for_id"), "need")
+        F.col("id").alias("for_id"), "need", "ask_all")
     # Both joins take these very columns, so that they share one exchange of the texts.
-    rows = docs.select(known, id_, text.alias("text"), sketch(text, shingle, scale).alias("sketch"))
+    rows = docs.select(known, id_, text.alias("text"))
+    prefix = F.substring("text", F.lit(1), F.col("need"))
     handed = rows.join(asks, ["known", "id"]).select(
         F.col("for_known").alias("known"), F.col("for_id").alias("id"),
-        F.struct(F.substring("text", F.lit(1), F.col("need")).alias("prefix"), "sketch").alias("given"))
+        let(distinct_hashes(F.col("text"), shingle), lambda h: F.struct(
+            prefix.alias("prefix"), F.when(F.col("ask_all"), F.sort_array(h)).otherwise(sketch_of(h, scale, whole)).alias("hashes"),
+            few(h).alias("few"))).alias("given"))
     given = handed.groupBy("known", "id").agg(F.min("given").alias("given"))
     both = rows.join(given, ["known", "id"])
     chars = F.char_length("text")
     change = F.floor(chars / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - change),
                       F.substring(F.col("given.prefix"), F.lit(1), change))
-    made = both.select("known", "id", chars.cast("long").alias("n_chars"), "sketch", "given.sketch", edited.alias("edited")
-                       ).toDF("known", "id", "n_chars", "own", "next", "edited")
-    made = made.withColumn("changed", sketch(F.col("edited"), shingle, scale))
+    made = both.select("known", "id", chars.cast("long").alias("n_chars"), "given", edited.alias("edited"),
+                       distinct_hashes(F.col("text"), shingle).alias("hashes"))
+    made = made.withColumn("edited_hashes", distinct_hashes(F.col("edited"), shingle))
+    made = made.withColumn("own", sketch_of(F.col("hashes"), scale, whole)).withColumn(
+        "changed", sketch_of(F.col("edited_hashes"), scale, whole))
+    near_edited = F.when(few(F.col("hashes")) | few(F.col("edited_hashes")), containment(
+        F.col("hashes"), F.col("edited_hashes"))).otherwise(containment(F.col("own"), F.col("changed")))
+    # all hashes are there if either text is short; else all (for another row of the id) or the sketch
+    near_next = F.when(few(F.col("hashes")) | F.col("given.few"), containment(F.col("hashes"), F.col("given.hashes"))).otherwise(
+        containment(F.col("own"), thin(F.col("given.hashes"), scale)))
     return made.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_chars",
                        F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"),
                        as_text(F.col("changed")).alias("edited_fingerprint"),
-                       containment(F.col("own"), F.col("changed")).alias("near_edited"),
-                       containment(F.col("own"), F.col("next")).alias("near_next"))
+                       near_edited.alias("near_edited"), near_next.alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(documents(spark, sf_dir, "doc_id", "text"))
+    return fingerprint_edits(documents(spark, sf_dir, "doc_id", "text"), whole=WHOLE)

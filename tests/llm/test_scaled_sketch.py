@@ -72,6 +72,49 @@ def test_containment_of_a_part_in_a_much_longer_text(spark):
     assert df.select(op.containment(op.sketch(F.col("a")), op.sketch(F.col("b")))).first()[0] == 1.0
 
 
+def exact(a, b):
+    """Containment of the texts' shingle sets, on all hashes."""
+    x, y = (set(brute_sketch(t or "", 5, 1)) for t in (a, b))
+    least = min(len(x), len(y))
+    return len(x & y) / least if least else float(len(x) == len(y))
+
+
+def test_short_parts_of_long_texts(spark):
+    """Parts of 8 to 30 words before and after the long text that holds them whole, and as unlike neighbours."""
+    texts = []
+    for n in range(8, 31):
+        words = [f"w{n}x{k}" for k in range(3000)]
+        texts += [" ".join(words[500:500 + n]), " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in op.fingerprint_edits(df, whole=op.WHOLE).collect()}
+    for k in range(0, len(texts), 2):
+        assert got[k].near_next == 1.0  # the long text is next
+        assert got[k + 1].near_next == 0.0  # the part of another text is next
+    turned = spark.createDataFrame([(len(texts) - k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op.fingerprint_edits(turned, whole=op.WHOLE).collect()}
+    for k in range(0, len(texts), 2):
+        assert got[len(texts) - k - 1].near_next == 1.0  # the part is next
+
+
+def test_query_counts_what_short_texts_share(spark):
+    """Exact values wherever one of two texts is short, close ones between long texts."""
+    path = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got = {r.doc_id: r for r in op.query(spark, path).collect()}
+    short = 0
+    for k, r in enumerate(rows):
+        text, after = r.text or "", rows[(k + 1) % len(rows)].text or ""
+        q = len(text) // 4
+        edited = text[:len(text) - q] + after[:q]
+        for near, other in ((got[r.doc_id].near_edited, edited), (got[r.doc_id].near_next, after)):
+            if min(len(brute_sketch(t, 5, 1)) for t in (text, other)) <= op.WHOLE:
+                short += 1
+                assert near == exact(text, other)
+            else:
+                assert abs(near - exact(text, other)) < 0.3
+    assert short > 0
+
+
 def test_single_document_and_empty_table(spark, no_docs):
     one = spark.createDataFrame([(5, "a b c d e f g h")], "doc_id long, text string")
     assert op.fingerprint_edits(one).first().near_next == 1.0
