@@ -14,8 +14,11 @@ at most a few rows per party are ranked.
 
 A shard is a seeded hash share of a source's documents, read as one stream of
 words and cut into blocks. Its quota takes every block equally often and the rest
-by a seeded hash order, the incomplete last block last. A document gets the words
-it has in taken blocks, each at most twice. Shards hold about ``SHARD_WORDS``
+by a seeded hash order, the incomplete last block last. The order is drawn for
+runs of ``run_blocks`` adjacent blocks: one block (the query), or with
+``RUN_BLOCKS`` several documents, so that a mix of texts cuts few of them and its
+targets stay exact to a block. A document gets the words it has in taken blocks,
+each at most twice. Shards hold about ``SHARD_WORDS``
 words however large a source is, and every window is over one shard, one group
 of shards or the sources, so a source with a third of all rows is no hot key.
 
@@ -35,8 +38,14 @@ from corefkit.llm.common import WORD_PATTERN, documents, staged
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 BLOCK_WORDS = 32
+#: Adjacent blocks that a mix of texts takes one after the other: 4,096 words.
+RUN_BLOCKS = 128
 SHARD_WORDS = 1 << 16
 SEED = 11
+#: A word with the white space before it; the last one also with what follows.
+TOKEN_PATTERN = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++\z)?"
+#: What goes where a text is cut before a word: white space, but not the indentation of its line.
+CUT_PATTERN = r"\A(?:[\x20\x09-\x0D]*[\x0A-\x0D]|[\x20\x09-\x0D]+)"
 
 
 def number(*parts: Column) -> Column:
@@ -89,12 +98,13 @@ def apportion(parties: DataFrame, within: list[str], order: str, weight: str, se
     return joined.select(*parties.columns, (F.col("__base") + F.coalesce("__more", F.lit(0))).alias("quota"))
 
 
-def block_key(place: Column, shard: Column, blocks: Column, block: Column) -> Column:
-    """The order in which a shard's blocks are taken: the last one last, the others by a seeded number."""
-    return F.struct((block == blocks - 1).alias("last"), number(place, shard, block).alias("number"), block.alias("block"))
+def block_key(place: Column, shard: Column, blocks: Column, block: Column, run_blocks: int) -> Column:
+    """The order in which a shard's blocks are taken: the last one last, the others by a seeded number of their run."""
+    first = block - F.pmod(block, F.lit(run_blocks).cast("long"))
+    return F.struct((block == blocks - 1).alias("last"), number(place, shard, first).alias("number"), block.alias("block"))
 
 
-def shard_plan(sized: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
+def shard_plan(sized: DataFrame, sources: DataFrame, block_words: int, run_blocks: int) -> DataFrame:
     """One row per (place, shard): blocks, rounds (how often all are taken) and until (the last block taken once more)."""
     all_blocks = F.floor(F.sum("target").over(Window.partitionBy()) / block_words + 0.5).cast("long")
     quotas = apportion(sources.withColumn("all", F.lit(0)).withColumn("seats", all_blocks), ["all"], "place", "target",
@@ -112,13 +122,13 @@ def shard_plan(sized: DataFrame, sources: DataFrame, block_words: int) -> DataFr
             .withColumn("extra", F.when(F.col("rounds") < 2, F.expr("quota % blocks")).otherwise(0).cast("int"))
             .withColumn("keys", F.sort_array(F.transform(
                 F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-                lambda b: block_key(F.col("place"), F.col("shard"), F.col("blocks"), b))))
+                lambda b: block_key(F.col("place"), F.col("shard"), F.col("blocks"), b, run_blocks))))
             .select("place", "shard", "blocks", "rounds",
                     F.when(F.col("extra") > 0, F.element_at("keys", F.greatest("extra", F.lit(1)))).alias("until")))
 
 
 def mix(docs: DataFrame, payload: list[str], weights=WEIGHTS, share: float = SHARE, block_words: int = BLOCK_WORDS,
-        shard_words: int = SHARD_WORDS) -> DataFrame:
+        shard_words: int = SHARD_WORDS, run_blocks: int = RUN_BLOCKS) -> DataFrame:
     """Per document: the ``payload`` columns of ``docs`` in a struct ``row``, size, source_size, target, taken, and
     cover: for each block that it touches, where in the document, how many words, and how often they are taken."""
     row = F.struct(*[F.col(f"`{c}`") for c in payload]).alias("row")
@@ -130,7 +140,7 @@ def mix(docs: DataFrame, payload: list[str], weights=WEIGHTS, share: float = SHA
     known = sources.select(F.col("source").alias("__source"), "place", "source_size", "target", shards.alias("shards"))
     sized = (sized.join(known, F.col("source").eqNullSafe(F.col("__source")))
              .withColumn("shard", F.pmod("number", "shards")))
-    plan = staged(shard_plan(sized, sources, block_words), "plan")
+    plan = staged(shard_plan(sized, sources, block_words, run_blocks), "plan")
     stream = Window.partitionBy("place", "shard").orderBy("number", "doc", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("start", F.sum("size").over(stream) - F.col("size"))
     joined = placed.join(plan, ["place", "shard"], "left")
@@ -138,7 +148,7 @@ def mix(docs: DataFrame, payload: list[str], weights=WEIGHTS, share: float = SHA
     def covered(b: Column) -> Column:
         start = F.greatest(F.col("start"), b * block_words)
         end = F.least(F.col("start") + F.col("size"), (b + 1) * block_words)
-        again = F.coalesce(block_key(F.col("place"), F.col("shard"), F.col("blocks"), b) <= F.col("until"), F.lit(False))
+        again = F.coalesce(block_key(F.col("place"), F.col("shard"), F.col("blocks"), b, run_blocks) <= F.col("until"), F.lit(False))
         return F.struct((start - F.col("start")).alias("at"), (end - start).alias("words"),
                         (F.col("rounds") + again.cast("int")).cast("long").alias("times"))
 
@@ -149,16 +159,31 @@ def mix(docs: DataFrame, payload: list[str], weights=WEIGHTS, share: float = SHA
     return out.withColumn("taken", taken)
 
 
+def cut_out(text: Column, part: Column) -> Column:
+    """The words of ``part`` (at, words; ascending) with the white space between them; a line break where words are left out."""
+    end = lambda c: c["at"] + c["words"]
+    starts = lambda p: F.filter(p, lambda c, i: F.coalesce(end(F.get(p, i - 1)) != c["at"], F.lit(True)))
+    ends = lambda p: F.filter(p, lambda c, i: F.coalesce(F.get(p, i + 1)["at"] != end(c), F.lit(True)))
+    pieces = let(part, lambda p: F.zip_with(starts(p), ends(p), lambda a, z: F.struct(
+        a["at"].cast("int").alias("at"), (end(z) - a["at"]).cast("int").alias("words"))))
+
+    def piece(tokens: Column, c: Column) -> Column:
+        own = F.array_join(F.slice(tokens, c["at"] + 1, c["words"]), "")
+        return F.when(c["at"] > 0, F.regexp_replace(own, CUT_PATTERN, "")).otherwise(own)
+
+    return let(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0), lambda tokens: F.array_join(
+        F.transform(pieces, lambda c: piece(tokens, c)), "\n"))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a row for each time that words of a document are taken.
 
-    A document taken whole keeps its text; of one taken in part the taken words remain, joined by one space.
+    A document taken whole keeps its text; of one taken in part the taken words remain as they stand there.
     """
     copies = mix(docs, docs.columns, **options).where("taken > 0").withColumn("time", F.explode(F.array(F.lit(1), F.lit(2))))
     part = F.filter("cover", lambda c: c["times"] >= F.col("time"))
     n_words = F.aggregate(part, F.lit(0).cast("long"), lambda sum_, c: sum_ + c["words"])
-    some = let(F.regexp_extract_all(F.col("row.text"), F.lit(WORD_PATTERN), 0), lambda words: F.concat_ws(
-        " ", F.flatten(F.transform(part, lambda c: F.slice(words, (c["at"] + 1).cast("int"), c["words"].cast("int"))))))
+    some = cut_out(F.col("row.text"), part)
     text = F.when(n_words == F.col("size"), F.col("row.text")).otherwise(some)
     rows = copies.where(n_words > 0).select("row", text.alias("__text"))
     kinds = dict(docs.dtypes)
@@ -169,7 +194,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
-    return mix(docs, ["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(docs, ["doc_id"], run_blocks=1).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def _apportioned(name: str, parties: str, within: str, order: str, weight: str, seats: str) -> str:

@@ -84,6 +84,43 @@ def test_mixed_documents_hold_the_taken_words(docs):
     assert by_id == want
 
 
+def test_parts_keep_their_layout(spark):
+    text = "  a b\n\n    c\td \n  e  f\n g h\t\n"
+    df = spark.createDataFrame([(text,)], "text string")
+
+    def cut(*part):
+        return df.select(op.cut_out(F.col("text"), F.array(*[
+            F.struct(F.lit(a).cast("long").alias("at"), F.lit(n).cast("long").alias("words")) for a, n in part]))).first()[0]
+
+    assert cut((0, 4), (4, 4)) == text
+    assert cut((0, 3)) == "  a b\n\n    c"
+    assert cut((2, 2), (4, 1)) == "    c\td \n  e"
+    assert cut((1, 1), (3, 1), (4, 1), (7, 1)) == "b\nd \n  e\nh\t\n"
+
+
+def test_mix_of_texts_cuts_few_and_keeps_lines(spark):
+    rows = [(k, "\n".join(f"  w{k}x{j}\ty{j}" for j in range(100 + k % 50)), f"s{k % 5}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    texts = {k: t for k, t, _ in rows}
+    taken = op.mixed_documents(docs).collect()
+    cut = [r for r in taken if r.text != texts[r.doc_id]]
+    assert len(cut) < 0.1 * len(taken)
+    whole_lines = 0
+    for r in cut:
+        lines = set(texts[r.doc_id].split("\n"))
+        whole_lines += sum(x in lines for x in r.text.split("\n"))
+        assert len(r.text.split()) <= 2 * len(r.text.split("\n"))
+    assert whole_lines > 0 or not cut
+    sizes, words = {}, {}
+    for k, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    for r in taken:
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    want = brute_targets(sizes)
+    for s in sizes:  # as exact as with blocks drawn one by one
+        assert abs(words[s] - want[s]) <= op.BLOCK_WORDS * (2 + sizes[s] // op.SHARD_WORDS)
+
+
 def test_empty_and_wordless_tables(spark, no_docs):
     assert op.mix(no_docs, ["doc_id"]).count() == 0
     blank = spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")
