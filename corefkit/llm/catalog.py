@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from corefkit.llm import bpe, exact_dedup, line_dedup, mixing, quality_fm, scaled_sketch, simhash, substring_dedup, toxicity, url_filter
+from corefkit.llm import (bpe, exact_dedup, line_dedup, mixing, quality_fm, scaled_sketch, simhash, substring_dedup,
+                          token_counts, toxicity, url_filter)
 
 QUERIES = {
     "op1_quality_fm": quality_fm.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_token_counts": token_counts.query,
 }
 
 ORACLES = {
