@@ -8,8 +8,9 @@ changed since are stale and skipped. Work per pre-token is near linear in its
 length, so a pre-token of a million bytes is no special case.
 
 Texts are encoded in Arrow batches where they lie; nothing is shuffled. The rank
-file (under 1 MB) is read on the driver and broadcast. Each Python worker keeps
-the ids of the short pre-tokens it has met last, two generations of ``CACHE_ENTRIES``.
+file (under 1 MB) is read on the driver and broadcast. Each Python worker builds one
+encoder and keeps it for its later tasks, with the ids of the short pre-tokens it
+has met last, two generations of ``CACHE_ENTRIES``.
 
 Null texts count as empty and give no ids. Rows are independent: repeated rows,
 null ids and extra columns pass through without effect.
@@ -29,11 +30,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corefkit.llm.common import documents
+from corefkit.llm.common import documents, per_worker
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: The cache of a Python worker holds two generations of so many pre-tokens of at most so many characters.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 CACHE_CHARS = 48
 OUT_TOKENS = 1_000_000
 #: Ranks per word of the bitmap: 256 words of 256 ranks make the upper level one word.
@@ -170,13 +171,14 @@ def _rank_bytes(path: str) -> bytes:
 
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids as bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast((_rank_bytes(rank_path), pattern))
+    ranks = _rank_bytes(rank_path)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
     kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
              ("decoded_sha256", pa.string()), *[("ids", pa.binary())] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, split = shared.value
-        encoder = Encoder(read_ranks(data), split)
+        encoder = per_worker("byte_bpe", key, lambda: Encoder(read_ranks(shared.value), pattern))
         rows, tokens = [], 0
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import functools
+import sys
+import types
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,19 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
+def per_worker(kind: str, key: str, make: Callable[[], object]) -> object:
+    """What ``make`` builds, built once per Python worker and kept there for later tasks with the same ``key``.
+
+    Functions travel by value, so their globals end with a task; the worker process
+    itself holds the value. Of each kind the last key stays.
+    """
+    held = sys.modules.setdefault("_corefkit_llm_worker", types.ModuleType("_corefkit_llm_worker")).__dict__
+    if held.get(kind, (None,))[0] != key:
+        held.pop(kind, None)  # frees the one before first
+        held[kind] = (key, make())
+    return held[kind][1]
+
+
 def conjunction(conditions: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a & b, conditions)
 
