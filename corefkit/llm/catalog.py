@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corefkit.llm import (bpe, exact_dedup, line_dedup, mixing, quality_fm, scaled_sketch, simhash, substring_dedup,
-                          token_counts, toxicity, url_filter)
+from corefkit.llm import (bpe, exact_dedup, line_dedup, mixing, periodic_runs, quality_fm, scaled_sketch, simhash,
+                          substring_dedup, token_counts, toxicity, url_filter)
 
 QUERIES = {
     "op1_quality_fm": quality_fm.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
     "op11_token_counts": token_counts.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 ORACLES = {
