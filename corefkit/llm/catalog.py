@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corefkit.llm import (bpe, exact_dedup, line_dedup, mixing, periodic_runs, quality_fm, scaled_sketch, simhash,
+from corefkit.llm import (bpe, divergence, exact_dedup, line_dedup, mixing, periodic_runs, quality_fm, scaled_sketch, simhash,
                           substring_dedup, token_counts, toxicity, url_filter)
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
     "op11_token_counts": token_counts.query,
+    "op12_divergence_audit": divergence.query,
     "op13_periodic_runs": periodic_runs.query,
 }
 
@@ -25,4 +26,5 @@ ORACLES = {
     "op3_sainte_lague": mixing.ORACLE,
     "op5_url_cascade": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_divergence_audit": divergence.ORACLE,
 }
