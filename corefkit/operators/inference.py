@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from corefkit.functions.vectors import argmax, softmax
 from corefkit.operators.joins import RESPONSE_COLUMNS, merge_responses
 from corefkit.operators.prompts import api_prompts
 from corefkit.operators.sampling import row_range
-from corefkit.session import staged
-from corefkit.sources.response_store import append_chunk, read_log
+from corefkit.session import shared_dir, staged
+from corefkit.sources.response_store import append_chunk, read_log, read_state
 
 
 def _once(factory: Callable[[], object]) -> Callable[[], object]:
@@ -136,30 +137,25 @@ def _call_rows(pdf: pd.DataFrame, client, concurrency: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pair_id", "attempt", "model_response", "reasoning_content", "error"])
 
 
-def collect_responses(pairs: DataFrame, client_factory: Callable[[], object], store: str,
-                      start: int = 0, end: int = -1, concurrency: int = 50,
-                      tasks: int | None = None, wave_rows: int = 50_000) -> DataFrame:
-    """INF3 resumable collection: pending rows only, committed in waves.
+RESPONSE_SCHEMA = "pair_id string, attempt int, model_response string, reasoning_content string, error string"
+
+
+def ask_pending(pairs: DataFrame, client_factory: Callable[[], object], store: str, concurrency: int = 50,
+                tasks: int | None = None, wave_rows: int = 50_000) -> None:
+    """INF3 ask for every row of ``pairs`` that has no successful reasoning in ``store`` yet, in waves.
 
-    Pending = no successful reasoning yet in the store (P5 on the store, as
-    an anti join on one row per id). The prompts of the pending rows are written
-    once; each wave of about ``wave_rows`` of them (by id hash) is called and
+    Pending = not done in the store's state, of which only the buckets of these ids
+    are read (P5 as an anti join on one row per id). The prompts of the pending rows
+    are written once, partitioned by wave (about ``wave_rows`` of them by id hash), so that each
+    wave reads its own folder and every prompt is read once. A wave is called and
     appended to ``store`` (IO13), so a failure loses the answers of one wave at
     most and calling again asks only for the rows still pending. At most
     ``tasks x concurrency`` calls are in flight (``tasks``: the session's default
     parallelism unless given). A row that cannot be prompted is logged as a
-    failed attempt. Returns the merged table (J3).
+    failed attempt.
     """
     spark = pairs.sparkSession
     tasks = tasks or spark.sparkContext.defaultParallelism
-    rows = row_range(pairs, start, end) if (start, end) != (0, -1) else pairs
-    key = staged(rows.withColumn("pair_id", F.col("pair_id").cast("string")), "collect_rows")
-    state = read_log(spark, store).groupBy("pair_id").agg(
-        F.max("attempt").alias("_last"), F.bool_or(F.col("reasoning_content").isNotNull()).alias("_done"))
-    pending = key.join(state, "pair_id", "left").where(~F.coalesce("_done", F.lit(False)))
-    msgs = staged(api_prompts(pending).select(
-        "pair_id", (F.coalesce("_last", F.lit(0)) + 1).cast("int").alias("attempt"), "content"), "collect_prompts")
-    waves = max(1, math.ceil(msgs.count() / wave_rows))
     client_of = _once(client_factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,12 +163,39 @@ def collect_responses(pairs: DataFrame, client_factory: Callable[[], object], st
             if len(pdf):
                 yield _call_rows(pdf.astype({"content": object}).where(pdf.notna(), None), client_of(), concurrency)
 
-    for wave in range(waves):
-        part = msgs.where(F.pmod(F.xxhash64("pair_id"), F.lit(waves)) == wave) if waves > 1 else msgs
+    for prompts in prompt_waves(pairs, store, wave_rows):
         # an explicit count: it bounds the calls in flight
-        append_chunk(part.repartition(tasks, "pair_id").mapInPandas(
-            run, "pair_id string, attempt int, model_response string, reasoning_content string, error string"), store)
-    return merge_responses(key, read_log(spark, store))
+        append_chunk(prompts.repartition(tasks, "pair_id").mapInPandas(run, RESPONSE_SCHEMA), store)
+
+
+def prompt_waves(pairs: DataFrame, store: str, wave_rows: int) -> Iterator[DataFrame]:
+    """The prompts (pair_id, attempt, content) of the pending rows, wave by wave, each from a folder of its own."""
+    spark = pairs.sparkSession
+    keyed = pairs.withColumn("pair_id", F.col("pair_id").cast("string"))
+    state = read_state(keyed.select("pair_id"), store)
+    pending = keyed.join(state, "pair_id", "left").where(~F.coalesce("done", F.lit(False)))
+    waves = max(1, math.ceil(pending.count() / wave_rows))
+    wave = F.pmod(F.xxhash64("pair_id"), F.lit(waves)).alias("wave")
+    prompts = api_prompts(pending).select(
+        "pair_id", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("attempt"), "content", wave)
+    path = shared_dir(spark, "prompt_waves", unique=True)
+    (prompts if waves == 1 else prompts.repartition("wave")).write.partitionBy("wave").parquet(path)
+    for k in range(waves):
+        try:
+            yield spark.read.schema("pair_id string, attempt int, content string").parquet(f"{path}/wave={k}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # no pending row has this hash
+                raise
+
+
+def collect_responses(pairs: DataFrame, client_factory: Callable[[], object], store: str,
+                      start: int = 0, end: int = -1, concurrency: int = 50,
+                      tasks: int | None = None, wave_rows: int = 50_000) -> DataFrame:
+    """INF3 resumable collection of the rows from ``start`` to ``end``: :func:`ask_pending`, then the merged table."""
+    rows = row_range(pairs, start, end) if (start, end) != (0, -1) else pairs
+    key = staged(rows.withColumn("pair_id", F.col("pair_id").cast("string")), "collect_rows")
+    ask_pending(key, client_factory, store, concurrency, tasks, wave_rows)
+    return merge_responses(key, read_log(pairs.sparkSession, store))
 
 
 def summary(merged: DataFrame, log: DataFrame) -> DataFrame:

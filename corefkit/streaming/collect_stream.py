@@ -1,8 +1,9 @@
 """Response collection as a Structured Streaming job (§2.14).
 
 New pair files landing in a directory are picked up by ``readStream``;
-each micro-batch runs the resumable collection (pending rows only, one
-append per batch). The stream checkpoint records which files were
+each micro-batch runs the resumable collection (pending rows only). It looks its
+ids up in the store's bucketed state, so what a batch reads depends on the batch
+and not on what was collected before. The stream checkpoint records which files were
 processed, so a restarted job neither skips nor re-reads input, and the
 response merge (latest successful attempt) keeps re-delivered batches
 idempotent. ``availableNow`` processes everything present and stops.
@@ -14,8 +15,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corefkit.operators.inference import collect_responses
+from corefkit.operators.inference import ask_pending
 from corefkit.operators.joins import merge_responses
+from corefkit.session import staged
 from corefkit.sources.response_store import read_log
 
 
@@ -29,7 +31,8 @@ def collect_stream(spark: SparkSession, pairs_dir: str, schema, client_factory:
     stream = reader.parquet(pairs_dir)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        collect_responses(batch, client_factory, store, concurrency=concurrency)
+        # read by the lookup of its buckets, the count of its waves and the prompts: written once
+        ask_pending(staged(batch, "micro_batch"), client_factory, store, concurrency)
 
     q = (stream.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint)
