@@ -6,6 +6,8 @@ so callers stay inside whole-stage codegen.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,6 +114,7 @@ def hash_int(s) -> Column:
     return F.conv(F.substring(F.md5(_c(s).cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
-def timestamp_text(fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """S18 the run time as text (``%Y-%m-%d %H:%M:%S``); not deterministic."""
-    return F.date_format(F.current_timestamp(), fmt)
+def timestamp_text(fmt: str = "yyyy-MM-dd HH:mm:ss", clock: Column | datetime.datetime | None = None) -> Column:
+    """S18 a time as text (``%Y-%m-%d %H:%M:%S``): ``clock``, or else the time of the run, which is not repeatable."""
+    at = F.current_timestamp() if clock is None else clock if isinstance(clock, Column) else F.lit(clock)
+    return F.date_format(at, fmt)

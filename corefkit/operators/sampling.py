@@ -2,20 +2,24 @@
 
 Randomness is a hash order: ``md5('<seed>:[<salt>:]<id>')`` with the id as
 tie-break. A draw is therefore the same at any partitioning and on any
-retry, and DuckDB can restate it. Nothing here uses a global
-``row_number()`` (one partition) or collects rows to the driver.
+retry, and DuckDB can restate it. Ids are unique and not null. Every operator that
+reads its input more than once writes it once with the keys it needs, so select the
+columns you want before sampling. Nothing here ranks all rows in one partition
+or collects rows to the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from corefkit.session import staged
 
-HIST_HEX = 4  # 16^4 = 65,536 buckets per histogram level
+#: Bits of a key that :func:`_cut` reads as a number.
+PLACE_BITS = 60
 
 
 def rank_key(id_col: str | Column, seed: int = 42, salt: str | None = None) -> Column:
@@ -25,62 +29,64 @@ def rank_key(id_col: str | Column, seed: int = 42, salt: str | None = None) -> C
     return F.md5(F.concat(F.lit(prefix), idc.cast("string")))
 
 
-def sample_n(df: DataFrame, n: int | Column, seed: int = 42, salt: str | None = None,
+def sample_n(df: DataFrame, n: int, seed: int = 42, salt: str | None = None,
              id_col: str = "pair_id", strict: bool = False) -> DataFrame:
     """T1 exactly ``n`` rows without replacement (all rows when fewer).
 
-    The n-th smallest (key, id) is found by :func:`_cut`; the sample is a filter
-    on it, so no task ever holds n rows, whatever n is. ``strict`` fails when
-    fewer than ``n`` rows exist, as the reference does.
+    The rows are written once with their keys. The n-th smallest (key, id) is found by
+    :func:`_cut`, and the sample is a filter on it, so no task ever holds n rows,
+    whatever n is. ``strict`` fails when fewer than ``n`` rows exist, as the
+    reference does.
     """
-    n_col = F.lit(n) if isinstance(n, int) else n
-    keyed = _ranked_ids(df, rank_key(id_col, seed, salt), id_col)
-    out = _up_to(df, rank_key(id_col, seed, salt), id_col, n_col, _cut(keyed, n_col))
-    if strict:
-        have = keyed.select(F.count(F.lit(1))).scalar()
-        out = out.where(F.when(have >= n_col, F.lit(True))
-                        .otherwise(F.raise_error(F.lit("sample larger than population"))))
-    return out
+    rows = _ranked(df, seed, salt, id_col)
+    return rows.where(_drawn(rows, n, id_col, strict)).drop("_rk")
 
 
-def _ranked_ids(df: DataFrame, key: Column, id_col: str) -> DataFrame:
-    """(_rk, _id) of every row, written once: all that finding a cut reads."""
-    return staged(df.select(key.alias("_rk"), F.col(id_col).alias("_id")), "ranked_ids")
+def _ranked(df: DataFrame, seed: int, salt: str | None, id_col: str) -> DataFrame:
+    """The rows with their keys ``_rk``, written once."""
+    return staged(df.withColumn("_rk", rank_key(id_col, seed, salt)), "ranked_rows")
 
 
-def _cut(keyed: DataFrame, n: Column) -> Column:
-    """The n-th smallest (_rk, _id) as a scalar struct; NULL when there are fewer rows.
+def _drawn(rows: DataFrame, n: int, id_col: str, strict: bool = False) -> Column:
+    """A condition on (_rk, id) that the ``n`` smallest of ``rows`` meet."""
+    keys = rows.select("_rk", F.col(id_col).alias("_id"))
+    total = keys.count()
+    if strict and total < n:
+        raise ValueError(f"sample of {n} larger than population of {total}")
+    if n <= 0 or n >= total:
+        return F.lit(n > 0)
+    cut = _cut(keys, n, total)
+    return (F.col("_rk") < cut["_rk"]) | ((F.col("_rk") == cut["_rk"]) & (F.col(id_col) <= F.lit(cut["_id"])))
 
-    Two histogram levels on four hex digits of the key each leave about one row in
-    2^32 to rank. Every ordered window is over one histogram (65,536 rows).
-    """
-    rows, before = keyed, F.lit(0).cast("bigint")
-    for level in range(2):
-        rows = rows.withColumn("_b", F.substring("_rk", 1 + level * HIST_HEX, HIST_HEX))
-        hist = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-        cum = hist.withColumn("_cum", F.sum("_c").over(Window.orderBy("_b")) + before)
-        edge = cum.where((F.col("_cum") >= n) & (F.col("_cum") - F.col("_c") < n))
-        found = edge.select(F.min(F.struct("_b", (F.col("_cum") - F.col("_c")).alias("before")))).scalar()
-        rows, before = rows.where(F.col("_b") == found["_b"]), found["before"]
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("_rk", "_id")) + before
-    return rows.withColumn("_n", place).where(F.col("_n") == n).select(F.min(F.struct("_rk", "_id"))).scalar()
 
+def _cut(keys: DataFrame, n: int, total: int) -> Row:
+    """The n-th smallest (_rk, _id) of ``total``, for 0 < n < total.
 
-def _up_to(df: DataFrame, key: Column, id_col: str, n: Column, cut: Column) -> DataFrame:
-    """The rows of ``df`` up to the cut."""
-    here = F.struct(key.alias("_rk"), F.col(id_col).alias("_id"))
-    return df.where((n > 0) & (cut.isNull() | (here <= cut)))
+    Keys are md5 sums, so the n-th lies near n / total of their range. One pass counts
+    the keys below and above two bounds six standard deviations away; they hold the n-th,
+    or are set wider. Only the keys between them, about 12 sqrt(n) of all, are
+    ranked, grouped so that equal ones are one row.
+    """
+    place = F.conv(F.substring("_rk", 1, PLACE_BITS // 4), 16, 10).cast("bigint")
+    share = n / total
+    slack = (6 * math.sqrt(n * (1 - share)) + 6) / total
+    while True:
+        low, high = (min(max(-1, int(x * 2**PLACE_BITS)), 2**PLACE_BITS) for x in (share - slack, share + slack))
+        found = keys.agg(F.count_if(place <= low).alias("below"), F.count_if(place <= high).alias("upto")).first()
+        if found["below"] < n <= found["upto"]:
+            break
+        slack *= 8
+    between = keys.where((place > low) & (place <= high)).groupBy("_rk", "_id").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.orderBy("_rk", "_id")) + found["below"]
+    return between.withColumn("_n", upto).where(F.col("_n") >= n).select(F.min(F.struct("_rk", "_id")).alias("cut")).first()["cut"]
 
 
 def sample_fraction(df: DataFrame, frac: float, seed: int = 42, salt: str | None = None,
                     id_col: str = "pair_id") -> DataFrame:
-    """T2 ``round_half_even(frac * count)`` rows exactly (not Bernoulli).
-
-    The size is a scalar subquery, so nothing is computed on the driver.
-    """
-    keyed = _ranked_ids(df, rank_key(id_col, seed, salt), id_col)
-    n = keyed.select(F.bround(F.lit(float(frac)) * F.count(F.lit(1))).cast("bigint")).scalar()
-    return _up_to(df, rank_key(id_col, seed, salt), id_col, n, _cut(keyed, n))
+    """T2 ``round_half_even(frac * count)`` rows exactly (not Bernoulli)."""
+    rows = _ranked(df, seed, salt, id_col)
+    n = rows.select(F.bround(F.lit(float(frac)) * F.count(F.lit(1))).cast("bigint")).first()[0]
+    return rows.where(_drawn(rows, n, id_col)).drop("_rk")
 
 
 def shuffle_keyed(df: DataFrame, seed: int = 42, id_col: str = "pair_id", salt: str = "shuffle") -> DataFrame:
@@ -92,21 +98,32 @@ def first_per_key(df: DataFrame, key: str, seed: int = 42, salt: str = "shuffle"
                   id_col: str = "pair_id") -> DataFrame:
     """W2 the first row per ``key`` in the seeded shuffled order.
 
-    A grouped ``min_by`` (partial aggregation per task), so a key holding a
-    third of all rows is combined map-side, not collected.
+    The least rank per key is one fixed-width number, so it is a hash aggregate
+    with partial sums per task, whatever the rows hold; a semi join on it brings the rows.
     """
-    cols = df.columns
-    order = F.struct(rank_key(id_col, seed, salt), F.col(id_col))
-    g = df.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("_r"))
-    return g.select("_r.*")
+    rows = staged(df.withColumn("_first", rank_number(id_col, seed, salt)), "first_rows")
+    return _firsts(rows, key).drop("_first")
+
+
+def rank_number(id_col: str | Column, seed: int = 42, salt: str | None = None) -> Column:
+    """The first 120 bits of :func:`rank_key` as a decimal: the same order, in a fixed width."""
+    hexes = rank_key(id_col, seed, salt)
+    high, low = (F.conv(F.substring(hexes, k, 15), 16, 10).cast("decimal(19,0)") for k in (1, 16))
+    return (high * F.lit(1 << 60).cast("decimal(19,0)") + low).cast("decimal(38,0)")
+
+
+def _firsts(rows: DataFrame, key: str) -> DataFrame:
+    least = rows.groupBy(key).agg(F.min("_first").alias("_first")).select("_first")
+    return rows.join(least, "_first", "left_semi").select(*rows.columns)
 
 
 def balanced(df: DataFrame, n_negative: int, seed: int = 42, label: str = "label",
              id_col: str = "pair_id", strict: bool = False) -> DataFrame:
     """T4 all positives plus ``n_negative`` sampled negatives, with a shuffle key."""
-    pos = df.where(F.col(label) == 1)
-    neg = sample_n(df.where(F.col(label) == 0), n_negative, seed, None, id_col, strict=strict)
-    return shuffle_keyed(pos.unionByName(neg), seed, id_col)
+    rows = _ranked(df, seed, None, id_col)
+    negative = F.col(label) == 0
+    drawn = _drawn(rows.where(negative), n_negative, id_col, strict)
+    return shuffle_keyed(rows.where((F.col(label) == 1) | (negative & drawn)).drop("_rk"), seed, id_col)
 
 
 def unique_sample(df: DataFrame, n: int, seed: int = 42, label: str = "label",
@@ -115,19 +132,22 @@ def unique_sample(df: DataFrame, n: int, seed: int = 42, label: str = "label",
 
     First row per sentence1 and per sentence2 (shuffled order); ``min(n,
     size)`` of each; union without exact duplicates; then ``n`` of those, or
-    all of them topped up with unsampled positives (the missing number is a
-    scalar subquery, so no driver decision is needed). Each draw has its own salt.
+    all of them topped up with unsampled positives. Each draw has its own salt. The
+    input is written once; the draws per sentence carry ids only.
     """
     data_cols = list(data_cols or [c for c in df.columns if c != id_col])
-    df = staged(df, "diversity_input")  # read by five branches
-    u1 = sample_n(first_per_key(df, "sentence1", seed, "shuffle", id_col), n, seed, "s1", id_col)
-    u2 = sample_n(first_per_key(df, "sentence2", seed, "shuffle", id_col), n, seed, "s2", id_col)
-    combined = staged(distinct_rows(u1.unionByName(u2), data_cols, id_col), "diversity_union")
-    remaining = df.where(F.col(label) == 1).join(combined.select(id_col), id_col, "left_anti")
-    first = sample_n(combined, n, seed, "final", id_col)
-    short = F.greatest(F.lit(n) - combined.select(F.count(F.lit(1))).scalar(), F.lit(0))
-    topup = sample_n(remaining, short, seed, "topup", id_col)
-    return shuffle_keyed(first.unionByName(topup), seed, id_col)
+    rows = staged(df.withColumn("_first", rank_number(id_col, seed, "shuffle")), "diversity_input")
+    u1, u2 = (sample_n(_firsts(rows, key).select(id_col), n, seed, salt, id_col)
+              for key, salt in (("sentence1", "s1"), ("sentence2", "s2")))
+    rows = rows.drop("_first")
+    drawn = rows.join(u1.unionByName(u2), id_col, "left_semi").select(*rows.columns)
+    combined = staged(distinct_rows(drawn, data_cols, id_col), "diversity_union")
+    out = sample_n(combined, n, seed, "final", id_col)
+    short = n - combined.count()
+    if short > 0:
+        remaining = rows.where(F.col(label) == 1).join(combined.select(id_col), id_col, "left_anti").select(*rows.columns)
+        out = out.unionByName(sample_n(remaining, short, seed, "topup", id_col))
+    return shuffle_keyed(out, seed, id_col)
 
 
 def distinct_rows(df: DataFrame, data_cols: Sequence[str], id_col: str | None = "pair_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corefkit.functions.text import timestamp_text
 from corefkit.operators import metrics as M
 from corefkit.operators.joins import merge_responses
 from corefkit.plans import fixtures as fx
@@ -174,6 +175,26 @@ def q_metrics_json_round_trip(spark, sf_dir):
     return _flatten_doc(D.read_metrics(spark, path))
 
 
+@register("stamped_metrics_documents", oracle(
+    _DOC_SQL.replace("source tag,", "source tag, strftime((SELECT max(ts) FROM events), '%Y-%m-%d %H:%M:%S') AS timestamp,"),
+    *_DOC_CTES), "S18", "IO8", "IO10")
+def q_stamped_metrics_documents(spark, sf_dir):
+    """Documents stamped with a clock of their own, here the time of the last event, so that a rerun writes the same."""
+    path = shared_dir(spark, "metrics", unique=True)
+    clock = fx.table(spark, sf_dir, "events").select(F.max("ts")).scalar()
+    r = M.evaluate_with_invalid(fx.preds(spark, sf_dir), by=["source"])
+    D.write_metrics(D.metrics_document(r, F.col("source"), clock=clock), path)
+    return _flatten_doc(D.read_metrics(spark, path), ["timestamp"])
+
+
+@register("timestamp_text", oracle(
+    "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') stamp, strftime(ts, '%Y%m%d') AS \"day\" FROM events"), "S18")
+def q_timestamp_text(spark, sf_dir):
+    """The text of every event's time, in the default and in another format."""
+    ev = fx.table(spark, sf_dir, "events")
+    return ev.select("event_id", timestamp_text(clock=F.col("ts")).alias("stamp"), timestamp_text("yyyyMMdd", F.col("ts")).alias("day"))
+
+
 # ---------------------------------------------------------------- A1 - A3
 
 @register("dataset_stats", oracle(

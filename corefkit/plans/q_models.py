@@ -101,7 +101,7 @@ def q_generate_responses(spark, sf_dir):
     PM_CTE, f"pr AS (SELECT pair_id, {_REASON_INFER_SQL} prompt FROM pm)"), "INF2")
 def q_generate_two_models(spark, sf_dir):
     """Two differently set generators in one session: each call meets its own model."""
-    prompts = P.reason_prompts(fx.pairs(spark, sf_dir)).select("pair_id", "prompt")
+    prompts = staged(P.reason_prompts(fx.pairs(spark, sf_dir)).select("pair_id", "prompt"), "prompts")
     a, b = (INF.generate_responses(prompts, lambda m=m: stubs.HashShapeGenerator(m)).withColumn("model", F.lit(m)) for m in "ab")
     return a.unionByName(b).select("pair_id", "model", "completion")
 

@@ -9,6 +9,7 @@ from corefkit.operators.joins import distinct_values, union_all, unsampled
 from corefkit.plans import fixtures as fx
 from corefkit.plans.oracle_ctes import oracle
 from corefkit.registry import register
+from corefkit.session import staged
 
 SEED = 42
 N_SAMPLE = 1000
@@ -38,20 +39,20 @@ def q_negatives(spark, sf_dir):
 @register("sample_n", oracle(f"SELECT pair_id, label FROM {_NEG_SAMPLE}"), "T1")
 def q_sample_n(spark, sf_dir):
     neg = fx.pairs(spark, sf_dir).where(F.col("label") == 0)
-    return S.sample_n(neg, N_SAMPLE, SEED).select("pair_id", "label")
+    return S.sample_n(neg.select("pair_id", "label"), N_SAMPLE, SEED)
 
 
 @register("sample_n_histogram", oracle(f"SELECT pair_id, label FROM {_NEG_SAMPLE}"), "T1")
 def q_sample_n_histogram(spark, sf_dir):
     neg = fx.pairs(spark, sf_dir).where(F.col("label") == 0)
-    return S.sample_n(neg, N_SAMPLE, SEED).select("pair_id", "label")
+    return S.sample_n(neg.select("pair_id", "label"), N_SAMPLE, SEED)
 
 
 @register("sample_fraction", oracle(
     f"""SELECT pair_id, label FROM (SELECT pair_id, label, row_number() OVER (ORDER BY {rk()}, pair_id) rn,
             count(*) OVER () c FROM pairs) WHERE rn <= round_even(0.1 * c, 0)"""), "T2")
 def q_sample_fraction(spark, sf_dir):
-    return S.sample_fraction(fx.pairs(spark, sf_dir), 0.1, SEED).select("pair_id", "label")
+    return S.sample_fraction(fx.pairs(spark, sf_dir).select("pair_id", "label"), 0.1, SEED)
 
 
 @register("shuffle_keyed", oracle(f"SELECT pair_id, {rk('shuffle')} shuffle_key FROM pairs"), "T3")
@@ -69,7 +70,7 @@ _BAL = bal_cte()
 
 @register("balanced_dataset", oracle(f"SELECT pair_id, label, {rk('shuffle')} shuffle_key FROM bal", _BAL), "T4")
 def q_balanced_dataset(spark, sf_dir):
-    return S.balanced(fx.pairs(spark, sf_dir), N_NEGATIVE, SEED).select("pair_id", "label", "shuffle_key")
+    return S.balanced(fx.pairs(spark, sf_dir).select("pair_id", "label"), N_NEGATIVE, SEED)
 
 
 _DATA = ", ".join(DATA_COLS)
@@ -107,7 +108,7 @@ def q_unique_sample(spark, sf_dir):
         (SELECT min_by(pair_id, row({rk('shuffle')}, pair_id)) pair_id FROM pairs GROUP BY sentence1) f USING (pair_id)"""),
     "W2")
 def q_first_per_sentence(spark, sf_dir):
-    return S.first_per_key(fx.pairs(spark, sf_dir), "sentence1", SEED).select("pair_id", "sentence1")
+    return S.first_per_key(fx.pairs(spark, sf_dir).select("pair_id", "sentence1"), "sentence1", SEED)
 
 
 @register("assign_batches", oracle(
@@ -125,7 +126,7 @@ def q_assign_batches(spark, sf_dir):
         SELECT pair_id, split, CAST(floor((row_number() OVER (PARTITION BY split ORDER BY pair_id) - 1) / 128) AS BIGINT)
             batch_id FROM splits WHERE split <> 'train'"""), "T7")
 def q_batched_splits(spark, sf_dir):
-    s = fx.splits(spark, sf_dir).select("pair_id", "split")
+    s = staged(fx.splits(spark, sf_dir).select("pair_id", "split"), "splits")
     train = S.shuffle_keyed(s.where(F.col("split") == "train"), SEED)
     train = S.assign_batches(train, 64, "shuffle_key", by=["split"])
     rest = S.assign_batches(s.where(F.col("split") != "train"), 128, "pair_id", by=["split"])
@@ -146,25 +147,25 @@ def q_row_range(spark, sf_dir):
 @register("unsampled_rows", oracle(
     f"SELECT pair_id, label FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM {_NEG_SAMPLE})"), "J1")
 def q_unsampled_rows(spark, sf_dir):
-    p = fx.pairs(spark, sf_dir)
+    p = staged(fx.pairs(spark, sf_dir).select("pair_id", "label"), "pairs")
     sample = S.sample_n(p.where(F.col("label") == 0), N_SAMPLE, SEED)
-    return unsampled(p, sample).select("pair_id", "label")
+    return unsampled(p, sample)
 
 
 @register("union_pairs", oracle(
     f"SELECT pair_id, label FROM pairs WHERE label = 1 UNION ALL SELECT pair_id, label FROM {_NEG_SAMPLE}"), "U1")
 def q_union_pairs(spark, sf_dir):
-    p = fx.pairs(spark, sf_dir)
+    p = staged(fx.pairs(spark, sf_dir).select("pair_id", "label"), "pairs")
     pos = p.where(F.col("label") == 1)
     neg = S.sample_n(p.where(F.col("label") == 0), N_SAMPLE, SEED)
-    return union_all(pos, neg).select("pair_id", "label")
+    return union_all(pos, neg)
 
 
 @register("distinct_pairs", oracle(
     f"""SELECT min(pair_id) pair_id, label FROM (SELECT * FROM pairs WHERE label = 1 UNION ALL
         SELECT * FROM pairs WHERE label = 1 UNION ALL SELECT * FROM pairs) GROUP BY {_DATA}"""), "U2")
 def q_distinct_pairs(spark, sf_dir):
-    p = fx.pairs(spark, sf_dir)
+    p = staged(fx.pairs(spark, sf_dir), "pairs")
     pos = p.where(F.col("label") == 1)
     return S.distinct_rows(union_all(pos, pos, p), DATA_COLS).select("pair_id", "label")
 

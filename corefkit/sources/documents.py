@@ -7,6 +7,8 @@ Many files are read in one job; the run name comes from the file path.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,8 +35,12 @@ def run_name(path_col: Column | None = None, folder: bool = False) -> Column:
 
 
 def metrics_document(report: DataFrame, tag: Column | None = None, base_model: str | None = None,
-                     adapter_path: str | None = None, model_path: str | None = None) -> DataFrame:
-    """IO8 one document per row of a report with invalid counts, with what model made the predictions."""
+                     adapter_path: str | None = None, model_path: str | None = None,
+                     clock: Column | datetime.datetime | None = None) -> DataFrame:
+    """IO8 one document per row of a report with invalid counts, with what model made the predictions.
+
+    Documents are stamped with ``clock`` if given (the same at every run), else with the time of the run.
+    """
     text = lambda x: F.lit(x).cast("string")
     info = F.when(F.lit(base_model is not None), F.struct(text(base_model).alias("base_model"), text(adapter_path).alias("adapter_path")))
     return report.select(
@@ -42,7 +48,7 @@ def metrics_document(report: DataFrame, tag: Column | None = None, base_model: s
         F.struct(F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"),
                  F.col("tn").alias("true_negatives"), F.col("fn").alias("false_negatives"),
                  "invalid_count", "invalid_rate", "total_samples").alias("additional_metrics"),
-        timestamp_text().alias("timestamp"), info.alias("model_info"), text(model_path).alias("model_path"),
+        timestamp_text(clock=clock).alias("timestamp"), info.alias("model_info"), text(model_path).alias("model_path"),
         (text(None) if tag is None else tag).alias("tag"))
 
 

@@ -7,11 +7,15 @@ plain text here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corefkit.functions.spans import with_triggers
-from corefkit.functions.text import strip
+from corefkit.functions.text import let, strip
+from corefkit.session import staged
 
 # The positional field names of the raw pair format.
 RAW_FIELDS = [
@@ -38,45 +42,57 @@ def field_names(with_ids: bool) -> list[str]:
     return (ID_FIELDS if with_ids else []) + RAW_FIELDS
 
 
-COPY_CHUNK = 1_000  # copies of one line that one task writes in a row
-
-
-def assign_pair_ids(lines: DataFrame, col: str = "value") -> DataFrame:
-    """``pair_id = md5(line) ':' ordinal`` among identical lines.
+def assign_pair_ids(lines: DataFrame, col: str = "value", by: Sequence[str] = ()) -> DataFrame:
+    """``pair_id = md5(line) ':' ordinal`` among identical lines (of one ``by`` group).
 
     Identical lines are identical rows, so any numbering of them gives the
-    same set of (id, line). Copies are counted per input partition (map-side)
-    and get offsets from these counts. More than ``COPY_CHUNK`` copies are cut
-    into chunks that are dealt out by (hash, chunk) before they are written
-    out, so a line repeated a third of the table is spread over all tasks.
+    same set of (id, line). Lines stay where they are read: a task numbers the copies of
+    each line in its partition and writes them out with that number. Counts per (hash,
+    partition) give each partition its offset; only hashes are shuffled for it. Offsets above
+    0, of lines with copies in several partitions, then meet the lines; Spark sends them to
+    the lines if their written size is below its broadcast limit, and joins by shuffle beyond.
     """
-    counts = (lines.groupBy(F.md5(col).alias("_h"), F.col(col).alias("line"), F.spark_partition_id().alias("_part"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    before = F.sum("_n").over(Window.partitionBy("_h").orderBy("_part")) - F.col("_n")
-    numbered = counts.select("_h", "line", "_n", before.alias("_off"))
-    few = numbered.where(F.col("_n") <= COPY_CHUNK).select(
-        "_h", "line", F.explode(F.sequence(F.col("_off"), F.col("_off") + F.col("_n") - 1)).alias("_ord"))
-    chunk = F.lit(COPY_CHUNK).cast("long")
-    many = numbered.where(F.col("_n") > COPY_CHUNK).select(
-        "_h", "line", (F.col("_off") + F.col("_n") - 1).alias("_last"),
-        F.explode(F.sequence(F.col("_off"), F.col("_off") + F.col("_n") - 1, chunk)).alias("_first"))
-    many = many.repartition("_h", "_first").select("_h", "line", F.explode(F.sequence(
-        F.col("_first"), F.least(F.col("_last"), F.col("_first") + chunk - 1))).alias("_ord"))
-    return few.unionByName(many).select(
-        F.concat("_h", F.lit(":"), F.col("_ord").cast("string")).alias("pair_id"), F.col("line").alias(col))
-
-
-def split_fields(lines: DataFrame, with_ids: bool = False, col: str = "value") -> DataFrame:
+    keyed = lines.select(*by, F.md5(col).alias("_h"), F.spark_partition_id().alias("_part"),
+                         F.md5(F.concat_ws("\x00", *[F.col(c) for c in by], F.md5(col))).alias("_k") if by else F.md5(col).alias("_k"),
+                         F.col(col).alias("_line"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields)
+    rows = staged(keyed.mapInArrow(_number_copies, f"{fields}, _ord long"), "raw_lines")
+    counts = rows.groupBy("_k", "_part").agg((F.max("_ord") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_k").orderBy("_part")) - F.col("_n")
+    offsets = staged(counts.select("_k", "_part", before.alias("_off")).where("_off > 0"), "raw_offsets")
+    number = (F.coalesce("_off", F.lit(0)) + F.col("_ord")).cast("string")
+    return rows.join(offsets, ["_k", "_part"], "left").select(
+        F.concat("_h", F.lit(":"), number).alias("pair_id"), *by, F.col("_line").alias(col))
+
+
+def _number_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many copies of each line the partition had before it, as ``_ord``."""
+    seen: dict[str, int] = {}
+    for batch in batches:
+        order = []
+        for k in batch.column("_k").to_pylist():
+            n = seen.get(k, 0)
+            seen[k] = n + 1
+            order.append(n)
+        yield batch.append_column("_ord", pa.array(order, pa.int64()))
+
+
+def split_fields(lines: DataFrame, with_ids: bool | Column = False, col: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """IO1/IO2/IO4 ``line.strip().split('\\t')`` into named string fields.
 
     Short rows get NULLs on the right (as pandas pads); ``n_fields`` keeps
-    the count so callers can reject rows of the wrong width.
+    the count so callers can reject rows of the wrong width. ``with_ids`` may be
+    a condition per row: rows without event ids get NULL ids, which count as fields. A
+    line is split once, whatever reads its fields.
     """
-    names = field_names(with_ids)
+    mixed = isinstance(with_ids, Column)
+    names = field_names(mixed or with_ids)
+    skip = F.when(with_ids, 0).otherwise(len(ID_FIELDS)) if mixed else F.lit(0)
     parts = F.split(strip(F.col(col)), "\t", -1)
-    return lines.select(
-        "pair_id", F.size(parts).alias("n_fields"),
-        *[F.get(parts, i).alias(n) for i, n in enumerate(names)])
+    row = let(F.struct(parts.alias("p"), skip.alias("skip")), lambda x: F.struct(
+        (F.size(x["p"]) + x["skip"]).alias("n_fields"),
+        *[F.get(x["p"], F.lit(i) - x["skip"]).alias(n) for i, n in enumerate(names)]))
+    return lines.select("pair_id", *keep, F.inline(F.array(row)))
 
 
 def read_raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

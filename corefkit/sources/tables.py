@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corefkit.sources.csv_records import read_records
+
 # Quote and escape are both '"' so quotes and newlines inside text survive;
 # blanks at the ends of fields are kept.
 CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
@@ -23,8 +25,14 @@ def write_pairs_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_pairs_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
-    """IO5 CSV with an explicit schema (no inference pass over the data)."""
-    return spark.read.schema(schema).options(**CSV_READ).csv(path)
+    """IO5 CSV with an explicit schema (no inference pass over the data).
+
+    Quoted fields may hold line breaks, and yet a large file is read by as many tasks as
+    it has splits (:func:`read_records`).
+    """
+    fields = spark.createDataFrame([], schema).schema.fields
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return read_records(spark, path).select(F.from_csv("record", ddl, CSV_READ).alias("row")).select("row.*")
 
 
 def write_splits(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
@@ -47,12 +55,16 @@ def load_split_paths(spark: SparkSession, paths: Mapping[str, str], fmt: str = "
     """IO7 for one folder per split: union of reads with a literal ``split`` column."""
     out = None
     for name, p in paths.items():
-        r = spark.read.format(fmt)
-        if schema is not None:
-            r = r.schema(schema)
-        if fmt == "csv":
-            r = r.options(**CSV_READ)
-        d = r.load(p).withColumn("split", F.lit(name))
+        if fmt == "csv" and schema is not None:
+            d = read_pairs_csv(spark, p, schema)
+        else:
+            r = spark.read.format(fmt)
+            if schema is not None:
+                r = r.schema(schema)
+            if fmt == "csv":
+                r = r.options(**CSV_READ)
+            d = r.load(p)
+        d = d.withColumn("split", F.lit(name))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
 

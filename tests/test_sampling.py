@@ -1,5 +1,6 @@
 """Sampling, batching and ranking invariants."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,34 @@ def test_sample_equals_ordered_limit(spark):
         assert len(want) == min(n, 20000)
 
 
+def test_sample_with_repeated_ids_and_bad_bounds(spark, monkeypatch):
+    # keys that are not spread over their range: the bounds are set wider until they hold the cut
+    base = spark.range(0, 3000).withColumnRenamed("id", "pair_id")
+    monkeypatch.setattr(S, "rank_key", lambda c, *a: F.format_string("00000000%024d", F.col(c) % 1000))
+    got = _ids(S.sample_n(base, 1234, 7))
+    want = [r[0] for r in base.orderBy(F.col("pair_id") % 1000, "pair_id").limit(1234).collect()]
+    assert got == sorted(want)
+
+
+def test_strict_sample_of_too_few_rows_fails(spark):
+    base = spark.range(0, 10).withColumnRenamed("id", "pair_id")
+    with pytest.raises(ValueError):
+        S.sample_n(base, 11, strict=True)
+    assert S.sample_n(base, 10, strict=True).count() == 10 and S.sample_n(base, 11).count() == 10
+
+
+def test_first_per_key_is_a_hash_aggregate_of_least_keys(spark):
+    rows = [(f"id{k}", f"s{k % 37}" if k % 10 else None, "x" * 30) for k in range(900)]
+    df = spark.createDataFrame(rows, "pair_id string, sentence1 string, more string")
+    got = S.first_per_key(df, "sentence1", 5)
+    w = Window.partitionBy("sentence1").orderBy(S.rank_key("pair_id", 5, "shuffle"), "pair_id")
+    want = df.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_sample_fraction_exact_size(spark):
     base = spark.range(0, 1000).withColumnRenamed("id", "pair_id")
     assert S.sample_fraction(base, 0.1, 42).count() == 100
