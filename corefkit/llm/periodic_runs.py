@@ -11,10 +11,12 @@ period, of at least max(``MIN_WORDS``, ``MIN_EXPONENT`` * q) words.
    tiles where it lies.
 2. Boundary Z-functions. In a tile, the Z-function of the words after c gives for
    every period q how far the text agrees with itself q words on, the one of the
-   reversed words before c how far back. A tile without any hash of B words after c that
-   comes again q words on, at c or at the boundary before, is left out first; equal
-   words have equal hashes, so none is lost, and words decide.
-3. Fragments. Each tile reports [c - back, c + ahead) per period where it agrees
+   reversed words before c how far back. Only tiles are solved whose B words after c have a
+   hash that comes again q words on, and the tile after them; equal words have equal
+   hashes, so none is lost, and words decide. In a tile with at most ``FEW`` such periods
+   the Z-values of these are read off by comparing the words themselves, for all such
+   tiles at once; with more the whole functions are made, in linear time.
+3. Fragments. Each tile reports [c - back, c + ahead) per period where the text agrees
    up to a neighbouring boundary. A run agrees over 3q >= 3B words, so its tiles' fragments
    touch from end to end. Touching ones of a slice are joined before they are shuffled.
 4. Stitching. Fragments are shuffled by text and period and joined where they touch.
@@ -47,6 +49,8 @@ MIN_WORDS = 6
 MIN_EXPONENT = 4
 #: Texts of more words have their tiles dealt out; a power of two, and the boundaries of a slice span as many words.
 SPLIT = 1 << 13
+#: Periods of one boundary that are compared one by one.
+FEW = 4
 OUT_BYTES = 8 << 20
 FRAGMENTS = "array<struct<period:bigint,start:bigint,stop:bigint>>"
 FRAGMENT = pa.struct([("period", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -104,8 +108,9 @@ def stretch_fragments(words: list[bytes], offset: int, octaves: list[int], first
 
     ``words`` are the text's from number ``offset`` on, at least those of all the tiles.
     """
-    ids = number_words(words)
-    hashes = (np.array(ids, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    numbers = number_words(words)
+    ids = np.array(numbers, dtype=np.int64)
+    hashes = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     hashes ^= hashes >> np.uint64(31)
     width, found = 1, []
     for octave in octaves:
@@ -115,32 +120,68 @@ def stretch_fragments(words: list[bytes], offset: int, octaves: list[int], first
             width *= 2
         if width < octave:
             break
-        found.extend(_octave_fragments(ids, hashes, octave, offset, first, last))
-    return joined(np.concatenate(found, axis=1)) if found else np.zeros((3, 0), np.int64)
+        found.extend(_octave_fragments(numbers, ids, hashes, octave, first - offset, last - offset))
+    if not found:
+        return np.zeros((3, 0), np.int64)
+    out = joined(np.concatenate(found, axis=1))
+    out[1:] += offset
+    return out
 
 
-def _octave_fragments(ids: list[int], hashes: np.ndarray, octave: int, offset: int,
+def _octave_fragments(numbers: list[int], ids: np.ndarray, hashes: np.ndarray, octave: int,
                       first: int, last: int) -> Iterator[np.ndarray]:
-    begin = max(0, first - octave) - offset  # a hit one boundary earlier asks for the first tile too
-    n = (len(hashes) - octave - begin - 1) // octave + 1  # boundaries with a hash one octave on
-    n = min(n, -(-(last - offset - begin) // octave))
+    """Fragments of the boundaries at which the words come again a period on, up to the next boundary at least."""
+    n = min((len(hashes) - octave - first - 1) // octave + 1, -(-(last - first) // octave))  # those with hashes a period on
     if n <= 0:
         return
-    later = hashes[begin + octave:begin + (n + 1) * octave]
+    later = hashes[first + octave:first + (n + 1) * octave]
     if short := n * octave - len(later):
-        later = np.concatenate([later, ~np.repeat(hashes[begin + (n - 1) * octave], short)])
-    hit = (later.reshape(n, octave) == hashes[begin:begin + n * octave:octave, None]).any(axis=1)
-    places = np.flatnonzero(hit)
-    for place in np.union1d(places, places + 1).tolist():
-        c = begin + place * octave
-        if not first <= c + offset < last or c + octave >= len(ids):
-            continue
-        low = max(0, c - octave)
-        periods, back, ahead = solve_tile(ids[low:c + 3 * octave], c - low, octave)
-        reach = (back == octave) | (ahead == octave)
-        if reach.any():
-            c += offset
-            yield np.stack([periods[reach], c - back[reach], c + ahead[reach]])
+        later = np.concatenate([later, ~np.repeat(hashes[first + (n - 1) * octave], short)])
+    hit = later.reshape(n, octave) == hashes[first:first + n * octave:octave, None]
+    places, over = np.nonzero(hit)
+    if not len(places):
+        return
+    many = np.bincount(places, minlength=n) > FEW
+    if many.any():
+        # the tile and the one after it, in which its periods may end
+        for place in np.flatnonzero(many | np.append(False, many[:-1])).tolist() + [n] * bool(many[-1]):
+            c = first + place * octave
+            if c + octave >= len(ids):
+                continue
+            low = max(0, c - octave)
+            periods, back, ahead = solve_tile(numbers[low:c + 3 * octave], c - low, octave)
+            reach = (back == octave) | (ahead == octave)
+            if reach.any():
+                yield np.array([periods[reach], c - back[reach], c + ahead[reach]])
+    few = ~many[places]
+    if few.any():
+        yield _few_periods(ids, hit, places[few], over[few], octave, first)
+
+
+def _few_periods(ids: np.ndarray, hit: np.ndarray, places: np.ndarray, over: np.ndarray, octave: int, first: int) -> np.ndarray:
+    """The same for boundaries with few periods: their Z-values are read off by comparing words, all at once."""
+    steps = np.arange(octave)
+    c, q = first + places * octave, octave + over
+    at = c[:, None] + steps
+    good = (ids[at] == ids[at + q[:, None]]).all(axis=1)  # words decide, not hashes
+    hit[places[~good], over[~good]] = False
+    places, over, c, q = places[good], over[good], c[good], q[good]
+    start, stop = c.copy(), c + octave
+    # a period that the boundary before (or after) has too goes on there
+    head = np.flatnonzero((places == 0) | ~hit[places - 1, over])
+    at = c[head, None] - 1 - steps
+    start[head] -= _agreed((at >= 0) & (ids[np.maximum(at, 0)] == ids[np.maximum(at, 0) + q[head, None]]))
+    tail = np.flatnonzero((places == len(hit) - 1) | ~hit[np.minimum(places + 1, len(hit) - 1), over])
+    at = stop[tail, None] + steps
+    there = at + q[tail, None]
+    limit = len(ids) - 1
+    stop[tail] += _agreed((there <= limit) & (ids[np.minimum(at, limit)] == ids[np.minimum(there, limit)]))
+    return np.array([q, start, stop])
+
+
+def _agreed(same: np.ndarray) -> np.ndarray:
+    """Length of the leading run of True in each row."""
+    return np.where(same.all(axis=1), same.shape[1], (~same).argmax(axis=1))
 
 
 def joined(fragments: np.ndarray) -> np.ndarray:
