@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corefkit.functions.text import _c, let, words
+from corefkit.functions.text import _c, let, once, words
 
 
 def _extract_words(w: Column, s: Column, e: Column) -> Column:
@@ -83,7 +83,7 @@ def with_triggers(df, on_bad_span: str = "null"):
 
 def with_marked(df, on_bad_span: str = "null"):
     """Add ``marked1``/``marked2``: both sentences with triggers starred."""
-    return df.withColumns({
+    return once(df, {
         "marked1": mark_span("sentence1", "e1_trigger_start", "e1_trigger_end", on_bad_span),
         "marked2": mark_span("sentence2", "e2_trigger_start", "e2_trigger_end", on_bad_span),
     })

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the 29 code points Python's str.split()/str.strip() treat as
@@ -32,6 +32,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df.withColumns(columns)``, each evaluated once per row whatever reads it.
+
+    Catalyst copies a derived column into the filters and projections above it, so that an
+    expensive one is evaluated for each. It does not look into a generator, and this one
+    gives exactly one row per row.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))
+
+
 def words(s) -> Column:
     """S01 ``s.split()``: runs of Unicode whitespace, no empty items."""
     # array_remove is code-generated; a filter lambda would be interpreted.

@@ -11,11 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType
 
 from corefkit.functions.text import _c, hash_int, let, words
+from corefkit.operators.workers import once_per_worker
 
 PAD_ID, CLS_ID, SEP_ID = 0, 1, 2
 N_SPECIAL = 3
@@ -70,9 +73,6 @@ def encode_with(df: DataFrame, tokenize: Callable, text_a: str = "text_a", text_
     The tokenizer runs in a pandas UDF (Arrow batches); truncation, special
     tokens and padding stay column expressions.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf(ArrayType(IntegerType()))
     def _tok(s: pd.Series) -> pd.Series:
         return tokenize(s)
@@ -84,6 +84,28 @@ def encode_with(df: DataFrame, tokenize: Callable, text_a: str = "text_a", text_
     return toks.withColumns({"input_ids": ids, "attention_mask": mask}).drop("_ids_a", "_ids_b")
 
 
+def subword_tokenizer(model_json: str) -> Callable:
+    """A tokenizer for :func:`encode_with` from the JSON text of a ``tokenizers`` model.
+
+    The text travels with the function and each Python worker builds the tokenizer once. No
+    special tokens are added; strings that look like them are ordinary text.
+    """
+    def make():
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(model_json)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
+    tokenizer_of = once_per_worker(make)
+
+    def tokenize(texts: pd.Series) -> pd.Series:
+        found = tokenizer_of().encode_batch_fast(texts.fillna("").tolist(), add_special_tokens=False)
+        return pd.Series([x.ids for x in found], index=texts.index)
+
+    return tokenize
+
+
 def within_budget(text, max_tokens: int) -> Column:
     """M13 ``len(tokens) <= max_tokens`` with the default tokenizer."""
     return F.size(words(_c(text))) <= max_tokens

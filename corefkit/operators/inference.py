@@ -15,9 +15,6 @@ from __future__ import annotations
 
 import asyncio
 import math
-import sys
-import types
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -31,30 +28,11 @@ from corefkit.functions.vectors import argmax, softmax
 from corefkit.operators.joins import RESPONSE_COLUMNS, merge_responses
 from corefkit.operators.prompts import api_prompts
 from corefkit.operators.sampling import row_range
+from corefkit.operators.workers import once_per_worker
 from corefkit.session import shared_dir, staged
 from corefkit.sources.response_store import append_chunk, read_log, read_state
 
 
-def _once(factory: Callable[[], object]) -> Callable[[], object]:
-    """``factory`` as a getter that makes one instance per Python worker.
-
-    The key is drawn here, on the driver, once per call of an operator: a worker
-    that Spark reuses drops what an earlier call left there.
-    """
-    key = uuid.uuid4().hex
-
-    def get() -> object:
-        # functions travel by value, so the instance is held by the worker process itself
-        held = sys.modules.setdefault("_corefkit_instance", types.ModuleType("_corefkit_instance"))
-        if getattr(held, "key", None) != key:
-            held.key, held.value = None, None
-            held.value = factory()
-            held.key = key
-        return held.value
-
-    return get
-
-
 def _chunks(pdf: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
     for i in range(0, len(pdf), size):
         yield pdf.iloc[i:i + size]
@@ -75,7 +53,7 @@ def score_pairs(df: DataFrame, model_factory: Callable[[], Callable[[pd.DataFram
     ``model(batch) -> ndarray[n, k]`` sees a pandas frame with ``inputs``.
     Only ``id``, the ``keep`` columns and the logits come back, so wide inputs never shuffle.
     """
-    model_of, carried = _once(model_factory), [id_col, *keep]
+    model_of, carried = once_per_worker(model_factory), [id_col, *keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -95,7 +73,7 @@ def generate_responses(df: DataFrame, generator_factory: Callable[[], Callable[[
                        prompt_col: str = "prompt", batch_size: int = 128, id_col: str = "pair_id",
                        keep: Sequence[str] = ()) -> DataFrame:
     """INF2 one completion per prompt, generated in batches of ``batch_size``; ``keep`` columns come along."""
-    generator_of, carried = _once(generator_factory), [id_col, *keep]
+    generator_of, carried = once_per_worker(generator_factory), [id_col, *keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,7 +134,7 @@ def ask_pending(pairs: DataFrame, client_factory: Callable[[], object], store: s
     """
     spark = pairs.sparkSession
     tasks = tasks or spark.sparkContext.defaultParallelism
-    client_of = _once(client_factory)
+    client_of = once_per_worker(client_factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

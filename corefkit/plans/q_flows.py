@@ -29,14 +29,13 @@ from corefkit.sources import tables as T
 # ---------------------------------------------------------------- E1, all splits
 
 
-def _typed_split(spark, sf_dir, name: str):
-    """Raw lines of one split, parsed and cast; test lines carry event ids."""
-    with_ids = name == "test"
-    wide = fx.pairs_wide(spark, sf_dir).where(fx.split_of(F.col("pair_id")) == name)
-    fields = ([F.col("doc1").cast("string"), F.col("doc2").cast("string")] if with_ids else []) + fx.raw_fields(wide)
-    path = shared_dir(spark, "raw_split", unique=True)
-    wide.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
-    return RP.cast_pairs(RP.read_raw_pairs(spark, path, with_ids), "strict")
+def _raw_splits(spark, sf_dir) -> str:
+    """Raw lines of all splits, one folder each; test lines carry event ids."""
+    wide = fx.pairs_wide(spark, sf_dir).withColumn("split", fx.split_of(F.col("pair_id")))
+    ids = [F.when(F.col("split") == "test", F.col(c).cast("string")) for c in ("doc1", "doc2")]
+    path = shared_dir(spark, "raw_splits", unique=True)
+    wide.select(F.concat_ws("\t", *ids, *fx.raw_fields(wide)).alias("value"), "split").write.partitionBy("split").text(path)
+    return path
 
 
 _STATS = """SELECT '{0}' stage, count(*) n, count(*) FILTER (WHERE label = 1) positives, count(DISTINCT sentence1) unique_sentence1,
@@ -63,33 +62,22 @@ _SPLIT_LINES = """w AS (SELECT *, CASE WHEN {h} % 10 < 8 THEN 'train' WHEN {h} %
     """pick AS (SELECT pair_id FROM u1 UNION SELECT pair_id FROM u2
                UNION SELECT pair_id FROM st_balanced WHERE label = 1)"""), "E1", "A1", "A2", "T4", "T5", "IO2")
 def q_preprocess_splits_flow(spark, sf_dir):
-    """E1 whole: train, dev and test from raw lines, the balanced train set and its diversity sample, each saved,
-    with the statistics of every saved stage."""
+    """E1 whole: train, dev and test from raw lines in one pass, the balanced train set and its diversity sample, each
+    saved, with the statistics of every saved stage from one aggregate over all of them."""
     base = shared_dir(spark, "preprocess_splits", unique=True)
-    saved = {}
-
-    def save(df, name):
-        df.write.parquet(f"{base}/{name}")
-        saved[name] = spark.read.parquet(f"{base}/{name}")
-        return saved[name]
-
-    for name in T.SPLITS:
-        save(_typed_split(spark, sf_dir, name), name)
-    save(S.balanced(saved["train"], N_NEGATIVE, SEED).drop("shuffle_key"), "balanced")
-    save(S.unique_sample(saved["balanced"], N_UNIQUE, SEED), "sample")
-    none = F.lit(None).cast("long")
-    out = None
-    for name, df in saved.items():
-        size = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positives"))
-        if name == "sample":
-            row = size.select(F.lit(name).alias("stage"), "n", none.alias("positives"), none.alias("unique_sentence1"),
-                              none.alias("unique_sentence2"), none.alias("unique_sentences"))
-        else:
-            totals = size.select(F.struct("n", "positives")).scalar()
-            row = M.dataset_stats(df).select(F.lit(name).alias("stage"), totals["n"].alias("n"), totals["positives"].alias("positives"),
-                                             "unique_sentence1", "unique_sentence2", "unique_sentences")
-        out = row if out is None else out.unionByName(row)
-    return out
+    T.write_splits(RP.read_raw_splits(spark, _raw_splits(spark, sf_dir)), f"{base}/splits")
+    splits = T.load_splits(spark, f"{base}/splits")
+    train = splits.where(F.col("split") == "train").drop("split")
+    S.balanced(train, N_NEGATIVE, SEED).drop("shuffle_key").write.parquet(f"{base}/balanced")
+    balanced = spark.read.parquet(f"{base}/balanced")
+    S.unique_sample(balanced, N_UNIQUE, SEED).write.parquet(f"{base}/sample")
+    columns = ["stage", "sentence1", "sentence2", "label"]
+    saved = splits.withColumnRenamed("split", "stage").select(columns).unionByName(
+        balanced.withColumn("stage", F.lit("balanced")).select(columns))
+    size = saved.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positives"))
+    stats = size.join(M.dataset_stats(saved, ["stage"]), "stage")
+    return stats.unionByName(spark.read.parquet(f"{base}/sample").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "stage", F.lit("sample")), allowMissingColumns=True)
 
 
 @register("load_split_paths", oracle("SELECT pair_id, split, label FROM splits"), "IO7")

@@ -23,6 +23,7 @@ from corefkit.plans.q_prompts import (
 )
 from corefkit.registry import register
 from corefkit.session import shared_dir, staged
+from corefkit.sources import tables as T
 
 
 def _h_sql(x: str) -> str:
@@ -191,9 +192,9 @@ def q_fit_pair_classifier(spark, sf_dir):
 
     ``above_base``: the class-1 F1 on test is above that of calling every pair positive.
     """
-    s = fx.splits(spark, sf_dir)
-    model = C.fit(s.where(F.col("split") == "train"), s.where(F.col("split") == "dev"))
-    pred = staged(C.predict(model, s.where(F.col("split") == "test")).select("pair_id", "label", "pred", "prob1"), "predicted")
+    T.write_splits(fx.splits(spark, sf_dir), path := shared_dir(spark, "classifier_splits", unique=True))
+    train, dev, test = (T.load_splits(spark, path, (name,)) for name in T.SPLITS)
+    pred = staged(C.predict(C.fit(train, dev), test), "predicted")
     hit = F.count_if((F.col("label") == 1) & (F.col("pred") == 1))
     n_label, n_pred, n = F.sum("label"), F.sum("pred"), F.count(F.lit(1))
     better = pred.select(2 * hit / (n_label + n_pred) > 2 * n_label / (n_label + n)).scalar()

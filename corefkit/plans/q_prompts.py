@@ -249,6 +249,17 @@ def q_encode_pairs_truncated(spark, sf_dir):
     return _encode(spark, sf_dir, 48)
 
 
+@register("encode_pairs_subword", None, "M6", "M7")
+def q_encode_pairs_subword(spark, sf_dir):
+    """Encoder inputs by a public sub-word vocabulary, plugged in as the tokenizer (no SQL: held against the library in tests)."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenize = E.subword_tokenizer(f.read())
+    t = P.encoder_text(fx.splits(spark, sf_dir))
+    return E.encode_with(t, tokenize).select("pair_id", "split", "label", "input_ids", "attention_mask")
+
+
 @register("ensure_response_columns", oracle(
     "SELECT pair_id, label, CAST(NULL AS VARCHAR) model_response, CAST(NULL AS VARCHAR) reasoning_content FROM pairs"),
     "P9")

@@ -267,3 +267,19 @@ def q_score_completions(spark, sf_dir):
     s = R.score(r)
     return s.select("pair_id", "reward_xmlcount", "reward_soft_format", "reward_strict_format",
                     "reward_correctness", "reward")
+
+
+_BRIEF_SQL = "CASE WHEN length(completion) <= 40 THEN CAST(0.25 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+_HEDGE_SQL = "CASE WHEN contains(lower(completion), 'maybe') THEN CAST(-1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+
+
+@register("score_own_rewards", oracle(
+    f"""SELECT pair_id, {_CORRECT_SQL} reward_correctness, {_BRIEF_SQL} reward_brief, {_HEDGE_SQL} reward_hedge,
+            {_CORRECT_SQL} + {_BRIEF_SQL} + {_HEDGE_SQL} reward FROM responses"""), "R5", "UD2")
+def q_score_own_rewards(spark, sf_dir):
+    """A user's own rewards beside a chosen one: short completions gain, a 'maybe' loses."""
+    r = fx.responses(spark, sf_dir).withColumn("answer", label_text())
+    own = [("brief", lambda comp, ans: F.when(F.length(comp) <= 40, F.lit(0.25)).otherwise(F.lit(0.0))),
+           ("hedge", lambda comp, ans: F.when(F.lower(comp).contains("maybe"), F.lit(-1.0)).otherwise(F.lit(0.0)))]
+    s = R.score(r, rewards={"correctness": R.DEFAULT_REWARDS["correctness"]}, extra=own)
+    return s.select("pair_id", "reward_correctness", "reward_brief", "reward_hedge", "reward")

@@ -105,6 +105,16 @@ def read_raw_pairs(spark: SparkSession, path: str | list[str], with_ids: bool =
     return split_fields(assign_pair_ids(read_raw_lines(spark, path)), with_ids)
 
 
+def read_raw_splits(spark: SparkSession, path: str, split_col: str = "split", ids_in: str = "test", mode: str = "strict") -> DataFrame:
+    """IO1-IO3 for a folder per split (``split=train``, ...), all in one pass: typed pairs with their ``split``.
+
+    Lines of the split ``ids_in`` carry event ids. Copies of a line are numbered within their split.
+    """
+    lines = assign_pair_ids(read_raw_lines(spark, path), by=[split_col])
+    raw = split_fields(lines, F.col(split_col) == ids_in, keep=[split_col])
+    return cast_pairs(raw, mode)
+
+
 def _int(name: str, strict: bool) -> Column:
     c = F.col(name)
     return c.cast("int") if strict else F.expr(f"try_cast(`{name}` as int)")
