@@ -3,9 +3,9 @@
 Single-pass in-memory indexing gives the frequencies:
 
 1. Each task reads its documents once and counts their terms into a block of
-   postings: term -> occurrences and documents, per (lang, source). When the block
-   holds ``BLOCK_POSTINGS`` postings or has read ``BLOCK_BYTES`` of text, it is spilled as runs
-   sorted by term, one per (shard, lang, source), and memory is free again.
+   postings: the sources with their occurrences, and the documents, of each (lang, term). When the
+   block holds ``BLOCK_POSTINGS`` postings or has read ``BLOCK_BYTES`` of text, it is spilled as
+   runs sorted by term, one per (lang, shard of terms), and memory is free again.
 2. The runs of a (lang, shard of terms) meet in one group, where a heap merges them term
    by term. A term in ``min_docs`` or more documents of its language is kept,
    with its count in every source that has it. Shards grow in number with the input.
@@ -18,7 +18,8 @@ without any term, and corrections:
 * each term of a source moves its side from base to p: sums of |p - base'| over one source's
   terms, for all other sources at once from running sums over the distinct p;
 * terms that both sources have move both sides. These pair corrections are streamed from the
-  kept terms' postings, and summed per pair of sources before they are shuffled.
+  kept terms' postings into sums per pair of sources, in blocks of ``PAIR_BLOCK`` by as many
+  sources, before they are shuffled.
 
 All of it is integer arithmetic (decimals where a product passes 64 bits).
 
@@ -57,8 +58,9 @@ BLOCK_POSTINGS = 400_000
 BLOCK_BYTES = 128 << 20
 #: Text bytes per shard of terms: at least this, growing with the root of the input (1 GB at 100 TB).
 SHARD_BYTES = 32 << 20
-#: A task's pair sums are handed on at so many pairs.
-PAIRS_HELD = 1 << 20
+#: A task holds sums for so many pairs of blocks of so many sources, then hands them on.
+PAIR_BLOCK = 256
+BLOCKS_HELD = 64
 #: ASCII letters in lower case and all bytes of other characters stay; the rest parts terms.
 LETTERS = bytes(c | 0x20 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -68,38 +70,84 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
-def plan_shards(total_bytes: int, parallel: int) -> int:
-    return max(parallel, math.ceil(total_bytes / max(SHARD_BYTES, math.isqrt(10_000 * total_bytes))))
+def plan_shards(total_bytes: int) -> int:
+    """Shards of terms per language."""
+    return max(1, math.ceil(total_bytes / max(SHARD_BYTES, math.isqrt(10_000 * total_bytes))))
 
 
 # ---------------------------------------------------------------- blocks of postings, spilled as sorted runs
 
-RUN = ("lang string, shard int, source string, n_docs long, terms binary, sizes binary, counts binary, docs binary")
-RUN_NAMES = ["lang", "shard", "source", "n_docs", "terms", "sizes", "counts", "docs"]
+RUN = ("lang string, shard int, sources array<string>, n_docs binary, terms binary, sizes binary, posts binary, "
+       "ids binary, counts binary")
+RUN_KINDS = [("lang", pa.string()), ("shard", pa.int32()), ("sources", pa.list_(pa.string())),
+             *[(c, pa.binary()) for c in ("n_docs", "terms", "sizes", "posts", "ids", "counts")]]
+
+
+class Block:
+    """Postings in memory: documents per (lang, term), occurrences per (lang, source, term)."""
+
+    def __init__(self) -> None:
+        self.n_docs: dict[str, Counter] = {}
+        self.counts: dict[str, dict[str, Counter]] = {}
+        self.postings = self.bytes_read = 0
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        sources = self.counts.setdefault(lang, {})
+        counts = sources.setdefault(source, Counter())
+        terms = terms_of(text)
+        before = len(counts)
+        counts.update(terms)
+        self.n_docs.setdefault(lang, Counter()).update(set(terms))
+        self.postings += len(counts) - before
+        self.bytes_read += len(text)
+
+    def runs(self, shards: int) -> Iterator[tuple]:
+        """One row per language and shard with terms, sorted by term; each source of a language is in its row of shard -1."""
+        for lang, by_source in self.counts.items():
+            sources = sorted(by_source)
+            yield lang, -1, sources, *[b""] * 6
+            n_docs = self.n_docs[lang]
+            terms = sorted(n_docs)
+            if not terms:
+                continue
+            shard = np.fromiter((shard_of(t, shards) for t in terms), np.int64, len(terms))
+            order = np.argsort(shard, kind="stable")  # by shard, then term
+            place = np.empty(len(terms), np.int64)
+            place[order] = np.arange(len(terms))
+            at = {t: k for t, k in zip(terms, place.tolist())}
+            parts = [by_source[s] for s in sources]
+            where = np.concatenate([np.fromiter(map(at.__getitem__, c), np.int64, len(c)) for c in parts])
+            counts = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in parts])
+            ids = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(c) for c in parts])
+            by_term = np.argsort(where, kind="stable")
+            counts, ids = counts[by_term], ids[by_term]
+            posts = np.bincount(where, minlength=len(terms)).astype(np.uint32)
+            ends = np.concatenate([[0], np.cumsum(posts, dtype=np.int64)])
+            names, starts = np.unique(shard[order], return_index=True)
+            for name, low, high in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(terms)]):
+                own = [terms[k] for k in order[low:high].tolist()]
+                held = slice(ends[low], ends[high])
+                yield (lang, name, sources, np.fromiter(map(n_docs.__getitem__, own), np.int64, len(own)).tobytes(),
+                       b"".join(own), np.fromiter(map(len, own), np.uint32, len(own)).tobytes(), posts[low:high].tobytes(),
+                       ids[held].tobytes(), counts[held].tobytes())
 
 
 def _index(shards: int, block_postings: int, block_bytes: int):
     """Blocks of postings in memory; each is spilled as term-sorted runs."""
 
+    def spill(block: Block) -> Iterator[pa.RecordBatch]:
+        for row in block.runs(shards):
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, (_, k) in zip(row, RUN_KINDS)], [n for n, _ in RUN_KINDS])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, read, held = {}, 0, 0
+        block = Block()
         for batch in batches:
             for lang, source, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text = value.as_py()
-                entry = block.get((lang, source))
-                if entry is None:
-                    entry = block[lang, source] = [Counter(), Counter(), 0]
-                terms = terms_of(text)
-                before = len(entry[0])
-                entry[0].update(terms)
-                entry[1].update(set(terms))
-                entry[2] += 1
-                held += len(entry[0]) - before + 1
-                read += len(text)
-                if held >= block_postings or read >= block_bytes:
-                    yield from _spill(block, shards)
-                    block, read, held = {}, 0, 0
-        yield from _spill(block, shards)
+                block.add(lang, source, value.as_py())
+                if block.postings >= block_postings or block.bytes_read >= block_bytes:
+                    yield from spill(block)
+                    block = Block()
+        yield from spill(block)
 
     return run
 
@@ -108,36 +156,11 @@ def shard_of(term: bytes, shards: int) -> int:
     return xxhash.xxh32_intdigest(term) % shards
 
 
-def _spill(block: dict, shards: int) -> Iterator[pa.RecordBatch]:
-    """One row per (lang, shard, source) with terms, and one of no terms per group, which exists even so."""
-    rows = []
-    for (lang, source), (counts, n_docs, rows_read) in block.items():
-        rows.append((lang, 0, source, rows_read, b"", b"", b"", b""))
-        dealt: dict[int, list[bytes]] = {}
-        for term in sorted(counts):
-            dealt.setdefault(shard_of(term, shards), []).append(term)
-        for shard, terms in dealt.items():
-            rows.append((lang, shard, source, 0, b"".join(terms), np.array(list(map(len, terms)), np.uint32).tobytes(),
-                         np.array([counts[t] for t in terms], np.int64).tobytes(),
-                         np.array([n_docs[t] for t in terms], np.int64).tobytes()))
-        if len(rows) > 2000:
-            yield _runs(rows)
-            rows = []
-    if rows:
-        yield _runs(rows)
-
-
-def _runs(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], RUN_NAMES)
-
-
-def read_run(source: str, terms: bytes, sizes: bytes, counts: bytes, docs: bytes) -> Iterator[tuple]:
-    """(term, source, count, documents) of a run, one at a time."""
+def read_run(number: int, terms: bytes, sizes: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(term, number of the run, place in it) of a run, one at a time."""
     at = 0
-    for size, count, n in zip(np.frombuffer(sizes, np.uint32).tolist(), np.frombuffer(counts, np.int64).tolist(),
-                              np.frombuffer(docs, np.int64).tolist()):
-        yield terms[at:at + size], source, count, n
+    for place, size in enumerate(np.frombuffer(sizes, np.uint32).tolist()):
+        yield terms[at:at + size], number, place
         at += size
 
 
@@ -145,20 +168,30 @@ def _merge(min_docs: int):
     """Heap merge of the runs of one (lang, shard): the kept terms with their counts by source."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = [read_run(*row) for row in zip(pdf.source, pdf.terms, pdf.sizes, pdf.counts, pdf.docs)]
-        rows, now, n_docs, counts = [], None, 0, {}
+        sources = [list(x) for x in pdf.sources]
+        n_docs = [np.frombuffer(x, np.int64).tolist() for x in pdf.n_docs]
+        ids, counts = ([np.frombuffer(x, k) for x in c] for c, k in ((pdf.ids, np.uint32), (pdf.counts, np.int64)))
+        ends = [np.concatenate([[0], np.cumsum(np.frombuffer(x, np.uint32), dtype=np.int64)]) for x in pdf.posts]
+        rows, now, met, total = [], None, [], 0
 
         def close() -> None:
-            if now is not None and n_docs >= min_docs:
-                sources = sorted(counts)
-                rows.append((key[0], now.decode(), sources, [counts[s] for s in sources]))
-
-        for term, source, count, n in heapq.merge(*runs):
+            if total < min_docs or now is None:
+                return
+            found: dict[str, int] = {}
+            for r, place in met:
+                held = slice(ends[r][place], ends[r][place + 1])
+                for k, n in zip(ids[r][held].tolist(), counts[r][held].tolist()):
+                    name = sources[r][k]
+                    found[name] = found.get(name, 0) + n
+            names = sorted(found)
+            rows.append((key[0], now.decode(), names, [found[s] for s in names]))
+
+        for term, r, place in heapq.merge(*[read_run(k, t, z) for k, (t, z) in enumerate(zip(pdf.terms, pdf.sizes))]):
             if term != now:
                 close()
-                now, n_docs, counts = term, 0, {}
-            n_docs += n
-            counts[source] = counts.get(source, 0) + count
+                now, met, total = term, [], 0
+            met.append((r, place))
+            total += n_docs[r][place]
         close()
         return pd.DataFrame(rows, columns=["lang", "term", "sources", "counts"])
 
@@ -167,16 +200,15 @@ def _merge(min_docs: int):
 
 def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, shards: int | None = None,
                 block_postings: int = BLOCK_POSTINGS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Kept terms (lang, term, sources, counts) and groups (lang, source, n_docs) of ``docs`` (lang, source, text)."""
-    spark = docs.sparkSession
+    """Kept terms (lang, term, sources, counts) and groups (lang, source) of ``docs`` (lang, source, text)."""
     rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     rows = rows.withColumn("text", F.col("text").cast("binary"))
     if shards is None:
         total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-        shards = plan_shards(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        shards = plan_shards(total)
     runs = staged(rows.mapInArrow(_index(shards, block_postings, block_bytes), RUN), "postings_runs")
-    groups = runs.where("n_docs > 0").groupBy("lang", "source").agg(F.sum("n_docs").alias("n_docs"))
-    kept = (runs.where("n_docs = 0").groupBy("lang", "shard")
+    groups = runs.where("shard = -1").select("lang", F.explode("sources").alias("source")).distinct()
+    kept = (runs.where("shard >= 0").groupBy("lang", "shard")
             .applyInPandas(_merge(min_docs), "lang string, term string, sources array<string>, counts array<long>"))
     return staged(kept, "kept_terms"), groups
 
@@ -194,32 +226,38 @@ def probability(count: Column, n: Column, v: Column) -> Column:
 
 def _pair_corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over the terms that two sources share of |p - p'| - |p - base'| - |p' - base| + |base - base'|."""
-    sums: dict[tuple[str, str], dict[str, int]] = {}
-    held = 0
+    names: dict[str, dict[str, int]] = {}
+    sums: dict[tuple[str, int, int], np.ndarray] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows = [(lang, a, b, v) for (lang, a), others in sums.items() for b, v in others.items()]
-        if rows:
-            kinds = [pa.string()] * 3 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                             ["lang", "source", "other", "value"])
+        for (lang, a, b), held in sums.items():
+            known = list(names[lang])
+            i, j = np.nonzero(held)
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([lang] * len(i), pa.string()),
+                "source": pa.array([known[a * PAIR_BLOCK + k] for k in i.tolist()], pa.string()),
+                "other": pa.array([known[b * PAIR_BLOCK + k] for k in j.tolist()], pa.string()),
+                "value": pa.array(held[i, j], pa.int64())})
         sums.clear()
 
     for batch in batches:
         for lang, sources, ps, bases in zip(*(c.to_pylist() for c in batch.columns)):
-            p, base = np.array(ps, np.int64), np.array(bases, np.int64)
-            for k in range(len(sources) - 1):
-                later = slice(k + 1, None)
-                moved = (np.abs(p[later] - p[k]) - np.abs(p[k] - base[later]) - np.abs(p[later] - base[k])
-                         + np.abs(base[later] - base[k])).tolist()
-                row = sums.setdefault((lang, sources[k]), {})
-                before = len(row)
-                for other, value in zip(sources[k + 1:], moved):
-                    row[other] = row.get(other, 0) + value
-                held += len(row) - before
-                if held >= PAIRS_HELD:
-                    yield from flush()
-                    held = 0
+            numbers = names.setdefault(lang, {})
+            at = np.array([numbers.setdefault(s, len(numbers)) for s in sources])
+            order = np.argsort(at)
+            at, p, base = at[order], np.array(ps, np.int64)[order], np.array(bases, np.int64)[order]
+            cuts = np.flatnonzero(np.diff(at // PAIR_BLOCK)) + 1
+            parts = list(zip(*(np.split(x, cuts) for x in (at, p, base))))
+            for at1, p1, base1 in parts:
+                rows, p1, base1 = (at1 % PAIR_BLOCK)[:, None], p1[:, None], base1[:, None]
+                for at2, p2, base2 in parts:
+                    blocks = lang, int(at1[0]) // PAIR_BLOCK, int(at2[0]) // PAIR_BLOCK
+                    if (held := sums.get(blocks)) is None:
+                        held = sums[blocks] = np.zeros((PAIR_BLOCK, PAIR_BLOCK), np.int64)
+                    held[rows, at2 % PAIR_BLOCK] += (np.abs(p1 - p2) - np.abs(p1 - base2) - np.abs(p2 - base1)
+                                                     + np.abs(base1 - base2))
+            if len(sums) >= BLOCKS_HELD:
+                yield from flush()
     yield from flush()
 
 
@@ -231,7 +269,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     totals = postings.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("present"))
     zero = F.lit(0).cast("long")
-    groups = (seen.select("lang", "source").join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
+    groups = (seen.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
               .select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("n", "present", "v")])
               .withColumn("base", F.coalesce(probability(zero, F.col("n"), F.col("v")), zero)))
     groups = staged(groups, "audit_groups")
@@ -266,9 +304,10 @@ def _pairs(groups: DataFrame, known: DataFrame) -> DataFrame:
     shared = known.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "p", "base"))).alias("x"))
     both = (shared.where(F.size("x") > 1).select("lang", "x.source", "x.p", "x.base")
             .mapInArrow(_pair_corrections, "lang string, source string, other string, value long"))
-    one_way = own.unionByName(both)
-    turned = one_way.select("lang", F.col("other").alias("source"), F.col("source").alias("other"), "value")
-    value = start.unionByName(one_way).unionByName(turned).groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
+    # a source's own terms count for both directions
+    turn = F.inline(F.array(F.struct("source", "other"), F.struct(F.col("other").alias("source"), F.col("source").alias("other"))))
+    value = (start.unionByName(own.select("lang", turn, "value")).unionByName(both.where("source != other"))
+             .groupBy("lang", "source", "other").agg(F.sum("value").alias("value")))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "other")
     return value.select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value",
                         F.row_number().over(order).alias("rank"))

@@ -73,38 +73,52 @@ def test_empty_table(no_docs):
 
 
 def test_spilled_runs_are_sorted_and_memory_is_freed():
-    rows = [r for r in corpus(9, 200)]
+    rows = corpus(9, 200)
     batch = pa.RecordBatch.from_pydict({"lang": [r[1] or "" for r in rows], "source": [r[2] or "" for r in rows],
                                         "text": [(r[0] or "").encode() for r in rows]})
     runs = [r for b in op._index(4, 50, 1 << 30)(iter([batch])) for r in b.to_pylist()]
-    assert sum(r["n_docs"] for r in runs) == len(rows)
-    seen = Counter()
+    groups = {(r["lang"], s) for r in runs if r["shard"] == -1 for s in r["sources"]}
+    assert groups == {(r[1] or "", r[2] or "") for r in rows}
+    seen, docs = Counter(), Counter()
     for r in runs:
-        found = list(op.read_run(r["source"], r["terms"], r["sizes"], r["counts"], r["docs"]))
-        assert found == sorted(found) and len(found) < 200
-        assert all(op.shard_of(t, 4) == r["shard"] for t, *_ in found)
-        seen.update({(r["lang"], s, t): n for t, s, n, _ in found})
-    want = Counter()
+        found = [t for t, _, _ in op.read_run(0, r["terms"], r["sizes"])]
+        assert found == sorted(found) and len(found) < 100
+        assert all(op.shard_of(t, 4) == r["shard"] for t in found)
+        ids, counts = np.frombuffer(r["ids"], np.uint32).tolist(), np.frombuffer(r["counts"], np.int64).tolist()
+        at = 0
+        for t, n, d in zip(found, np.frombuffer(r["posts"], np.uint32).tolist(), np.frombuffer(r["n_docs"], np.int64).tolist()):
+            docs[r["lang"], t] += d
+            for k, c in zip(ids[at:at + n], counts[at:at + n]):
+                seen[r["lang"], r["sources"][k], t] += c
+            at += n
+        assert at == len(ids) == len(counts)
+    want, want_docs = Counter(), Counter()
     for text, lang, source in rows:
-        want.update((lang or "", source or "", t.translate(LOWER).encode()) for t in TERM.findall(text or ""))
-    assert seen == want
+        terms = [t.translate(LOWER).encode() for t in TERM.findall(text or "")]
+        want.update((lang or "", source or "", t) for t in terms)
+        want_docs.update((lang or "", t) for t in set(terms))
+    assert seen == want and docs == want_docs
 
 
-def test_pair_corrections_in_small_portions(monkeypatch):
+@pytest.mark.parametrize("block, held", [(256, 64), (2, 64), (2, 2), (1, 1)])
+def test_pair_corrections_in_blocks(monkeypatch, block, held):
     rng = random.Random(3)
-    rows = [("en", sorted(rng.sample("abcdef", 4)), [rng.randrange(90) for _ in range(4)], [rng.randrange(9) for _ in range(4)]) for _ in range(50)]
+    rows = [(rng.choice(["en", "de"]), sorted(rng.sample("abcdefg", 4)), [rng.randrange(90) for _ in range(4)],
+             [rng.randrange(9) for _ in range(4)]) for _ in range(50)]
     batch = pa.RecordBatch.from_pydict(dict(zip(["lang", "source", "p", "base"], map(list, zip(*rows)))))
-
-    def total():
-        out = Counter()
-        for b in op._pair_corrections(iter([batch])):
-            for r in b.to_pylist():
-                out[r["source"], r["other"]] += r["value"]
-        return out
-
-    whole = total()
-    monkeypatch.setattr(op, "PAIRS_HELD", 3)
-    assert total() == whole
+    monkeypatch.setattr(op, "PAIR_BLOCK", block)
+    monkeypatch.setattr(op, "BLOCKS_HELD", held)
+    got, want = Counter(), Counter()
+    for b in op._pair_corrections(iter([batch])):
+        for r in b.to_pylist():
+            if r["source"] != r["other"]:
+                got[r["lang"], r["source"], r["other"]] += r["value"]
+    for lang, sources, p, base in rows:
+        for i, s in enumerate(sources):
+            for j, o in enumerate(sources):
+                if i != j:
+                    want[lang, s, o] += abs(p[i] - p[j]) - abs(p[i] - base[j]) - abs(p[j] - base[i]) + abs(base[i] - base[j])
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
 
 
 def test_probability_is_exact(spark):
