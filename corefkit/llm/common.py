@@ -7,7 +7,7 @@ import sys
 import types
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corefkit.session import staged  # noqa: F401  (for the operators)
@@ -58,7 +58,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str,
 
     Also returns the share of each value that was taken. Rows are taken by the md5
     of the id, so the sample does not depend on the partitioning. Null labels and
-    ids are left out; an id labelled twice takes its larger label.
+    ids are left out; an id labelled twice takes its larger label, and of an id's
+    documents the smallest text, so the bounds hold for rows.
     """
     value = (F.col(label) > 0).cast("int")
     picked = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -69,4 +70,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str,
     limit = F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])
     # the bounds hold for this side whatever the input, so it may be broadcast
     picked = F.broadcast(picked.where(place < limit))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id"), shares
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), shares
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with their place in the order of ``keys`` as ``name``: 0, 1, 2, ... however they were partitioned.
+
+    Range-partitioned and sorted rows are written with their place in their partition; the
+    partitions' offsets are one number each, so they may be broadcast.
+    """
+    place = F.monotonically_increasing_id()  # partition << 33 | place in it
+    parted = staged(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", place), "sorted")
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = parted.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return parted.withColumn("_part", part).join(F.broadcast(before), "_part").select(*rows.columns, number.alias(name))

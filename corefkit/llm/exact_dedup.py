@@ -11,8 +11,9 @@ numbered in the same way, and so on until one integer is left per document: its
   else moves rows of a few integers, grouped by (doc_id, text_sha256).
 * The shuffle key of a block is a 64-bit hash, but the name belongs to the block
   itself: blocks that share a hash are told apart by their bytes.
-* Numbers are handed out per sorted shuffle partition and staged in the shared
-  folder before use, so a lost executor cannot renumber them.
+* Blocks are sorted by (hash, bytes), pairs by their integers, over all partitions,
+  and numbered 0, 1, 2, ... in that order, so the names depend on the texts alone. They are
+  staged in the shared folder before use.
 
 Null texts count as empty; an empty text is one empty block. Of equal texts the
 largest doc_id stays (a null id is the smallest); of repeated rows with this id
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corefkit.llm.common import ascii_lower, documents, staged
+from corefkit.llm.common import ascii_lower, documents, numbered, staged
 
 BLOCK_BYTES = 4096
 #: Rows of one repeated (doc_id, text) that one array may hold while they are written out again.
@@ -79,9 +80,8 @@ def _batch(rows: list[tuple], with_blocks: bool) -> pa.RecordBatch:
 
 
 def _named_pairs(pairs: DataFrame) -> DataFrame:
-    """(l, r) -> integer, one per distinct pair."""
-    return staged(pairs.select("l", "r").distinct().select("l", "r", F.monotonically_increasing_id().alias("name")),
-                  "names")
+    """(l, r) -> integer, one per distinct pair, in their order."""
+    return staged(numbered(pairs.select("l", "r").distinct(), ["l", "r"], "name"), "names")
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES,
@@ -90,12 +90,11 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES,
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
 
     blocks = raw.mapInArrow(_cutter(block_bytes, hash_of, True), "h long, block binary")
-    names = staged(
-        blocks.groupBy("h").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
-        .select("h", F.size("blocks").alias("alike"), F.explode("blocks").alias("block"))
-        .select("h", F.when(F.col("alike") > 1, F.col("block")).alias("block"),
-                F.monotonically_increasing_id().alias("name")),
-        "blocks")
+    # of a hash with one block only the hash is sorted and named
+    distinct = (blocks.groupBy("h").agg(F.collect_set("block").alias("blocks"))
+                .select("h", F.size("blocks").alias("alike"), F.explode("blocks").alias("block"))
+                .select("h", F.when(F.col("alike") > 1, F.col("block")).alias("block")))
+    names = staged(numbered(distinct, ["h", "block"], "name"), "blocks")
 
     places = (raw.mapInArrow(_cutter(block_bytes, hash_of, False),
                              "doc_id long, text_sha256 string, n int, pos int, h long")
@@ -167,18 +166,18 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; of repeated rows the one with the smallest JSON."""
     verdict = exact_groups(docs)
     kept = verdict.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__key", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
-    rows = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")),
-                      "left_semi")
+    # the row in one struct, so that its columns may have any name
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(whole, F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("key"))
+    match = F.col("row.doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__sha"))
+    rows = keyed.join(kept, match, "left_semi")
     repeated = (verdict.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
                 .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")))
     if repeated.isEmpty():
-        return rows.drop("__key")
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = (rows.join(repeated, match, "left_semi").groupBy(F.col("doc_id").alias("__id"), "__key")
-            .agg(F.min_by(whole, F.to_json(whole)).alias("__row")).select("__row.*"))
-    return rows.join(repeated, match, "left_anti").drop("__key").unionByName(once)
+        return rows.select("row.*")
+    once = (rows.join(repeated, match, "left_semi").groupBy(F.col("row.doc_id").alias("__id"), "key")
+            .agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return rows.join(repeated, match, "left_anti").select("row").unionByName(once).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ their own; the same rows give the same mix in any order and partitioning.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ BLOCK_WORDS = 32
 #: Adjacent blocks that a mix of texts takes one after the other: 4,096 words.
 RUN_BLOCKS = 128
 SHARD_WORDS = 1 << 16
+#: Each lists 2,048 block keys.
+SHARDS_PER_TASK = 128
 SEED = 11
 #: A word with the white space before it; the last one also with what follows.
 TOKEN_PATTERN = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++\z)?"
@@ -110,6 +114,8 @@ def shard_plan(sized: DataFrame, sources: DataFrame, block_words: int, run_block
     quotas = apportion(sources.withColumn("all", F.lit(0)).withColumn("seats", all_blocks), ["all"], "place", "target",
                        "seats").select("place", F.col("quota").alias("source_quota"))
     shards = staged(sized.groupBy("place", "shard", "shards").agg(F.sum("size").alias("words")).join(quotas, "place"), "shards")
+    # few bytes but thousands of block keys a row: dealt out by their number, which Spark's sizes don't show
+    tasks = max(1, math.ceil(shards.count() / SHARDS_PER_TASK))
     # groups of shards keep every ranking to about the root of the number of shards
     shards = shards.withColumn("group", F.pmod("shard", F.ceil(F.sqrt("shards")).cast("long")))
     groups = shards.groupBy("place", "group").agg(F.sum("words").alias("words"), F.max("source_quota").alias("source_quota"))
@@ -117,7 +123,7 @@ def shard_plan(sized: DataFrame, sources: DataFrame, block_words: int, run_block
         "place", "group", F.col("quota").alias("group_quota"))
     shards = apportion(shards.join(staged(groups, "groups"), ["place", "group"]), ["place", "group"], "shard", "words", "group_quota")
     blocks = F.ceil(F.col("words") / block_words).cast("long")
-    return (shards.where("words > 0").withColumn("blocks", blocks)
+    return (shards.where("words > 0").repartition(tasks, "place", "shard").withColumn("blocks", blocks)
             .withColumn("rounds", F.least(F.lit(2), F.expr("quota div blocks")))
             .withColumn("extra", F.when(F.col("rounds") < 2, F.expr("quota % blocks")).otherwise(0).cast("int"))
             .withColumn("keys", F.sort_array(F.transform(
@@ -141,8 +147,9 @@ def mix(docs: DataFrame, payload: list[str], weights=WEIGHTS, share: float = SHA
     sized = (sized.join(known, F.col("source").eqNullSafe(F.col("__source")))
              .withColumn("shard", F.pmod("number", "shards")))
     plan = staged(shard_plan(sized, sources, block_words, run_blocks), "plan")
+    some = sized.where("size > 0")  # rows without words take nothing and stay out of the shards' windows
     stream = Window.partitionBy("place", "shard").orderBy("number", "doc", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("start", F.sum("size").over(stream) - F.col("size"))
+    placed = some.withColumn("start", F.sum("size").over(stream) - F.col("size"))
     joined = placed.join(plan, ["place", "shard"], "left")
 
     def covered(b: Column) -> Column:
@@ -153,8 +160,9 @@ def mix(docs: DataFrame, payload: list[str], weights=WEIGHTS, share: float = SHA
                         (F.col("rounds") + again.cast("int")).cast("long").alias("times"))
 
     touched = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
-    cover = F.when(F.col("size") > 0, F.transform(touched, covered)).otherwise(F.array())
-    out = joined.select("row", "size", "source_size", "target", cover.alias("cover"))
+    out = joined.select("row", "size", "source_size", "target", F.transform(touched, covered).alias("cover"))
+    none = F.array().cast(out.schema["cover"].dataType)
+    out = out.unionByName(sized.where("size = 0").select("row", "size", "source_size", "target", none.alias("cover")))
     taken = F.aggregate("cover", F.lit(0).cast("long"), lambda sum_, c: sum_ + c["words"] * c["times"])
     return out.withColumn("taken", taken)
 

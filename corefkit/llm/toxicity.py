@@ -39,8 +39,7 @@ from corefkit.llm.common import documents, held_out, labelled_sample, staged
 
 #: Bounds of the labelled sample that the model is fitted on.
 MAX_POSITIVE, MAX_NEGATIVE = 3_000, 6_000
-#: Bounds of the lexicon: candidates tested, and the least evidence for one.
-MAX_PATTERNS = 4_000
+#: The least evidence for a word of the lexicon.
 MIN_DOCS, MIN_CONTEXTS, MIN_G2 = 3, 3, 12.0
 PREFIXES = (3, 4, 5, 6)
 CACHE_WORDS = 500_000
@@ -59,6 +58,8 @@ CLAUSE_END = frozenset(".!?;:\n")
 # Input symbols: I insult, H threat, T target, N negation, R reporting word, O other, . end of a clause.
 # Output symbols: I H plain, J K bound to a target before, B a target that binds the hit before it, i h negated, q reported.
 KINDS = "IHJKBihq"
+#: Those that make a clause an attack; what is negated or reported counts by its own weight only.
+ATTACKS = frozenset("IHJKB")
 
 
 @dataclass
@@ -133,7 +134,7 @@ class Matcher:
         return found
 
     def features(self, text: str) -> list[float]:
-        """Per output symbol the weight matched in all clauses, and the strongest clause."""
+        """Per output symbol the weight matched in all clauses, and the attacks of the strongest clause."""
         low = text.lower()
         weight = self.weight
         hits = {w for w in set(TOKEN.findall(low)) if w in THREATS or weight(w) > 0}
@@ -153,7 +154,8 @@ class Matcher:
             state, out = step(state, symbol)
             if out in total:
                 total[out] += last
-                clause += last
+                if out in ATTACKS:
+                    clause += last
         return [math.log1p(total[k]) for k in KINDS] + [math.log1p(max(best, clause))]
 
 
@@ -202,7 +204,7 @@ def learn_lexicon(rows: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
     counts = (rows.mapInPandas(_count_documents, "pattern string, pos long, neg long")
               .groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
               .where((F.col("pos") >= MIN_DOCS) & (F.col("pos") * n_neg > F.col("neg") * n_pos * 3))
-              .orderBy(F.desc(F.col("pos") / (F.col("neg") + 1)), F.desc("pos"), "pattern").limit(MAX_PATTERNS).toPandas())
+              .orderBy("pattern").toPandas())  # patterns of the bounded sample, each in MIN_DOCS toxic rows at least
     if counts.empty:
         return {}
     candidates = frozenset(counts.pattern)

@@ -1,18 +1,20 @@
 """URL filter: rules by host and path, and for the rest an exact Bloom filter cascade.
 
-The key universe is every distinct host of the corpus; the listed keys are those
-a block list names (here: any host with a listed term among its labels). Level 1
-is a Bloom filter of the listed hosts. The other hosts that pass it by mistake
-go into level 2, the listed hosts that pass level 2 into level 3, and so on until
+The key universe is every distinct host of the corpus; the listed keys come as a table
+of hosts. Level 1 is a Bloom filter of the listed hosts. The other hosts that pass it by
+mistake go into level 2, the listed hosts that pass level 2 into level 3, and so on until
 no mistake is left. A host is listed exactly if the first level that rejects it
 has an even number, or no level rejects it and the last has an odd number. For
 every host of the universe the answer is exact, and judging urls takes no join.
 
-Each level is one row (an array of 64-bit words) that is staged and enters the
-next plan as a scalar. Its size is counted from the keys before it is built; the
-levels together shrink geometrically. If the first level would pass
-``MAX_LEVEL_BITS``, hosts are judged by a semi join with the listed hosts
-instead, with the same results.
+Keys are dealt into shards by hash, about ``SHARD_KEYS`` listed ones each, and every shard has a
+cascade of its own, so no filter outgrows a few MB and all shards are built by the same
+jobs. A filter is filled by position: the set bits of a level meet zeros for all its words,
+words are put in order within chunks and chunks within the shard. Each filter is staged and
+enters the next plan as a scalar; together they are about 12 bits per listed host.
+
+The block list of the query is a stated rule: hosts with a label, or a part of one, that names
+a category which public block lists cover (``BLOCK_TERMS``).
 
 Null urls, urls without ``://`` and empty hosts have host and path empty: no rule
 fits, and they are not listed. Rows are judged one by one, so repeated rows,
@@ -22,6 +24,7 @@ null ids and extra columns have no effect; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +34,19 @@ from corefkit.llm.common import LOWER, UPPER, conjunction, staged
 #: (verdict, host and path): the contract's rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
          ("block", "net/es/"), ("block", "net/fr/"))
-#: A host is on the block list if one of its labels or label parts is one of these.
-BLOCK_TERMS = ("casino", "bets", "pills", "ads", "track", "win")
+#: Fixed words of the usual categories of block lists: adult, gambling, pharmacy, advertising and tracking, spam and fraud.
+BLOCK_TERMS = ("adult", "escort", "escorts", "nude", "porn", "porno", "sex", "xxx",
+               "bet", "bets", "betting", "bingo", "casino", "casinos", "gambling", "jackpot", "lottery", "poker", "slots",
+               "cialis", "pharma", "pill", "pills", "viagra",
+               "adserver", "ads", "adtech", "banner", "banners", "popup", "popups", "track", "tracker", "tracking",
+               "hack", "malware", "phish", "phishing", "scam", "spam", "spyware", "warez")
 
 BITS_PER_KEY = 10
 HASHES = 4
-#: 8 MB of words for the largest level.
-MAX_LEVEL_BITS = 1 << 26
+#: Listed keys of a shard: 2.6 MB of words for its first level.
+SHARD_KEYS = 1 << 21
+#: Words of a filter that are put in order together.
+CHUNK_WORDS = 1 << 10
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -59,78 +68,95 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def named_by(host: Column, terms: Sequence[str]) -> Column:
-    """Whether the block list names a host."""
+def named_by(host: Column, terms: Sequence[str] = BLOCK_TERMS) -> Column:
+    """Whether a label of the host, or a part of one between hyphens, is one of the terms."""
     return F.arrays_overlap(F.split(host, r"[.-]"), F.array(*[F.lit(t) for t in terms]))
 
 
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards))
+
+
 def _places(key: Column, level: int, bits: int) -> list[Column]:
     """The bits of a key: double hashing of two 64-bit hashes that differ by level."""
     a, b = F.xxhash64(key, F.lit(2 * level)), F.xxhash64(key, F.lit(2 * level + 1))
     return [F.pmod(a.bitwiseXOR(F.shiftright(b, 7 * k)) if k else a, F.lit(bits)) for k in range(HASHES)]
 
 
-def _level(keys: DataFrame, level: int, bits: int) -> DataFrame:
-    """One row: the filter's words in order."""
-    words = (keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("place"))
-             .groupBy(F.shiftright("place", 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits")))
-    # one entry per word of the filter: at most MAX_LEVEL_BITS / 64
-    return words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("have")).select(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.lit((bits - 1) >> 6).cast("long")),
-                    lambda w: F.coalesce(F.element_at("have", w), F.lit(0).cast("long"))).alias("words"))
-
-
-def _passes(key: Column, level: int, bits: int, words: Column) -> Column:
-    return conjunction([
-        F.getbit(F.element_at(words, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
-        for p in _places(key, level, bits)])
-
-
-def build_cascade(hosts: DataFrame, max_bits: int = MAX_LEVEL_BITS) -> list[tuple[int, DataFrame]] | None:
-    """(bits, one-row filter) per level for ``hosts`` (key, listed); None if a level would be too large."""
-    keys, levels, of_listed = hosts, [], True
+def _level(keys: DataFrame, level: int, bits: int, shards: int) -> DataFrame:
+    """One row per shard: the words of its filter in order."""
+    n_words = bits >> 6
+    at = keys.select(_shard(F.col("key"), shards).alias("shard"), F.explode(F.array(*_places(F.col("key"), level, bits))).alias("place"))
+    held = at.select("shard", F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, int(place & 63))").alias("bits"))
+    zeros = keys.sparkSession.range(shards * n_words).select(
+        F.expr(f"id div {n_words}").alias("shard"), F.expr(f"id % {n_words}").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = held.unionByName(zeros).groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
+    chunks = words.groupBy("shard", F.expr(f"word div {CHUNK_WORDS}").alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("part"))
+    return chunks.groupBy("shard").agg(F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("chunk", F.col("part.bits").alias("bits")))), lambda c: c["bits"])).alias("words"))
+
+
+@dataclass
+class Cascade:
+    """The levels of all shards: bits of a filter, and a table of one filter per shard."""
+
+    shards: int
+    levels: list[tuple[int, DataFrame]] = field(default_factory=list)
+
+    def passes(self, key: Column, level: int) -> Column:
+        """Whether the level's filter of the key's shard lets the key through."""
+        bits, filters = self.levels[level]
+        places = _places(key, level, bits)
+
+        def of(shard: int) -> Column:
+            words = filters.where(F.col("shard") == shard).select("words").scalar()
+            return conjunction([F.getbit(F.element_at(words, (F.shiftright(p, 6) + 1).cast("int")),
+                                         p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in places])
+
+        answer = of(self.shards - 1)
+        for shard in reversed(range(self.shards - 1)):
+            answer = F.when(_shard(key, self.shards) == shard, of(shard)).otherwise(answer)
+        return answer
+
+    def is_listed(self, key: Column) -> Column:
+        """Membership for any key of the universe."""
+        answer = F.lit(len(self.levels) % 2 == 1)
+        for k in reversed(range(len(self.levels))):
+            answer = F.when(~self.passes(key, k), F.lit(k % 2 == 1)).otherwise(answer)
+        return answer
+
+
+def build_cascade(hosts: DataFrame, shard_keys: int = SHARD_KEYS) -> Cascade:
+    """The cascade for ``hosts`` (key, listed): the universe, each key once."""
+    keys, of_listed = hosts, True
+    cascade = Cascade(max(1, -(-hosts.where("listed").count() // shard_keys)))
     while True:
-        n = keys.where(F.col("listed") == of_listed).count()
-        if n == 0:
-            return levels
-        bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
-        if bits > max_bits:
-            return None
-        k = len(levels)
-        words = staged(_level(keys.where(F.col("listed") == of_listed), k, bits), "level")
-        levels.append((bits, words))
+        encoded = keys.where(F.col("listed") == of_listed)
+        largest = encoded.groupBy(_shard(F.col("key"), cascade.shards)).count().agg(F.max("count")).first()[0]
+        if not largest:
+            return cascade
+        k, bits = len(cascade.levels), max(64, -(-largest * BITS_PER_KEY // 64) * 64)
+        cascade.levels.append((bits, staged(_level(encoded, k, bits, cascade.shards), "level")))
         # the next level is about the keys of the other kind that pass this one; the encoded ones stay in play
-        keys = keys.where((F.col("listed") == of_listed) | _passes(F.col("key"), k, bits, words.scalar()))
-        keys = staged(keys, "in_play")
+        keys = staged(keys.where((F.col("listed") == of_listed) | cascade.passes(F.col("key"), k)), "in_play")
         of_listed = not of_listed
 
 
-def is_listed(key: Column, levels: list[tuple[int, DataFrame]]) -> Column:
-    """Membership for any key of the universe."""
-    answer = F.lit(len(levels) % 2 == 1)
-    for k in reversed(range(len(levels))):
-        bits, words = levels[k]
-        answer = F.when(~_passes(key, k, bits, words.scalar()), F.lit(k % 2 == 1)).otherwise(answer)
-    return answer
-
-
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, terms: Sequence[str] = BLOCK_TERMS,
-               max_bits: int = MAX_LEVEL_BITS) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict."""
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, listed: DataFrame | None = None,
+               shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict. ``listed``: a table of hosts (host); by default those that
+    :func:`named_by` names."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = staged(urls.select(F.col("host").alias("key")).distinct()
-                      .withColumn("listed", (F.col("key") != "") & named_by(F.col("key"), terms)), "hosts")
-    levels = build_cascade(universe, max_bits)
-    if levels is None:
-        listed = universe.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("listed"))
-        urls = urls.join(listed, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        urls = urls.withColumn("listed", is_listed(F.col("host"), levels))
+    hosts = staged(urls.select(F.col("host").alias("key")).where("host != ''").distinct(), "hosts")
+    names = hosts.where(named_by(F.col("key"))) if listed is None else listed.select(F.col("host").alias("key")).distinct()
+    universe = staged(hosts.join(names.withColumn("listed", F.lit(True)), "key", "left")
+                      .select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
+    is_listed = (F.col("host") != "") & build_cascade(universe, shard_keys).is_listed(F.col("host"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return urls.select("page_id", "host", "path", rule.alias("rule"),
-                       F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+                       F.coalesce(verdict, F.when(is_listed, "block").otherwise("allow")).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

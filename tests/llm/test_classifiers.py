@@ -122,3 +122,19 @@ def test_copies_do_not_make_insults(spark):
     labels = spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, toxic int")
     lexicon = toxicity.fit(docs, labels).lexicon
     assert "zorgblat" in lexicon and "alpha" not in lexicon and "gamma" not in lexicon
+
+
+def test_only_attacks_make_a_strong_clause():
+    m = toxicity.Matcher({"idiot": 2.0})
+    plain, negated, told = (m.features(t)[-1] for t in ("you are an idiot", "you are not an idiot", "she said you idiot"))
+    assert plain > 0 and negated == 0 and told == 0
+
+
+def test_repeated_labelled_ids_give_one_row_each(spark):
+    from corefkit.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"t{k}") for i in range(40) for k in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, toxic int")
+    rows, _ = labelled_sample(docs, labels, "toxic", {1: 1000, 0: 1000})
+    got = rows.collect()
+    assert len(got) == len({r.doc_id for r in got}) and {r.text for r in got} == {"t0"}

@@ -55,3 +55,20 @@ def test_a_row_repeated_more_often_than_one_array_holds(spark, monkeypatch):
     got = op.exact_groups(many).collect()
     assert len(got) == 12 and sum(r.kept for r in got) == 1 and {r.group_size for r in got} == {12}
     assert op.drop_copies(many).count() == 1
+
+
+def test_names_are_places_in_the_sorted_order(spark, docs):
+    found = [{(r.doc_id, r.text_sha256): (r.level, r.name) for r in op.identities(docs.repartition(n), block_bytes=32).collect()}
+             for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2]
+    rows = spark.range(500).selectExpr("id * 7 % 100 as l", "id % 13 as r").distinct()
+    names = {(r.l, r.r): r.name for r in op._named_pairs(rows).collect()}
+    assert [names[k] for k in sorted(names)] == list(range(len(names)))
+
+
+def test_drop_copies_with_any_column_names(spark):
+    rows = [(1, "a", "p", 1), (2, "A", "q", 2), (2, "a", "r", 3), (3, "b", "s", 4), (3, "b", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, row int")
+    kept = sorted(map(tuple, op.drop_copies(docs).collect()))
+    assert kept == [(2, "A", "q", 2), (3, "b", "s", 4)] or kept == [(2, "a", "r", 3), (3, "b", "s", 4)]
+    assert op.drop_copies(docs).columns == docs.columns

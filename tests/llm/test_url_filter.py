@@ -27,23 +27,44 @@ def make_pages():
     return [(k if k % 50 else None, u) for k, u in enumerate(urls)]
 
 
-@pytest.mark.parametrize("max_bits", [op.MAX_LEVEL_BITS, 64])
-def test_equals_brute_force(spark, max_bits):
+@pytest.mark.parametrize("shard_keys", [op.SHARD_KEYS, 40])
+def test_equals_brute_force(spark, shard_keys):
     pages = make_pages()
     df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, host string, listed string")
-    got = op.judge_urls(df, max_bits=max_bits)
+    got = op.judge_urls(df, shard_keys=shard_keys)
     assert sorted(map(tuple, got.collect()), key=str) == brute(pages)
 
 
-def test_the_cascade_is_exact_with_tiny_filters(spark, monkeypatch):
+@pytest.mark.parametrize("shard_keys", [op.SHARD_KEYS, 200])
+def test_the_cascade_is_exact_with_tiny_filters(spark, monkeypatch, shard_keys):
     monkeypatch.setattr(op, "BITS_PER_KEY", 2)
     keys = spark.range(3000).selectExpr("concat('k', id) as key", "id % 4 = 0 as listed")
-    levels = op.build_cascade(keys)
-    assert len(levels) > 3
-    wrong = keys.where(op.is_listed(keys["key"], levels) != keys["listed"])
+    cascade = op.build_cascade(keys, shard_keys)
+    assert len(cascade.levels) > 3 and cascade.shards == (1 if shard_keys > 3000 else 4)
+    wrong = keys.where(cascade.is_listed(keys["key"]) != keys["listed"])
     assert wrong.count() == 0
 
 
+def test_a_million_listed_keys(spark):
+    import time
+
+    began = time.time()
+    keys = spark.range(2_000_000).selectExpr("concat('host', id, '.org') as key", "id % 2 = 0 as listed")
+    cascade = op.build_cascade(keys, 1 << 18)
+    assert cascade.shards == 4
+    wrong = keys.where(cascade.is_listed(keys["key"]) != keys["listed"])
+    assert wrong.count() == 0
+    assert time.time() - began < 60
+
+
+def test_a_table_of_listed_hosts(spark):
+    pages = make_pages()
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    listed = spark.createDataFrame([("h1.example.org",), ("h2.example.org",), ("h2.example.org",), ("",), ("nowhere.org",)], "host string")
+    got = {(r.page_id, r.host): r.verdict for r in op.judge_urls(df, rules=(), listed=listed).collect()}
+    assert {h for (_, h), v in got.items() if v == "block"} == {"h1.example.org", "h2.example.org"}
+
+
 def test_nothing_listed_and_empty_table(spark):
     none = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert op.judge_urls(none).first().verdict == "allow"
