@@ -183,17 +183,21 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each group one with the smallest doc_id."""
-    marked = docs.withColumn("__fp", fingerprint_column(F.col("text"), options.pop("shingle", SHINGLE)))
-    prints = staged(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp")), "prints")
+    # a text's hash finds the rows that stay again, so that fingerprints are made once
+    key = F.xxhash64("text").alias("key")
+    prints = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key,
+                                fingerprint_column(F.col("text"), options.pop("shingle", SHINGLE)).alias("fp")), "prints")
     groups = group_fingerprints(prints, **options)
-    stay = groups.where("fp = keep_fp").select(F.col("component_id").alias("__id"), F.col("fp").alias("__keep"))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__keep"))
-    rows = marked.join(stay, match, "left_semi")
-    if prints.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
-        return rows.drop("__fp")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return (rows.groupBy(F.col("doc_id").alias("__id"), "__fp").agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
-            .select("__row.*"))
+    stay = groups.where("fp = keep_fp").select(F.col("component_id").alias("low"), F.col("fp").alias("keep"))
+    chosen = (prints.join(stay, F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("fp") == F.col("keep")))
+              .groupBy("low", "fp").agg(F.min("key").alias("one")).select("low", "one"))
+    # the row in one struct, so that its columns may have any name
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key)
+    rows = rows.join(chosen, F.col("row.doc_id").cast("long").eqNullSafe(F.col("low")) & (F.col("key") == F.col("one")), "left_semi")
+    if prints.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        return rows.select("row.*")
+    return (rows.groupBy(F.col("row.doc_id").alias("low"), "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+            .select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,14 @@ def test_no_cross_join(spark, docs):
     df = docs.select("doc_id", op.fingerprint_column(F.col("text")).alias("fp"))
     plan = op.links(df.select("fp").distinct())._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_drop_near_with_any_column_names_and_repeated_ids(spark):
+    rows = [(1, "a b c d", "p", 1), (1, "a b c d", "p", 1), (1, "A b c D", "q", 2), (2, "a b c d", "r", 3), (None, "", "s", 4),
+            (None, None, "t", 5), (7, "x y z", "u", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __fp string, key int")
+    got = op.drop_near(docs)
+    assert got.columns == docs.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert sorted((r[0] is None, r[0]) for r in kept) == [(False, 1), (False, 7), (True, None)]
+    assert set(kept) <= set(rows)
