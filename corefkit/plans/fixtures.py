@@ -15,7 +15,7 @@ from corefkit.functions.parse import tagged_answer
 from corefkit.functions.text import WS, hash_int, let, words
 
 # Fixed values of the fixture definition.
-PAIR_ID_BASE = 1_000_003  # pair_id = document id * base + line number
+PAIR_ID_BASE = 1_000_003  # pair_id = document id * base + line number; unique up to so many lines in a document
 RUN_EPOCH = "2024-01-01 00:00:00"
 
 PAIR_COLUMNS = [

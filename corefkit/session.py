@@ -59,8 +59,27 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return path
 
 
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, whoever reads it, and safe from lost executors."""
+    """Write ``df`` to the shared folder and read it back: computed once, whoever reads it, and safe from lost executors.
+
+    The folder stays until :func:`clear_staged`, since lazy results read it.
+    """
     path = shared_dir(df.sparkSession, "staged", name, unique=True)
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the folders that :func:`staged` wrote for this driver; results not yet written out that read them are lost.
+
+    Returns how many folders there were.
+    """
+    n = len(_STAGED)
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

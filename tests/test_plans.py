@@ -39,3 +39,31 @@ def test_no_query_uses_nested_loop_or_cartesian_joins(spark):
     for name in ("unique_sample", "assign_batches", "multiclass_metrics", "merge_responses", "sample_fraction"):
         plan = _plan(ENTRIES[name].fn(spark, SF_SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_raw_lines_are_not_shuffled(spark):
+    plan = _plan(ENTRIES["read_raw_pairs"].fn(spark, SF_SMALL))
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    assert plan.count("_line") > 0  # the lines are there, in place
+
+
+def test_expensive_columns_are_evaluated_once(spark):
+    from corefkit.operators.prompts import encoder_text
+    from corefkit.plans import fixtures as fx
+
+    plan = _plan(encoder_text(fx.splits(spark, SF_SMALL)).select("pair_id", "text_a"))
+    assert "Generate inline" in plan
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert not any("transform(" in line for line in filters), filters
+
+
+def test_staged_folders_can_be_cleared(spark, monkeypatch):
+    from corefkit import session
+
+    monkeypatch.setattr(session, "_STAGED", [])
+    df = session.staged(spark.range(5), "clear_me")
+    assert df.count() == 5
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert session.clear_staged(spark) == 1 and session.clear_staged(spark) == 0
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
