@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import zlib
@@ -9,6 +10,7 @@ from corefkit.llm import periodic_runs as op
 from tests.llm.conftest import ordered, pairs
 
 
+@functools.cache
 def brute_runs(words):
     """(start, length, period) of all runs, period by period."""
     n, found = len(words), {}
@@ -26,7 +28,7 @@ def brute_runs(words):
 
 
 def row_of(doc_id, words):
-    runs = brute_runs(words)
+    runs = brute_runs(tuple(words))
     best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None, None, None)
     gone = {i for s, n, q in runs for i in range(s + q, s + n)}
     kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
