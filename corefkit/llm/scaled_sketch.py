@@ -13,17 +13,17 @@ are compared on all hashes of both, so that what they share is counted, not
 estimated. Only two longer texts are compared by the retained hashes.
 
 ``fingerprint_edits`` also fingerprints an edited text, whose last quarter is
-replaced by the beginning of the next document. The next id of every id comes
-from a range-partitioned table of ids alone (windows within partitions, one
-boundary row per partition). Documents are then shuffled once by id: there each
-hands the asked prefix and its sketch (to a short document all its hashes instead) to the
-document before it, which meets them in the same exchange. Sketches are made
-behind that exchange, which carries texts alone.
+replaced by the beginning of the next document. Documents are shuffled once, by bucket: a
+stretch of the id axis that holds about ``BUCKET_ROWS`` ids. Within a bucket the next document is the
+next row, so it is not sent anywhere; only the last id of each bucket asks another one, the
+first of a later bucket, which the table of following ids names (made of ids alone, by
+windows within range partitions and one boundary row per partition). Hashes are made behind
+that exchange, which carries texts alone, once for a text and once for its edit.
 
 All columns are DataFrame expressions. Ids ascend with null first; rows that
 share an id have the same next document, and where several rows have the next id
-the smallest prefix (then the smallest hashes handed) of them is used. Null texts count
-as empty. A single document is its own next one.
+the smallest text of them is used. Null texts count as empty. A single document is its own
+next one. An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ SHINGLE = 5
 SCALE = 2
 #: Texts of at most so many distinct shingles keep all hashes.
 WHOLE = 64
+#: Ids of a bucket, if they are spread evenly; a crowded stretch has more, which only makes its tasks longer.
+BUCKET_ROWS = 1 << 10
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -101,7 +103,8 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return rows.select(*ids.columns, after["known"].alias("next_known"), after["id"].alias("next_id"))
 
 
-def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, whole: int = 0) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, whole: int = 0,
+                      bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Texts of at most ``whole`` distinct shingles are fingerprinted and compared on all of them.
@@ -109,37 +112,37 @@ def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCAL
     text = F.coalesce("text", F.lit(""))
     known, id_ = F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")
     few = lambda hashes: F.size(hashes) <= whole
-    # a text without words needs no hashes to be compared
-    ask_all = let(distinct_hashes(text, shingle), lambda h: few(h) & (F.size(h) > 0))
-    ids = docs.select(known, id_, F.char_length(text).alias("chars"), ask_all.alias("few"))
-    ids = ids.groupBy("known", "id").agg(F.floor(F.max("chars") / 4).cast("int").alias("need"), F.max("few").alias("ask_all"))
-    asks = staged(next_ids(ids), "next_ids").select(
-        F.col("next_known").alias("known"), F.col("next_id").alias("id"), F.col("known").alias("for_known"),
-        F.col("id").alias("for_id"), "need", "ask_all")
-    # Both joins take these very columns, so that they share one exchange of the texts.
-    rows = docs.select(known, id_, text.alias("text"))
-    prefix = F.substring("text", F.lit(1), F.col("need"))
-    handed = rows.join(asks, ["known", "id"]).select(
-        F.col("for_known").alias("known"), F.col("for_id").alias("id"),
-        let(distinct_hashes(F.col("text"), shingle), lambda h: F.struct(
-            prefix.alias("prefix"), F.when(F.col("ask_all"), F.sort_array(h)).otherwise(sketch_of(h, scale, whole)).alias("hashes"),
-            few(h).alias("few"))).alias("given"))
-    given = handed.groupBy("known", "id").agg(F.min("given").alias("given"))
-    both = rows.join(given, ["known", "id"])
+    nexts = staged(next_ids(docs.select(known, id_).distinct()), "next_ids")
+    n, low, high = nexts.where("known").agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
+    width = max(1, (high - low) // max(1, n // bucket_rows)) if n else 1
+    bucket = F.when(F.col("known"), F.expr(f"id div {width}L"))  # ids ascend with it; null ids have one of their own
+    # the one exchange of the texts
+    rows = docs.select(known, id_, text.alias("text")).withColumn("bucket", bucket).repartition("bucket")
+    own = Window.partitionBy("bucket")
+    placed = rows.withColumn("place", F.dense_rank().over(own.orderBy("known", "id")))
+    placed = placed.withColumn("last", F.max("place").over(own))
+    hashed = placed.withColumn("hashes", distinct_hashes(F.col("text"), shingle))
+    document = F.struct("text", "hashes")
+    inside = hashed.withColumn("given", F.min(document).over(own.orderBy("place").rangeBetween(1, 1))).where("place < last")
+    # the last ids of the buckets meet the first ones
+    first = (hashed.where("place = 1").groupBy(F.col("known").alias("next_known"), F.col("id").alias("next_id"))
+             .agg(F.min(document).alias("given")))
+    across = (hashed.where("place = last").join(nexts, ["known", "id"]).join(first, ["next_known", "next_id"]))
+    columns = ["known", "id", "text", "hashes", "given"]
+    both = inside.select(columns).unionByName(across.select(columns))
     chars = F.char_length("text")
     change = F.floor(chars / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - change),
-                      F.substring(F.col("given.prefix"), F.lit(1), change))
-    made = both.select("known", "id", chars.cast("long").alias("n_chars"), "given", edited.alias("edited"),
-                       distinct_hashes(F.col("text"), shingle).alias("hashes"))
+                      F.substring(F.col("given.text"), F.lit(1), change))
+    made = both.select("known", "id", chars.cast("long").alias("n_chars"), "hashes", F.col("given.hashes").alias("next_hashes"),
+                       edited.alias("edited"))
     made = made.withColumn("edited_hashes", distinct_hashes(F.col("edited"), shingle))
     made = made.withColumn("own", sketch_of(F.col("hashes"), scale, whole)).withColumn(
         "changed", sketch_of(F.col("edited_hashes"), scale, whole))
     near_edited = F.when(few(F.col("hashes")) | few(F.col("edited_hashes")), containment(
         F.col("hashes"), F.col("edited_hashes"))).otherwise(containment(F.col("own"), F.col("changed")))
-    # all hashes are there if either text is short; else all (for another row of the id) or the sketch
-    near_next = F.when(few(F.col("hashes")) | F.col("given.few"), containment(F.col("hashes"), F.col("given.hashes"))).otherwise(
-        containment(F.col("own"), thin(F.col("given.hashes"), scale)))
+    near_next = F.when(few(F.col("hashes")) | few(F.col("next_hashes")), containment(
+        F.col("hashes"), F.col("next_hashes"))).otherwise(containment(F.col("own"), thin(F.col("next_hashes"), scale)))
     return made.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_chars",
                        F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"),
                        as_text(F.col("changed")).alias("edited_fingerprint"),

@@ -51,12 +51,25 @@ def brute(rows, scale=8):
     return ordered(out)
 
 
-@pytest.mark.parametrize("scale", [1, 8])
-def test_equals_brute_force(docs, rows, scale):
-    got = op.fingerprint_edits(docs, scale=scale)
+@pytest.mark.parametrize("scale, bucket_rows", [(1, 1024), (8, 1024), (8, 3), (8, 1)])
+def test_equals_brute_force(docs, rows, scale, bucket_rows):
+    got = op.fingerprint_edits(docs, scale=scale, bucket_rows=bucket_rows)
     assert ordered(got.collect()) == brute(rows, scale)
 
 
+def test_scattered_ids(spark):
+    ids = [-(2**63), -7, -1, 0, 3, 4, 10**12, 10**12 + 1, 2**63 - 1, None]
+    rows = [(i, " ".join(f"w{k}x{j}" for j in range(30 + k))) for k, i in enumerate(ids)]
+    got = op.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), bucket_rows=2)
+    assert ordered(got.collect()) == brute(rows, 2)
+
+
+def test_texts_are_shuffled_once(spark):
+    plan = op.query(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    exchanges = {line for line in plan.splitlines() if "Exchange hashpartitioning(bucket" in line and "REPARTITION" in line}
+    assert exchanges
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(f"a{k}" for k in range(300)), " ".join(f"b{k}" for k in range(40))
     df = spark.createDataFrame([(a, b)], "a string, b string")
