@@ -72,13 +72,16 @@ def mark_span(sentence, start, end, on_bad_span: str = "null") -> Column:
     return let(bound, lambda b: mark_words(b["w"], b["s"], b["e"], on_bad_span))
 
 
-def with_triggers(df, on_bad_span: str = "null"):
-    """Add ``e1_trigger``, ``e2_trigger`` and ``length`` to a pair table."""
-    return df.withColumns({
-        "e1_trigger": extract_span("sentence1", "e1_trigger_start", "e1_trigger_end"),
-        "e2_trigger": extract_span("sentence2", "e2_trigger_start", "e2_trigger_end"),
-        "length": pair_length("sentence1", "sentence2"),
-    })
+def with_triggers(df):
+    """Add ``e1_trigger``, ``e2_trigger`` and ``length`` to a pair table; each sentence is split into words once."""
+    sides = {"w1": words("sentence1"), "w2": words("sentence2")}
+    offsets = {f"{k}{i}": F.col(f"e{i}_trigger_{name}") for i in (1, 2) for k, name in (("s", "start"), ("e", "end"))}
+    bound = F.struct(*[c.alias(k) for k, c in (sides | offsets).items()])
+    row = let(bound, lambda b: F.struct(
+        _extract_words(b["w1"], b["s1"], b["e1"]).alias("e1_trigger"), _extract_words(b["w2"], b["s2"], b["e2"]).alias("e2_trigger"),
+        (F.size(b["w1"]) + F.size(b["w2"])).alias("length")))
+    others = [c for c in df.columns if c not in ("e1_trigger", "e2_trigger", "length")]
+    return df.select(*others, F.inline(F.array(row)))
 
 
 def with_marked(df, on_bad_span: str = "null"):
