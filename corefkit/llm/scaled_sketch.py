@@ -8,9 +8,10 @@ containment. A text with words but no hash below the fraction keeps its smallest
 hash, so that only texts without words have an empty sketch.
 
 A fraction says little about a text of few shingles. A text of at most ``whole``
-distinct ones therefore keeps them all, and two texts of which one is so short
-are compared on all hashes of both, so that what they share is counted, not
-estimated. Only two longer texts are compared by the retained hashes.
+distinct ones therefore keeps them all. ``likeness`` needs two sketches and nothing
+else: a sketch with hashes above the fraction holds all of its text's, so two such
+sketches are compared on everything and what they share is counted, not estimated.
+Any other two are compared on what both retain, the hashes below the fraction.
 
 ``fingerprint_edits`` also fingerprints an edited text, whose last quarter is
 replaced by the beginning of the next document. Documents are shuffled once, by bucket: a
@@ -55,10 +56,14 @@ def distinct_hashes(text: Column, shingle: int = SHINGLE) -> Column:
     return F.array_distinct(shingle_hashes(text, shingle))
 
 
+def _limit(scale: int) -> int:
+    """The largest hash that lies in the retained fraction."""
+    return -(1 << 63) + (1 << 64) // scale - 1
+
+
 def thin(hashes: Column, scale: int = SCALE) -> Column:
     """Those of some distinct hashes that a sketch retains; if none, the smallest."""
-    limit = -(1 << 63) + (1 << 64) // scale - 1
-    return let(F.filter(hashes, lambda x: x <= F.lit(limit)), lambda kept: F.when(F.size(kept) > 0, kept).when(
+    return let(F.filter(hashes, lambda x: x <= F.lit(_limit(scale))), lambda kept: F.when(F.size(kept) > 0, kept).when(
         F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes))
 
 
@@ -79,6 +84,16 @@ def containment(a: Column, b: Column) -> Column:
         (F.size(a) == F.size(b)).cast("double"))
 
 
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """``containment`` from two sketches alone: on all hashes if both hold all, else on those below the fraction."""
+    limit = F.lit(_limit(scale))
+    complete = (F.array_max(a) > limit) & (F.array_max(b) > limit)
+    none = (F.size(a) == 0) | (F.size(b) == 0)
+    below = lambda hashes: F.filter(hashes, lambda x: x <= limit)
+    return F.when(none | complete, containment(a, b)).otherwise(
+        let(below(a), lambda x: let(below(b), lambda y: containment(x, y))))
+
+
 def merge(sketches: Column, scale: int = SCALE) -> Column:
     """The sketch of several texts together, from an array of their sketches (of whole ones, what the scale retains)."""
     return F.sort_array(let(F.array_distinct(F.flatten(sketches)), lambda all_: thin(all_, scale)))
@@ -107,11 +122,11 @@ def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCAL
                       bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Texts of at most ``whole`` distinct shingles are fingerprinted and compared on all of them.
+    Texts of at most ``whole`` distinct shingles keep all their hashes. ``near_edited`` and ``near_next`` are the
+    ``likeness`` of the fingerprints of the text and of the edited text, or of the next document.
     """
     text = F.coalesce("text", F.lit(""))
     known, id_ = F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")
-    few = lambda hashes: F.size(hashes) <= whole
     nexts = staged(next_ids(docs.select(known, id_).distinct()), "next_ids")
     n, low, high = nexts.where("known").agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
     width = max(1, (high - low) // max(1, n // bucket_rows)) if n else 1
@@ -121,32 +136,27 @@ def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCAL
     own = Window.partitionBy("bucket")
     placed = rows.withColumn("place", F.dense_rank().over(own.orderBy("known", "id")))
     placed = placed.withColumn("last", F.max("place").over(own))
-    hashed = placed.withColumn("hashes", distinct_hashes(F.col("text"), shingle))
-    document = F.struct("text", "hashes")
-    inside = hashed.withColumn("given", F.min(document).over(own.orderBy("place").rangeBetween(1, 1))).where("place < last")
+    sketched = placed.withColumn("own", sketch(F.col("text"), shingle, scale, whole))
+    document = F.struct("text", "own")
+    inside = sketched.withColumn("given", F.min(document).over(own.orderBy("place").rangeBetween(1, 1))).where("place < last")
     # the last ids of the buckets meet the first ones
-    first = (hashed.where("place = 1").groupBy(F.col("known").alias("next_known"), F.col("id").alias("next_id"))
+    first = (sketched.where("place = 1").groupBy(F.col("known").alias("next_known"), F.col("id").alias("next_id"))
              .agg(F.min(document).alias("given")))
-    across = (hashed.where("place = last").join(nexts, ["known", "id"]).join(first, ["next_known", "next_id"]))
-    columns = ["known", "id", "text", "hashes", "given"]
+    across = (sketched.where("place = last").join(nexts, ["known", "id"]).join(first, ["next_known", "next_id"]))
+    columns = ["known", "id", "text", "own", "given"]
     both = inside.select(columns).unionByName(across.select(columns))
     chars = F.char_length("text")
     change = F.floor(chars / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - change),
                       F.substring(F.col("given.text"), F.lit(1), change))
-    made = both.select("known", "id", chars.cast("long").alias("n_chars"), "hashes", F.col("given.hashes").alias("next_hashes"),
+    made = both.select("known", "id", chars.cast("long").alias("n_chars"), "own", F.col("given.own").alias("following"),
                        edited.alias("edited"))
-    made = made.withColumn("edited_hashes", distinct_hashes(F.col("edited"), shingle))
-    made = made.withColumn("own", sketch_of(F.col("hashes"), scale, whole)).withColumn(
-        "changed", sketch_of(F.col("edited_hashes"), scale, whole))
-    near_edited = F.when(few(F.col("hashes")) | few(F.col("edited_hashes")), containment(
-        F.col("hashes"), F.col("edited_hashes"))).otherwise(containment(F.col("own"), F.col("changed")))
-    near_next = F.when(few(F.col("hashes")) | few(F.col("next_hashes")), containment(
-        F.col("hashes"), F.col("next_hashes"))).otherwise(containment(F.col("own"), thin(F.col("next_hashes"), scale)))
+    made = made.withColumn("changed", sketch(F.col("edited"), shingle, scale, whole))
     return made.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_chars",
                        F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"),
                        as_text(F.col("changed")).alias("edited_fingerprint"),
-                       near_edited.alias("near_edited"), near_next.alias("near_next"))
+                       likeness(F.col("own"), F.col("changed"), scale).alias("near_edited"),
+                       likeness(F.col("own"), F.col("following"), scale).alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

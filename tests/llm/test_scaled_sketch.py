@@ -109,18 +109,37 @@ def test_short_parts_of_long_texts(spark):
         assert got[len(texts) - k - 1].near_next == 1.0  # the part is next
 
 
-def test_query_counts_what_short_texts_share(spark):
-    """Exact values wherever one of two texts is short, close ones between long texts."""
+def parsed(text):
+    """The hashes of a printed fingerprint."""
+    return {signed(int(text[k:k + 16], 16)) for k in range(0, len(text), 16)}
+
+
+def from_prints(a, b, scale=op.SCALE):
+    """Likeness of two printed fingerprints, from them alone."""
+    a, b = parsed(a), parsed(b)
+    limit = -(1 << 63) + (1 << 64) // scale
+    if a and b and not (max(a) >= limit and max(b) >= limit):
+        a, b = ({h for h in x if h < limit} for x in (a, b))
+    least = min(len(a), len(b))
+    return len(a & b) / least if least else float(len(a) == len(b))
+
+
+def test_likeness_follows_from_the_printed_fingerprints(spark):
+    """Of every row; and it is exact between two short texts, close to exact otherwise."""
     path = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = {r.doc_id: r for r in op.query(spark, path).collect()}
     short = 0
     for k, r in enumerate(rows):
-        text, after = r.text or "", rows[(k + 1) % len(rows)].text or ""
+        after = rows[(k + 1) % len(rows)]
+        text, row = r.text or "", got[r.doc_id]
         q = len(text) // 4
-        edited = text[:len(text) - q] + after[:q]
-        for near, other in ((got[r.doc_id].near_edited, edited), (got[r.doc_id].near_next, after)):
-            if min(len(brute_sketch(t, 5, 1)) for t in (text, other)) <= op.WHOLE:
+        edited = text[:len(text) - q] + (after.text or "")[:q]
+        assert row.near_edited == from_prints(row.fingerprint, row.edited_fingerprint)
+        assert row.near_next == from_prints(row.fingerprint, got[after.doc_id].fingerprint)
+        for near, other in ((row.near_edited, edited), (row.near_next, after.text or "")):
+            if max(len(brute_sketch(t, 5, 1)) for t in (text, other)) <= op.WHOLE and all(
+                    max(brute_sketch(t, 5, 1), default=0) >= 0 for t in (text, other)):
                 short += 1
                 assert near == exact(text, other)
             else:
@@ -128,6 +147,16 @@ def test_query_counts_what_short_texts_share(spark):
     assert short > 0
 
 
+def test_likeness_of_whole_thin_and_empty_sketches(spark):
+    df = spark.createDataFrame([([-9, -5, 3, 7], [-9, -5, -4], [1, 2], [])],
+                               "whole array<long>, part array<long>, upper array<long>, empty array<long>")
+    near = lambda a, b: df.select(op.likeness(F.col(a), F.col(b))).first()[0]
+    assert near("whole", "whole") == near("upper", "upper") == near("empty", "empty") == 1.0
+    assert near("whole", "part") == near("part", "whole") == 1.0  # of -9, -5 and -9, -5, -4
+    assert near("upper", "part") == near("upper", "whole") == 0.0
+    assert near("empty", "upper") == near("part", "empty") == 0.0
+
+
 def test_single_document_and_empty_table(spark, no_docs):
     one = spark.createDataFrame([(5, "a b c d e f g h")], "doc_id long, text string")
     assert op.fingerprint_edits(one).first().near_next == 1.0
