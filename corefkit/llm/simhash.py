@@ -9,17 +9,19 @@ Candidates come from a table of Hamming distances to reference fingerprints
 
 * *Block pivots*: zero and the 32 masks of two neighbouring bits. The distance to
   a mask against the distance to zero gives the bits set under the mask, so these
-  pivots place a fingerprint in 32 small coordinates. Two differing bits touch at
-  most two of the four quarters of the coordinates, so linked fingerprints agree
-  in at least one of the six pairs of quarters. Equal pairs are the join keys: no
-  link is lost.
+  pivots place a fingerprint in 32 small coordinates, dealt to a number of parts. Two
+  differing bits touch at most two parts, so linked fingerprints agree in all parts
+  but some two: no link is lost when the coordinates of every choice of all parts but two
+  are a join key. More parts make keys longer and more: four parts give 6 keys of 16
+  coordinates, eleven give 55 keys of 26. ``parts_for`` takes the least number that
+  leaves few unlike fingerprints to a key, so the pivots decide at any size.
 * *Far pivots*: eight seeded random fingerprints. By the triangle inequality the
   distances of linked fingerprints to any pivot differ by at most ``MAX_BITS``, so
   pairs whose largest coordinate difference is more are discarded.
 * Survivors are verified by their exact Hamming distance.
 
-A key with more than ``MAX_BUCKET`` fingerprints is not compared in pairs. Its
-fingerprints are sent to all 65 values within one bit of them: two fingerprints
+A key with more than ``MAX_BUCKET`` fingerprints, as a crowd of like ones has, is not
+compared in pairs. Its fingerprints are sent to all 65 values within one bit of them: two fingerprints
 are within two bits exactly when they share such a value, which at most 65
 fingerprints can. Each value links its fingerprints to the smallest, so a dense
 group costs 65 rows per fingerprint and never a pair of all with all.
@@ -46,6 +48,10 @@ from corefkit.llm.common import conjunction, documents, staged
 SHINGLE, SEED = 3, 42
 MAX_BITS = 2
 MAX_BUCKET = 64
+#: Unlike fingerprints that may share a key on average; crowds come on top.
+KEY_ROWS = 4
+#: Each makes keys of two coordinates more than the one before, 16 to 26; the last is good for 4 * 10**11 fingerprints.
+PARTS = (4, 5, 6, 7, 8, 11)
 #: Shingles hashed at once, so that memory is bounded for any length of text.
 CHUNK = 100_000
 
@@ -90,28 +96,53 @@ def _distance(a: Column, b: Column | int) -> Column:
     return F.bit_count(a.bitwiseXOR(F.lit(_signed(b)) if isinstance(b, int) else b))
 
 
+def dealt(parts: int) -> list[int]:
+    """The part of each block coordinate: neighbours together, sizes as even as they can be."""
+    return [k * parts // len(BLOCKS) for k in range(len(BLOCKS))]
+
+
+def key_masks(parts: int) -> list[int]:
+    """For each choice of two parts to leave out, the bits of the packed coordinates (two a coordinate) that stay."""
+    part = dealt(parts)
+    return [sum(3 << 2 * k for k in range(len(BLOCKS)) if part[k] not in out) for out in itertools.combinations(range(parts), 2)]
+
+
+def parts_for(n: int) -> int:
+    """The least number of parts whose keys hold ``KEY_ROWS`` of ``n`` unlike fingerprints on average at most.
+
+    Beyond that it is the largest of ``PARTS``, and keys hold more.
+    A coordinate takes its three values with chances 1/4, 1/2, 1/4, so unlike ones agree in it 3 times in 8.
+    """
+    for parts in PARTS:
+        least = min(mask.bit_count() // 2 for mask in key_masks(parts))
+        if n * 0.375 ** least <= KEY_ROWS:
+            return parts
+    return PARTS[-1]
+
+
 def pivot_table(nodes: DataFrame) -> DataFrame:
-    """fp -> its distances to the far pivots, and the four quarters of its block coordinates."""
+    """fp -> its distances to the far pivots, and its block coordinates, packed."""
     fp = F.col("fp")
     zero = _distance(fp, 0)
-    coordinates = [((zero - _distance(fp, mask) + 2) / 2).cast("long") for mask in BLOCKS]
-    quarters = []
-    for q in range(4):
-        packed = F.lit(0).cast("long")
-        for k, c in enumerate(coordinates[8 * q:8 * q + 8]):
-            packed = packed.bitwiseOR(F.shiftleft(c, 2 * k))
-        quarters.append(packed.alias(f"q{q}"))
-    return nodes.select("fp", *[_distance(fp, p).cast("byte").alias(f"p{k}") for k, p in enumerate(FAR_PIVOTS)], *quarters)
-
-
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Distinct links (u, v), u < v, whose closure is that of all pairs within ``max_bits`` (at most 2)."""
+    packed = F.lit(0).cast("long")
+    for k, mask in enumerate(BLOCKS):
+        packed = packed.bitwiseOR(F.shiftleft(((zero - _distance(fp, mask) + 2) / 2).cast("long"), 2 * k))
+    return nodes.select("fp", *[_distance(fp, p).cast("byte").alias(f"p{k}") for k, p in enumerate(FAR_PIVOTS)],
+                        packed.alias("blocks"))
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET, parts: int | None = None) -> DataFrame:
+    """Distinct links (u, v), u < v, whose closure is that of all pairs within ``max_bits`` (at most 2).
+
+    ``parts``: into how many the coordinates are dealt; by the number of fingerprints if not given.
+    """
     if not 0 <= max_bits <= 2:
         raise ValueError("the block pivots and the one-bit neighbours are complete up to two bits")
     far = [f"p{k}" for k in range(len(FAR_PIVOTS))]
-    keys = [F.struct(F.lit(k).alias("pair"), F.shiftleft(F.col(f"q{a}"), 16).bitwiseOR(F.col(f"q{b}")).alias("at"))
-            for k, (a, b) in enumerate(itertools.combinations(range(4), 2))]
-    keyed = staged(pivot_table(nodes), "pivots").select("fp", *far, F.explode(F.array(*keys)).alias("key")).select(
+    table = staged(pivot_table(nodes), "pivots")
+    keys = [F.struct(F.lit(k).alias("pair"), F.col("blocks").bitwiseAND(F.lit(_signed(mask))).alias("at"))
+            for k, mask in enumerate(key_masks(parts or parts_for(table.count())))]
+    keyed = table.select("fp", *far, F.explode(F.array(*keys)).alias("key")).select(
         "fp", *far, "key.pair", "key.at")
     sizes = staged(keyed.groupBy("pair", "at").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket_sizes")
 
@@ -158,13 +189,14 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def group_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def group_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET,
+                       parts: int | None = None) -> DataFrame:
     """(fp, component_id, keep_fp) per distinct fingerprint of ``prints`` (doc_id, fp).
 
     component_id is the smallest doc_id that fp reaches, keep_fp the smallest fingerprint among its rows.
     """
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = components(links(nodes, max_bits, max_bucket))
+    roots = components(links(nodes, max_bits, max_bucket, parts))
     rooted = staged(nodes.join(roots, nodes.fp == roots.node, "left")
                     .select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
     first = F.struct(F.col("low").isNull().alias("none"), "low", "fp")  # null ids come last

@@ -67,6 +67,36 @@ def test_every_link_counts_at_any_bucket_size(spark, max_bucket, bits):
     assert got == brute_groups(prints, bits)
 
 
+@pytest.mark.parametrize("parts,max_bucket", [(5, 64), (7, 3), (11, 64)])
+def test_every_link_counts_at_any_number_of_parts(spark, parts, max_bucket):
+    prints = fake_prints(parts)
+    df = spark.createDataFrame([(i, op._signed(x)) for i, x in prints], "doc_id long, fp long")
+    got = {r.fp & (1 << 64) - 1: r.component_id for r in op.group_fingerprints(df, 2, max_bucket, parts).collect()}
+    assert got == brute_groups(prints, 2)
+
+
+def test_two_bits_always_leave_a_key_alone():
+    """Whatever two blocks the differing bits lie in, some key has neither; keys lengthen with the input."""
+    for parts in op.PARTS:
+        masks = op.key_masks(parts)
+        assert sorted(set(op.dealt(parts))) == list(range(parts))
+        assert all(any(not mask >> 2 * a & 3 and not mask >> 2 * b & 3 for mask in masks)
+                   for a in range(32) for b in range(32))
+    chosen = [op.parts_for(10**k) for k in range(0, 12)]
+    assert chosen == sorted(chosen) and chosen[0] == 4 and chosen[-1] in op.PARTS
+    for k, parts in enumerate(chosen):
+        sharers = 10**k * 0.375 ** min(m.bit_count() // 2 for m in op.key_masks(parts))
+        assert sharers <= op.KEY_ROWS
+
+
+def test_pivots_decide_without_crowds(spark):
+    """No key of unlike fingerprints is dense at the number of parts that is chosen."""
+    rng = random.Random(3)
+    table = op.pivot_table(spark.createDataFrame([(op._signed(rng.getrandbits(64)),) for _ in range(20000)], "fp long"))
+    for mask in op.key_masks(op.parts_for(20000)):
+        assert table.groupBy(F.col("blocks").bitwiseAND(F.lit(op._signed(mask)))).count().agg(F.max("count")).first()[0] <= 64
+
+
 def test_chunks_do_not_change_a_print(monkeypatch):
     text = " ".join(f"w{k % 91}" for k in range(1000)).encode()
     whole = op.fingerprint(text)
