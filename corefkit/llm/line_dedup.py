@@ -16,10 +16,11 @@ inserted restores every earlier answer. A full filter is rebuilt at twice the
 size from the counts. The largest id of a key is looked up again only for keys
 that lost a document.
 
-``dedup`` probes the filters where the lines are. Only lines that pass go to the
-exact counts, which decide; false positives of a filter cost a lookup, never a
-line. Filters are broadcast if they are ``MAX_FILTER_BYTES`` together at most,
-otherwise every long enough line goes to the counts, with the same result.
+``dedup`` probes the filters, and only what passes goes to the exact counts, which
+decide; false positives of a filter cost a lookup, never a line. Filters of
+``MAX_FILTER_BYTES`` together at most are broadcast and probed where the lines are.
+Larger ones stay where they are: the distinct keys of the lines go to the filter of
+their shard, in parts of about ``PROBE_KEYS`` keys, so a task holds one filter and one part.
 
 Counting is a partial aggregation, so a line that a third of all documents hold
 is one row per task. Null and empty texts are one empty line. A key counts once
@@ -45,6 +46,8 @@ MIN_DOCS, MIN_CHARS = 3, 20
 #: Listed keys per shard that a new index is laid out for.
 SHARD_KEYS = 1 << 14
 MAX_FILTER_BYTES = 64 << 20
+#: Distinct keys that one task probes against the filter of a shard.
+PROBE_KEYS = 1 << 20
 SLOTS, LOAD, KICKS = 4, 0.84, 500
 KEY = ["k1", "k2"]
 
@@ -234,37 +237,56 @@ class LineIndex:
             filters = staged(filters.where(F.col("data").isNotNull()).unionByName(again), "filters")
         return LineIndex(references, counts, filters, self.shards, self.min_docs, self.min_chars)
 
-    def probe(self, keyed: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    def probe(self, keyed: DataFrame, max_bytes: int = MAX_FILTER_BYTES, probe_keys: int = PROBE_KEYS) -> DataFrame:
         """(doc_id, row, pos, k1, k2) of the lines that may be listed."""
         size = self.filters.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+        return self._probe_here(keyed) if size <= max_bytes else self._probe_shards(keyed, probe_keys)
+
+    def _probe_here(self, keyed: DataFrame) -> DataFrame:
+        """With all filters, where the lines are."""
         lines = keyed.select("doc_id", "row", F.col("keys.k1").alias("a"), F.col("keys.k2").alias("b"), "keys")
-        if size <= max_bytes:
-            tables = {r["shard"]: bytes(r["data"]) for r in self.filters.collect()}  # max_bytes at most
-            shared = keyed.sparkSession.sparkContext.broadcast((self.shards, tables))
-
-            @F.pandas_udf("array<boolean>")
-            def passes(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-                filters = Filters(*shared.value)
-                for a, b in parts:
-                    sizes = a.map(len).to_numpy()
-                    if not sizes.sum():
-                        yield pd.Series([[]] * len(a))
-                        continue
-                    found = filters.probe(np.concatenate(a.to_list()).astype(np.int64),
-                                          np.concatenate(b.to_list()).astype(np.int64))
-                    yield pd.Series(np.split(found, np.cumsum(sizes)[:-1]))
-
-            maybe = lines.select("doc_id", "row", F.explode(F.arrays_zip("keys", passes("a", "b").alias("maybe"))).alias("z"))
-            maybe = maybe.where("z.maybe").select("doc_id", "row", "z.keys.*")
-        else:
-            maybe = lines.select("doc_id", "row", F.inline("keys"))
-        return maybe
-
-    def dedup(self, docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES, keyed: DataFrame | None = None) -> DataFrame:
+        tables = {r["shard"]: bytes(r["data"]) for r in self.filters.collect()}  # max_bytes at most
+        shared = keyed.sparkSession.sparkContext.broadcast((self.shards, tables))
+
+        @F.pandas_udf("array<boolean>")
+        def passes(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            filters = Filters(*shared.value)
+            for a, b in parts:
+                sizes = a.map(len).to_numpy()
+                if not sizes.sum():
+                    yield pd.Series([[]] * len(a))
+                    continue
+                found = filters.probe(np.concatenate(a.to_list()).astype(np.int64),
+                                      np.concatenate(b.to_list()).astype(np.int64))
+                yield pd.Series(np.split(found, np.cumsum(sizes)[:-1]))
+
+        maybe = lines.select("doc_id", "row", F.explode(F.arrays_zip("keys", passes("a", "b").alias("maybe"))).alias("z"))
+        return maybe.where("z.maybe").select("doc_id", "row", "z.keys.*")
+
+    def _probe_shards(self, keyed: DataFrame, probe_keys: int) -> DataFrame:
+        """With the filter of each key's shard: distinct keys go there, the lines meet those that pass."""
+        keys = staged(keyed.select(F.inline("keys")).select(*KEY).distinct(), "probe_keys")
+        parts = max(1, -(-keys.count() // (self.shards * probe_keys)))
+        keys = keys.select(F.pmod("k1", F.lit(self.shards)).alias("shard"), F.pmod("k2", F.lit(parts)).alias("part"), *KEY)
+        filters = self.filters.select("shard", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"), "data")
+
+        def passing(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(held):  # a shard without a listed key has no filter
+                return pd.DataFrame({"k1": pd.Series(dtype="int64"), "k2": pd.Series(dtype="int64")})
+            found = Filters(1, {0: bytes(held.data.iloc[0])}).probe(asked.k1.to_numpy(), asked.k2.to_numpy())
+            return asked.loc[found, KEY]
+
+        both = ["shard", "part"]
+        maybe = keys.groupBy(*both).cogroup(filters.groupBy(*both)).applyInPandas(passing, "k1 long, k2 long")
+        return keyed.select("doc_id", "row", F.inline("keys")).join(staged(maybe, "passing"), KEY, "left_semi").select(
+            "doc_id", "row", "pos", *KEY)
+
+    def dedup(self, docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES, keyed: DataFrame | None = None,
+              probe_keys: int = PROBE_KEYS) -> DataFrame:
         """One row per document: doc_id, n_lines, n_dropped, kept_text. Of a listed key only the largest id keeps lines."""
         keyed = _keyed(docs, self.min_chars) if keyed is None else keyed
         listed = self.counts.where(F.col("refs") >= self.min_docs).select(*KEY, "last")
-        drops = (self.probe(keyed, max_bytes).join(listed, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+        drops = (self.probe(keyed, max_bytes, probe_keys).join(listed, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last")))
                  .groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
                  .agg(F.collect_set("pos").alias("drops")))  # at most the lines of one document
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),

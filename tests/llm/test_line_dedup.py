@@ -34,12 +34,20 @@ def test_equals_brute_force(docs, rows):
     assert ordered(op.dedup_lines(docs).collect()) == brute(rows)
 
 
-def test_the_way_without_broadcast_is_the_same(spark):
+def test_filters_are_probed_by_shard_as_in_place(spark):
     rows = many_lines(80)
     docs = spark.createDataFrame(rows, SCHEMA)
-    index = op.LineIndex.build(docs)
+    index = op.LineIndex.build(docs, shard_keys=16)
+    assert index.shards > 1
     want = brute(rows)
-    assert ordered(index.dedup(docs).collect()) == want == ordered(index.dedup(docs, max_bytes=0).collect())
+    assert ordered(index.dedup(docs).collect()) == want
+    for probe_keys in (op.PROBE_KEYS, 3):
+        assert ordered(index.dedup(docs, max_bytes=0, probe_keys=probe_keys).collect()) == want
+    # lines that no listed key covers are held back by the filters, not by the counts
+    others = [(k, "\n".join(f"unlisted line {k} {j} of this document" for j in range(200)), None) for k in range(20)]
+    keyed = op._keyed(spark.createDataFrame([r[:2] for r in others], "doc_id long, text string"), op.MIN_CHARS)
+    here, shards = (ordered(index.probe(keyed, max_bytes=m, probe_keys=50).collect()) for m in (op.MAX_FILTER_BYTES, 0))
+    assert here == shards and len(here) < 40  # of 4,000 lines
 
 
 def test_deleting_what_was_inserted_restores_the_index(spark):
