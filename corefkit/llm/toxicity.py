@@ -240,18 +240,33 @@ def _feature_batches(lexicon: dict[str, float]):
     return run
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.1, rounds: int = 40) -> np.ndarray:
-    """Weighted logistic regression by Newton's method; the bias comes last and is not penalised."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.1, rounds: int = 200) -> np.ndarray:
+    """Weighted logistic regression by Newton's method; the bias comes last and is not penalised.
+
+    A full step can overshoot where nearly all rows are told apart, and then bounces for good; each step is
+    therefore halved until the penalised loss falls, so the loss never rises and its minimum is reached.
+    """
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, l2), 1e-6]
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + penalty @ (w * w) / 2)
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         g = x.T @ (weight * (p - y)) + penalty * w
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
         move = np.linalg.solve(h, g)
-        w -= np.clip(move, -2, 2)
-        if np.abs(move).max() < 1e-6:
+        fall, share = float(g @ move), 1.0
+        if fall < 1e-9 * (1 + now):
+            break
+        while (then := loss(w - share * move)) > now - 1e-4 * share * fall and share > 1e-9:
+            share /= 2
+        if then >= now:
             break
+        w, now = w - share * move, then
     return w
 
 

@@ -138,3 +138,16 @@ def test_repeated_labelled_ids_give_one_row_each(spark):
     rows, _ = labelled_sample(docs, labels, "toxic", {1: 1000, 0: 1000})
     got = rows.collect()
     assert len(got) == len({r.doc_id for r in got}) and {r.text for r in got} == {"t0"}
+
+
+def test_the_fit_reaches_its_minimum_where_full_steps_bounce():
+    g, n = np.random.default_rng(5), 300
+    y = (np.arange(n) % 3 == 0).astype(float)
+    hits = np.where(y > 0, g.integers(1, 40, n), g.random(n) < 0.03)
+    all_hits, most = np.log1p(8.0 * hits), np.log1p(8.0 * np.minimum(hits, g.integers(1, 4, n)))
+    x, weight = np.column_stack([all_hits, np.where(g.random(n) < 0.5, all_hits, 0), most]), np.where(y > 0, 2.8, 12.3)
+    w = toxicity.fit_logistic(x, y, weight)
+    z = x @ w[:-1] + w[-1]
+    gradient = x.T @ (weight * (1 / (1 + np.exp(-z)) - y)) + 0.1 * w[:-1]
+    assert np.abs(gradient).max() < 0.01
+    assert ((z > 0) == (y > 0)).mean() > 0.95
