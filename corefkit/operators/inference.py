@@ -30,7 +30,7 @@ from corefkit.operators.prompts import api_prompts
 from corefkit.operators.sampling import row_range
 from corefkit.operators.workers import once_per_worker
 from corefkit.session import shared_dir, staged
-from corefkit.sources.response_store import append_chunk, read_log, read_state
+from corefkit.sources.response_store import append_chunks, read_log, read_state
 
 
 def _chunks(pdf: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
@@ -127,7 +127,8 @@ def ask_pending(pairs: DataFrame, client_factory: Callable[[], object], store: s
     are written once, partitioned by wave (about ``wave_rows`` of them by id hash), so that each
     wave reads its own folder and every prompt is read once. A wave is called and
     appended to ``store`` (IO13), so a failure loses the answers of one wave at
-    most and calling again asks only for the rows still pending. At most
+    most and calling again asks only for the rows still pending. The state is written
+    after the last wave. A wave lies in as many files as it has tasks, so it is not shuffled. At most
     ``tasks x concurrency`` calls are in flight (``tasks``: the session's default
     parallelism unless given). A row that cannot be prompted is logged as a
     failed attempt.
@@ -141,23 +142,27 @@ def ask_pending(pairs: DataFrame, client_factory: Callable[[], object], store: s
             if len(pdf):
                 yield _call_rows(pdf.astype({"content": object}).where(pdf.notna(), None), client_of(), concurrency)
 
-    for prompts in prompt_waves(pairs, store, wave_rows):
-        # an explicit count: it bounds the calls in flight
-        append_chunk(prompts.repartition(tasks, "pair_id").mapInPandas(run, RESPONSE_SCHEMA), store)
+    # an explicit count: it bounds the calls in flight
+    append_chunks((prompts.coalesce(tasks).mapInPandas(run, RESPONSE_SCHEMA)
+                   for prompts in prompt_waves(pairs, store, wave_rows, tasks)), store)
 
 
-def prompt_waves(pairs: DataFrame, store: str, wave_rows: int) -> Iterator[DataFrame]:
-    """The prompts (pair_id, attempt, content) of the pending rows, wave by wave, each from a folder of its own."""
+def prompt_waves(pairs: DataFrame, store: str, wave_rows: int, parts: int = 1) -> Iterator[DataFrame]:
+    """The prompts (pair_id, attempt, content) of the pending rows, wave by wave, each from a folder of its own.
+
+    A wave lies in up to ``parts`` files, dealt by a hash of the id.
+    """
     spark = pairs.sparkSession
     keyed = pairs.withColumn("pair_id", F.col("pair_id").cast("string"))
     state = read_state(keyed.select("pair_id"), store)
     pending = keyed.join(state, "pair_id", "left").where(~F.coalesce("done", F.lit(False)))
     waves = max(1, math.ceil(pending.count() / wave_rows))
     wave = F.pmod(F.xxhash64("pair_id"), F.lit(waves)).alias("wave")
+    part = F.pmod(F.hash("pair_id"), F.lit(parts)).alias("part")
     prompts = api_prompts(pending).select(
-        "pair_id", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("attempt"), "content", wave)
+        "pair_id", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("attempt"), "content", wave, part)
     path = shared_dir(spark, "prompt_waves", unique=True)
-    (prompts if waves == 1 else prompts.repartition("wave")).write.partitionBy("wave").parquet(path)
+    prompts.repartition(waves * parts, "wave", "part").drop("part").write.partitionBy("wave").parquet(path)
     for k in range(waves):
         try:
             yield spark.read.schema("pair_id string, attempt int, content string").parquet(f"{path}/wave={k}")

@@ -16,6 +16,7 @@ from corefkit.functions.text import WS, hash_int, let, words
 
 # Fixed values of the fixture definition.
 PAIR_ID_BASE = 1_000_003  # pair_id = document id * base + line number; unique up to so many lines in a document
+TASKS_PER_CORE = 6  # so that the last tasks to end leave few cores idle
 RUN_EPOCH = "2024-01-01 00:00:00"
 
 PAIR_COLUMNS = [
@@ -76,8 +77,8 @@ def pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = docs.select("doc_id", "lang", first.alias("next")).select(
         (F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("next_lang"), "next")
     # Documents are dealt by id, so that the work per document runs in parallel even when the table is one
-    # file; AQE chooses the number of partitions.
-    docs = docs.repartition("doc_id").join(firsts, "doc_id", "left")
+    # file. AQE would make about as many partitions as cores, one more often, whose task then runs alone.
+    docs = docs.repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, "doc_id").join(firsts, "doc_id", "left")
     none = F.array().cast("array<struct<line:bigint,sentence:string,t_start:int,t_end:int,trig:string>>")
     after = F.when(F.col("next").isNotNull(), F.array("next")).otherwise(none)
     row = let(_mentions(F.col("doc_id")), lambda own: let(F.concat(own, after), lambda m: F.when(

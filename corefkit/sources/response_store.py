@@ -1,6 +1,6 @@
 """Store of collected responses (IO13): an append-only log and a compact state bucketed by id.
 
-``<path>/chunk-<number>/`` holds the attempts of one wave, one commit each, keyed by
+``<path>/chunk-<number>/`` holds the attempts of one wave, one commit each (the state is written once for the waves of a call), keyed by
 ``(pair_id, attempt)``. A retried wave only delivers rows again, which the merge
 (latest attempt per id) makes harmless.
 
@@ -12,14 +12,16 @@ ids reads at most about m * 2 * ``BUCKET_ROWS`` rows, however large the store is
 is written when the state has doubled, so over all waves each row is copied about
 twice.
 
-Every recorded chunk leaves an empty marker in the generation. A chunk without one (the driver was
-lost between the two commits) is recorded at the next lookup. One writer at a time.
+Every recorded chunk leaves an empty marker in the generation. Chunks without one (the driver was
+lost between the two commits) are recorded at the next lookup. One writer at a time.
 """
 
 from __future__ import annotations
 
 import re
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +35,25 @@ FIRST_BUCKETS = 16
 
 def append_chunk(df: DataFrame, path: str) -> None:
     """Commit one chunk of responses and record its ids in the state."""
-    spark = df.sparkSession
-    numbers = _chunks(spark, path)
-    number = max(numbers, default=-1) + 1
-    df.write.parquet(_chunk(path, number))
-    _record(spark, path, number)
+    append_chunks([df], path)
+
+
+def append_chunks(chunks: Iterable[DataFrame], path: str) -> None:
+    """Commit every chunk as it comes, and record the ids of all of them in the state after the last one.
+
+    The state is only read by lookups, so it is written once for them all: written after each chunk, every
+    chunk would add a file to every bucket. If a chunk fails, those before it are recorded at the next lookup.
+    """
+    spark, numbers = None, []
+    for df in chunks:
+        if spark is None:
+            spark = df.sparkSession
+            first = max(_chunks(spark, path), default=-1) + 1
+        number = first + len(numbers)
+        df.write.parquet(_chunk(path, number))
+        numbers.append(number)
+    if numbers:
+        _record(spark, path, numbers)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +72,9 @@ def read_state(ids: DataFrame, path: str) -> DataFrame:
     Only the numbers of the buckets that ``ids`` falls into come to the driver.
     """
     spark = ids.sparkSession
-    for number in sorted(set(_chunks(spark, path)) - set(_recorded(spark, path))):
-        _record(spark, path, number)
+    lost = sorted(set(_chunks(spark, path)) - set(_recorded(spark, path)))
+    if lost:
+        _record(spark, path, lost)
     found = _state_files(ids, path)
     if not found:
         return spark.createDataFrame([], "pair_id string, last int, done boolean")
@@ -141,9 +158,9 @@ def _write_state(rows: DataFrame, folder: str, buckets: int, mode: str) -> None:
      .write.mode(mode).partitionBy("bucket").parquet(folder))
 
 
-def _record(spark: SparkSession, path: str, number: int) -> None:
-    """Add a chunk's ids to the state; start a new generation when the buckets have grown too full."""
-    rows = spark.read.schema(RESPONSE_LOG_SCHEMA).parquet(_chunk(path, number)).select(
+def _record(spark: SparkSession, path: str, numbers: list[int]) -> None:
+    """Add the ids of chunks to the state; start a new generation when the buckets have grown too full."""
+    rows = spark.read.schema(RESPONSE_LOG_SCHEMA).parquet(*[_chunk(path, k) for k in numbers]).select(
         "pair_id", "attempt", F.col("reasoning_content").isNotNull().alias("done"))
     n = rows.count()
     now = _generation(spark, path)
@@ -153,8 +170,9 @@ def _record(spark: SparkSession, path: str, number: int) -> None:
     else:
         folder, buckets, first, before = now
         _write_state(rows, folder, buckets, "append")
-    fs, marker = _files(spark, f"{folder}/_recorded/{number}-{n}")
-    fs.create(marker, True).close()
+    for k in numbers:  # the first stands for the rows of all
+        fs, marker = _files(spark, f"{folder}/_recorded/{k}-{n if k == numbers[0] else 0}")
+        fs.create(marker, True).close()
     markers = _markers(spark, folder)
     total = before + sum(markers.values())
     whole = len(markers) + first == max(markers) + 1  # a new generation covers all chunks up to the last recorded

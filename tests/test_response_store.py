@@ -117,3 +117,23 @@ def test_stream_asks_new_rows_only(spark):
     assert asked == [n[0], n[0] + n[1], n[0] + n[1]]
     merged = collected_table(spark, pairs.where(part < 2).withColumn("pair_id", F.col("pair_id").cast("string")), f"{base}/store")
     assert merged.where("model_response is null").count() == 0
+
+
+def test_the_state_is_written_once_for_the_waves_of_a_call(spark, small_buckets, monkeypatch):
+    store, record, calls = shared_dir(spark, "test_waves", unique=True), RS._record, []
+    monkeypatch.setattr(RS, "_record", lambda *a: (calls.append(a), record(*a)))
+    pairs = fx.pairs(spark, SF_SMALL).where("pair_id % 5 = 0")
+    INF.ask_pending(pairs, lambda: stubs.HashStubClient(fail_mod=10**9), store, tasks=2, wave_rows=25)
+    assert len(RS._chunks(spark, store)) > 3 and set(RS._recorded(spark, store)) == set(RS._chunks(spark, store))
+    assert len(calls) == 1
+    state = RS.read_state(pairs.select(F.col("pair_id").cast("string")), store)
+    assert state.where("done and last = 1").count() == pairs.count()
+
+
+def test_waves_before_a_failed_one_are_recorded_at_the_next_lookup(spark):
+    store = shared_dir(spark, "test_failed_wave", unique=True)
+    bad = chunk(spark, ["c"]).withColumn("error", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception):
+        RS.append_chunks(iter([chunk(spark, ["a"]), chunk(spark, ["b"], 1, {"b"}), bad]), store)
+    got = {r.pair_id: (r.last, r.done) for r in RS.read_state(ids_frame(spark, ["a", "b", "c"]), store).collect()}
+    assert got == {"a": (1, True), "b": (1, False)}
