@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corefkit.functions.parse import tagged_answer
-from corefkit.functions.text import WS, hash_int, let, words
+from corefkit.functions.text import WS_CHARS, hash_int, let, words
 
 # Fixed values of the fixture definition.
 PAIR_ID_BASE = 1_000_003  # pair_id = document id * base + line number; unique up to so many lines in a document
@@ -72,7 +72,8 @@ def pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     # The first line with words, as the partner of the document before: it begins at the first character that is no blank.
-    start = words(F.substring_index(F.regexp_replace("text", f"^{WS}+", ""), "\n", 1))
+    # Only the start of a text is looked at, as this runs where the table is read, in one task if it is one row group.
+    start = words(F.substring_index(F.ltrim("text", F.lit(WS_CHARS)), "\n", 1))
     first = let(start, lambda w: F.when(F.size(w) > 0, _mention(w, F.col("doc_id"), F.lit(0))))
     firsts = docs.select("doc_id", "lang", first.alias("next")).select(
         (F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("next_lang"), "next")

@@ -2,6 +2,8 @@
 
 import re
 
+from corefkit.functions.text import WS_CHARS, strip
+from corefkit.plans import fixtures as fx
 from corefkit.registry import entries
 from tests.conftest import SF_SMALL
 
@@ -67,3 +69,17 @@ def test_staged_folders_can_be_cleared(spark, monkeypatch):
     assert session.clear_staged(spark) == 1 and session.clear_staged(spark) == 0
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
+
+
+def test_strip_runs_no_pattern_and_takes_every_blank(spark):
+    df = spark.createDataFrame([(f"{c}\t a{c}b \n{c}", f"a{c}b") for c in WS_CHARS], "s string, want string")
+    got = df.select(strip("s").alias("got"), "want")
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(WS_CHARS) == 29 and got.where("got <> want").count() == 0
+
+
+def test_documents_of_pairs_are_dealt_over_more_tasks_than_cores(spark):
+    rows = fx.pairs_wide(spark, SF_SMALL)
+    assert rows.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(text" not in plan  # where the table is read, whole texts meet no pattern
