@@ -260,7 +260,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
         move = np.linalg.solve(h, g)
         fall, share = float(g @ move), 1.0
-        if fall < 1e-9 * (1 + now):
+        if fall < 1e-14 * (1 + now):
             break
         while (then := loss(w - share * move)) > now - 1e-4 * share * fall and share > 1e-9:
             share /= 2
