@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corefkit.functions.text import WS, words
+from corefkit.functions.text import BLANK, words
 from corefkit.operators.metrics import encoder_eval
 from corefkit.operators.prompts import encoder_text
 from corefkit.session import staged
@@ -56,8 +56,8 @@ def vectors(df: DataFrame, keep: Sequence[str] = (), n_features: int = N_FEATURE
 
     The stages learn nothing, so every split gets its vectors in one pass of its own.
     """
-    tok_a = RegexTokenizer(inputCol="text_a", outputCol="tok_a", pattern=WS + "+", toLowercase=True)
-    tok_b = RegexTokenizer(inputCol="text_b", outputCol="tok_b", pattern=WS + "+", toLowercase=True)
+    tok_a = RegexTokenizer(inputCol="text_a", outputCol="tok_a", pattern=BLANK + "+", toLowercase=True)
+    tok_b = RegexTokenizer(inputCol="text_b", outputCol="tok_b", pattern=BLANK + "+", toLowercase=True)
     tf_a = HashingTF(inputCol="tok_a", outputCol="tf_a", numFeatures=n_features)
     tf_b = HashingTF(inputCol="tok_b", outputCol="tf_b", numFeatures=n_features)
     vec = VectorAssembler(inputCols=["tf_a", "tf_b", "f_same_trigger", "f_trigger_overlap", "f_jaccard",

@@ -2,7 +2,7 @@
 
 import re
 
-from corefkit.functions.text import WS, WS_CHARS, strip
+from corefkit.functions.text import BLANK, WS_CHARS, strip, words
 from corefkit.plans import fixtures as fx
 from corefkit.registry import entries
 from tests.conftest import SF_SMALL
@@ -85,6 +85,6 @@ def test_whole_texts_meet_no_pattern_where_the_table_is_read(spark):
 def test_the_class_of_blanks_is_few_tests_a_character_and_holds_the_29(spark):
     points = [chr(k) for k in range(0x110000) if not 0xD800 <= k <= 0xDFFF]
     df = spark.createDataFrame([("".join(points[k:k + 4096]),) for k in range(0, len(points), 4096)], "s string")
-    found = df.selectExpr("explode(regexp_extract_all(s, r'" + WS + "', 0)) AS c").collect()
+    found = df.selectExpr("explode(regexp_extract_all(s, r'" + BLANK + "', 0)) AS c").collect()
     assert sorted(r.c for r in found) == sorted(WS_CHARS) == sorted(c for c in points if c.isspace())
-    assert WS.count("\\") <= 5  # single characters of Latin-1 are one test, everything else is one each
+    assert BLANK in df.select(words("s"))._jdf.queryExecution().analyzed().toString()
