@@ -28,7 +28,8 @@ from corefkit.registry import register
                {d_words('text')}[1] first_word FROM documents"""), "S01")
 def q_word_tokens(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w"))
-    return d.select("doc_id", F.size("w").alias("n_words"), F.element_at("w", -1).alias("last_word"),
+    # get() gives NULL beyond the array; element_at() fails there in ANSI mode, and a blank text has no words
+    return d.select("doc_id", F.size("w").alias("n_words"), F.get("w", F.size("w") - 1).alias("last_word"),
                     F.get("w", 0).alias("first_word"))
 
 
