@@ -14,23 +14,21 @@ latest successful attempt, which makes re-delivery harmless.
 from __future__ import annotations
 
 import asyncio
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corefkit.functions.text import _c
 from corefkit.functions.vectors import argmax, softmax
 from corefkit.operators.joins import RESPONSE_COLUMNS, merge_responses
-from corefkit.operators.prompts import api_prompts
+from corefkit.operators.prompts import PROMPT_INPUTS, api_prompts
 from corefkit.operators.sampling import row_range
 from corefkit.operators.workers import once_per_worker
-from corefkit.session import shared_dir, staged
-from corefkit.sources.response_store import append_chunks, read_log, read_state
+from corefkit.session import COMPACT, delete, groups_of, shared_dir, shuffles_dropped, staged
+from corefkit.sources.response_store import append_chunks, is_started, read_log, read_state
 
 
 def _chunks(pdf: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
@@ -123,12 +121,13 @@ def ask_pending(pairs: DataFrame, client_factory: Callable[[], object], store: s
     """INF3 ask for every row of ``pairs`` that has no successful reasoning in ``store`` yet, in waves.
 
     Pending = not done in the store's state, of which only the buckets of these ids
-    are read (P5 as an anti join on one row per id). The prompts of the pending rows
-    are written once, partitioned by wave (about ``wave_rows`` of them by id hash), so that each
-    wave reads its own folder and every prompt is read once. A wave is called and
+    are read (P5 as an anti join on one row per id). ``pairs`` is read once: what its prompts are made
+    from is written where it is read, in files of at most ``wave_rows / tasks`` rows, and a wave is so many
+    files that about ``wave_rows`` of their rows are pending. So no text is shuffled, each row is
+    read once and only pending ones get a prompt, and nothing but ids is joined with the state. A wave is called and
     appended to ``store`` (IO13), so a failure loses the answers of one wave at
     most and calling again asks only for the rows still pending. The state is written
-    after the last wave. A wave lies in as many files as it has tasks, so it is not shuffled. At most
+    after the last wave, and the files of the waves are deleted. At most
     ``tasks x concurrency`` calls are in flight (``tasks``: the session's default
     parallelism unless given). A row that cannot be prompted is logged as a
     failed attempt.
@@ -142,42 +141,63 @@ def ask_pending(pairs: DataFrame, client_factory: Callable[[], object], store: s
             if len(pdf):
                 yield _call_rows(pdf.astype({"content": object}).where(pdf.notna(), None), client_of(), concurrency)
 
-    # an explicit count: it bounds the calls in flight
-    append_chunks((prompts.coalesce(tasks).mapInPandas(run, RESPONSE_SCHEMA)
-                   for prompts in prompt_waves(pairs, store, wave_rows, tasks)), store)
+    path = shared_dir(spark, "prompt_waves", unique=True)
+    try:
+        # an explicit count: it bounds the calls in flight
+        append_chunks((prompts.coalesce(tasks).mapInPandas(run, RESPONSE_SCHEMA)
+                       for prompts in prompt_waves(pairs, store, wave_rows, tasks, path)), store)
+    finally:
+        delete(spark, path)
 
 
-def prompt_waves(pairs: DataFrame, store: str, wave_rows: int, parts: int = 1) -> Iterator[DataFrame]:
-    """The prompts (pair_id, attempt, content) of the pending rows, wave by wave, each from a folder of its own.
+def prompt_waves(pairs: DataFrame, store: str, wave_rows: int, parts: int = 1, path: str | None = None) -> Iterator[DataFrame]:
+    """The prompts (pair_id, attempt, content) of the pending rows, wave by wave, each from files of its own.
 
-    A wave lies in up to ``parts`` files, dealt by a hash of the id.
+    The rows are written to ``path`` with at most ``wave_rows / parts`` in a file. Only the names of the files and their
+    counts of pending rows come to the driver; the pending ids of a wave are sent to its rows.
     """
     spark = pairs.sparkSession
-    keyed = pairs.withColumn("pair_id", F.col("pair_id").cast("string"))
-    state = read_state(keyed.select("pair_id"), store)
-    pending = keyed.join(state, "pair_id", "left").where(~F.coalesce("done", F.lit(False)))
-    waves = max(1, math.ceil(pending.count() / wave_rows))
-    wave = F.pmod(F.xxhash64("pair_id"), F.lit(waves)).alias("wave")
-    part = F.pmod(F.hash("pair_id"), F.lit(parts)).alias("part")
-    prompts = api_prompts(pending).select(
-        "pair_id", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("attempt"), "content", wave, part)
-    path = shared_dir(spark, "prompt_waves", unique=True)
-    prompts.repartition(waves * parts, "wave", "part").drop("part").write.partitionBy("wave").parquet(path)
-    for k in range(waves):
-        try:
-            yield spark.read.schema("pair_id string, attempt int, content string").parquet(f"{path}/wave={k}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":  # no pending row has this hash
-                raise
+    path = path or shared_dir(spark, "prompt_waves", unique=True)
+    inputs, folder = pairs.select(F.col("pair_id").cast("string").alias("pair_id"), *PROMPT_INPUTS), f"{path}/rows"
+    with shuffles_dropped(spark):
+        inputs.write.option("compression", COMPACT).option("maxRecordsPerFile", max(1, wave_rows // parts)).parquet(folder)
+    ids = spark.read.schema(inputs.schema).parquet(folder).select("pair_id", F.col("_metadata.file_name").alias("file"))
+    pending = _pending(ids, store, f"{path}/pending") if is_started(spark, store) else None
+    counts = (ids if pending is None else pending).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()
+    for files in groups_of({r["file"]: r["n"] for r in counts}, wave_rows):
+        rows = spark.read.schema(inputs.schema).parquet(*[f"{folder}/{f}" for f in files])
+        if pending is None:
+            rows = rows.withColumn("attempt", F.lit(1))
+        else:
+            asked = spark.read.schema("pair_id string, attempt int").parquet(*[f"{path}/pending/file={f}" for f in files])
+            asked = asked.select(F.col("pair_id").alias("_id"), "attempt").distinct()
+            # about wave_rows ids at most, so that they can be sent whatever the size of the table; an id may be NULL
+            rows = rows.join(F.broadcast(asked), F.col("pair_id").eqNullSafe(F.col("_id")))
+        yield api_prompts(rows).select("pair_id", "attempt", "content")
+
+
+def _pending(ids: DataFrame, store: str, path: str) -> DataFrame:
+    """The ids (pair_id, file) that are not done, with their next attempt, written by file to ``path``."""
+    spark = ids.sparkSession
+    state = read_state(ids.select("pair_id"), store)
+    pending = ids.join(state, "pair_id", "left").where(~F.coalesce("done", F.lit(False))).select(
+        "file", "pair_id", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("attempt"))
+    with shuffles_dropped(spark):
+        pending.repartition("file").write.partitionBy("file").parquet(path)
+    return spark.read.schema("pair_id string, attempt int, file string").parquet(path)
 
 
 def collect_responses(pairs: DataFrame, client_factory: Callable[[], object], store: str,
                       start: int = 0, end: int = -1, concurrency: int = 50,
                       tasks: int | None = None, wave_rows: int = 50_000) -> DataFrame:
-    """INF3 resumable collection of the rows from ``start`` to ``end``: :func:`ask_pending`, then the merged table."""
-    rows = row_range(pairs, start, end) if (start, end) != (0, -1) else pairs
-    key = staged(rows.withColumn("pair_id", F.col("pair_id").cast("string")), "collect_rows")
-    ask_pending(key, client_factory, store, concurrency, tasks, wave_rows)
+    """INF3 resumable collection of the rows from ``start`` to ``end``: :func:`ask_pending`, then the merged table.
+
+    ``pairs`` is read for its prompts and again by the merged table, which is lazy and no copy of it: a table that is
+    costly to derive, or not the same each time, is best written first (:func:`corefkit.session.staged`).
+    """
+    rows = pairs if (start, end) == (0, -1) else staged(row_range(pairs, start, end), "collect_rows", compact=True)
+    ask_pending(rows, client_factory, store, concurrency, tasks, wave_rows)
+    key = rows.withColumn("pair_id", F.col("pair_id").cast("string"))
     return merge_responses(key, read_log(pairs.sparkSession, store))
 
 

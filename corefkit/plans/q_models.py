@@ -143,7 +143,7 @@ def _collect_sql(fail_once: bool = False) -> str:
 @register("collect_responses", oracle(_collect_sql(), PM_CTE), "INF3", "IO13", "P5", "J3", "M4")
 def q_collect_responses(spark, sf_dir):
     store = shared_dir(spark, "responses", unique=True)
-    p = fx.pairs(spark, sf_dir)
+    p = staged(fx.pairs(spark, sf_dir), "pairs", compact=True)
     merged = INF.collect_responses(p, lambda: stubs.HashStubClient(fail_mod=11), store, concurrency=50)
     return merged.select("pair_id", "label", "model_response", "reasoning_content")
 
@@ -163,7 +163,7 @@ def q_collect_resume(spark, sf_dir):
     from corefkit.sources.response_store import read_log
 
     store = shared_dir(spark, "responses_resume", unique=True)
-    p = fx.pairs(spark, sf_dir)
+    p = staged(fx.pairs(spark, sf_dir), "pairs", compact=True)
 
     def factory():
         return stubs.HashStubClient(fail_mod=11, fail_once=True)

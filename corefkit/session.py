@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,17 +62,73 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = False) -> str:
 
 
 _STAGED: list[str] = []
+#: Codec of large intermediate files: about two thirds of the bytes of Spark's default for text.
+COMPACT = "zstd"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files as they end, and not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def staged(df: DataFrame | Iterable[DataFrame], name: str, compact: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, whoever reads it, and safe from lost executors.
 
-    The folder stays until :func:`clear_staged`, since lazy results read it.
+    Several frames of one schema are written one after another, to one table.
+
+    The folder stays until :func:`clear_staged` or the end of a :func:`scratch`, since lazy results read it. ``compact``
+    is for whole tables of text: written with :data:`COMPACT`, and the shuffles behind them do not stay beside them.
     """
-    path = shared_dir(df.sparkSession, "staged", name, unique=True)
-    _STAGED.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = None
+    for part in [df] if isinstance(df, DataFrame) else df:
+        spark, schema = part.sparkSession, part.schema
+        if path is None:
+            path = shared_dir(spark, "staged", name, unique=True)
+            _STAGED.append(path)
+        if compact:
+            with shuffles_dropped(spark):
+                part.write.mode("append").option("compression", COMPACT).parquet(path)
+        else:
+            part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Deletes the folders that :func:`staged` writes inside, but for those whose names are put into the set it gives."""
+    before, kept = set(_STAGED), set()
+    try:
+        yield kept
+    finally:
+        for path in [p for p in _STAGED if p not in before and p.split("/")[-2] not in kept]:
+            _STAGED.remove(path)
+            delete(spark, path)
+
+
+def groups_of(counts: Mapping, most: int) -> Iterator[list]:
+    """The keys of ``counts`` in order, in groups whose counts add up to ``most`` at most; a larger one stands alone."""
+    group, total = [], 0
+    for key in sorted(counts):
+        if group and total + counts[key] > most:
+            yield group
+            group, total = [], 0
+        group.append(key)
+        total += counts[key]
+    if group:
+        yield group
 
 
 def clear_staged(spark: SparkSession) -> int:
@@ -80,6 +138,5 @@ def clear_staged(spark: SparkSession) -> int:
     """
     n = len(_STAGED)
     while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _STAGED.pop())
     return n

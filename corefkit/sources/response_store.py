@@ -66,6 +66,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], RESPONSE_LOG_SCHEMA)
 
 
+def is_started(spark: SparkSession, path: str) -> bool:
+    """Whether anything was collected yet."""
+    return bool(_chunks(spark, path))
+
+
 def read_state(ids: DataFrame, path: str) -> DataFrame:
     """pair_id, last (attempt) and done of the ids' buckets: at least of every id that was asked.
 

@@ -1,5 +1,6 @@
 """The response store: its bucketed state, recovery between commits, and what a lookup reads."""
 
+import os
 import random
 
 import pytest
@@ -137,3 +138,34 @@ def test_waves_before_a_failed_one_are_recorded_at_the_next_lookup(spark):
         RS.append_chunks(iter([chunk(spark, ["a"]), chunk(spark, ["b"], 1, {"b"}), bad]), store)
     got = {r.pair_id: (r.last, r.done) for r in RS.read_state(ids_frame(spark, ["a", "b", "c"]), store).collect()}
     assert got == {"a": (1, True), "b": (1, False)}
+
+
+def own_pairs(spark, ids):
+    rows = [(k, f"Sentence {n} has words", 1, 1, str(n), "Another sentence", 0, 0, "Another", n % 2) for n, k in enumerate(ids)]
+    return spark.createDataFrame(rows, "pair_id long, sentence1 string, e1_trigger_start int, e1_trigger_end int, e1_trigger string, "
+                                 "sentence2 string, e2_trigger_start int, e2_trigger_end int, e2_trigger string, label int")
+
+
+def files_below(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names}
+
+
+def test_a_call_leaves_nothing_but_the_store(spark):
+    base = shared_dir(spark)
+    pairs = own_pairs(spark, range(60)).repartition(3)
+    before = files_below(base)
+    for client in (lambda: stubs.HashStubClient(fail_mod=3, fail_once=True),) * 2:
+        merged = INF.collect_responses(pairs, client, f"{base}/test_leaves_nothing", tasks=2, wave_rows=20)
+    assert merged.where("reasoning_content is null").count() == 0
+    left = files_below(base) - before
+    assert left and all(f.startswith(f"{base}/test_leaves_nothing/") for f in left)
+
+
+def test_repeated_and_null_ids_are_asked_as_often_as_they_come(spark):
+    store = shared_dir(spark, "test_repeated_ids", unique=True)
+    pairs = own_pairs(spark, [1, 2, 2, 3, 3, 3, None, None]).repartition(4)
+    RS.append_chunk(chunk(spark, ["1", "3"], 1, {"3"}), store)
+    waves = [[(r.pair_id, r.attempt) for r in w.collect()] for w in INF.prompt_waves(pairs, store, wave_rows=3)]
+    assert len(waves) > 1
+    got = sorted((x for w in waves for x in w), key=str)
+    assert got == sorted([("2", 1)] * 2 + [("3", 2)] * 3 + [(None, 1)] * 2, key=str)
