@@ -22,7 +22,7 @@ from corefkit.plans.q_prompts import (
     _SPLIT_PM_CTE, PM_CTE, SYSTEM_SQL, _encode_sql, cat, lit_sql, turn_sql, user_prompt_sql,
 )
 from corefkit.registry import register
-from corefkit.session import shared_dir, staged
+from corefkit.session import COMPACT, shared_dir, shuffles_dropped, staged
 from corefkit.sources import tables as T
 
 
@@ -211,7 +211,8 @@ def q_collect_stream(spark, sf_dir):
 
     base = shared_dir(spark, "stream", unique=True)
     p = fx.pairs(spark, sf_dir)
-    p.write.mode("overwrite").parquet(f"{base}/pairs")
+    with shuffles_dropped(spark):
+        p.write.mode("overwrite").option("compression", COMPACT).parquet(f"{base}/pairs")
     collect_stream(spark, f"{base}/pairs", p.schema, lambda: stubs.HashStubClient(fail_mod=11),
                    f"{base}/responses", f"{base}/checkpoint")
     pairs = spark.read.parquet(f"{base}/pairs").select(F.col("pair_id").cast("string").alias("pair_id"), "label")

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corefkit.operators.inference import ask_pending
 from corefkit.operators.joins import merge_responses
-from corefkit.session import staged
 from corefkit.sources.response_store import read_log
 
 
@@ -31,8 +30,8 @@ def collect_stream(spark: SparkSession, pairs_dir: str, schema, client_factory:
     stream = reader.parquet(pairs_dir)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        # read by the lookup of its buckets, the count of its waves and the prompts: written once
-        ask_pending(staged(batch, "micro_batch"), client_factory, store, concurrency)
+        # read once, for its prompts, so it needs no copy
+        ask_pending(batch, client_factory, store, concurrency)
 
     q = (stream.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint)

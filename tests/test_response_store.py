@@ -161,6 +161,17 @@ def test_a_call_leaves_nothing_but_the_store(spark):
     assert left and all(f.startswith(f"{base}/test_leaves_nothing/") for f in left)
 
 
+def test_a_micro_batch_is_not_copied(spark):
+    base = shared_dir(spark, "test_no_copy", unique=True)
+    own_pairs(spark, range(60)).write.parquet(f"{base}/pairs")
+    before = files_below(shared_dir(spark))
+    collect_stream(spark, f"{base}/pairs", own_pairs(spark, []).schema, lambda: stubs.HashStubClient(fail_mod=10**9), f"{base}/store",
+                   f"{base}/checkpoint")
+    assert RS.read_log(spark, f"{base}/store").count() == 60
+    left = files_below(shared_dir(spark)) - before
+    assert left and all(f.startswith((f"{base}/store/", f"{base}/checkpoint/")) for f in left)
+
+
 def test_repeated_and_null_ids_are_asked_as_often_as_they_come(spark):
     store = shared_dir(spark, "test_repeated_ids", unique=True)
     pairs = own_pairs(spark, [1, 2, 2, 3, 3, 3, None, None]).repartition(4)
