@@ -44,7 +44,7 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, salt: str | None = None,
 
 def _ranked(df: DataFrame, seed: int, salt: str | None, id_col: str) -> DataFrame:
     """The rows with their keys ``_rk``, written once."""
-    return staged(df.withColumn("_rk", rank_key(id_col, seed, salt)), "ranked_rows")
+    return staged(df.withColumn("_rk", rank_key(id_col, seed, salt)), "ranked_rows", compact=True)
 
 
 def _drawn(rows: DataFrame, n: int, id_col: str, strict: bool = False) -> Column:
@@ -136,7 +136,7 @@ def unique_sample(df: DataFrame, n: int, seed: int = 42, label: str = "label",
     input is written once; the draws per sentence carry ids only.
     """
     data_cols = list(data_cols or [c for c in df.columns if c != id_col])
-    rows = staged(df.withColumn("_first", rank_number(id_col, seed, "shuffle")), "diversity_input")
+    rows = staged(df.withColumn("_first", rank_number(id_col, seed, "shuffle")), "diversity_input", compact=True)
     u1, u2 = (sample_n(_firsts(rows, key).select(id_col), n, seed, salt, id_col)
               for key, salt in (("sentence1", "s1"), ("sentence2", "s2")))
     rows = rows.drop("_first")

@@ -21,7 +21,7 @@ from corefkit.plans.q_prompts import PM_CTE, _SPLIT_PM_CTE, _encode_sql
 from corefkit.plans.q_reports import _RUN_COLS
 from corefkit.plans.q_sampling import N_NEGATIVE, N_UNIQUE, SEED, rk
 from corefkit.registry import register
-from corefkit.session import shared_dir, staged
+from corefkit.session import COMPACT, delete, scratch, shared_dir, shuffles_dropped, staged
 from corefkit.sources import documents as D
 from corefkit.sources import raw_pairs as RP
 from corefkit.sources import tables as T
@@ -34,7 +34,8 @@ def _raw_splits(spark, sf_dir) -> str:
     wide = fx.pairs_wide(spark, sf_dir).withColumn("split", fx.split_of(F.col("pair_id")))
     ids = [F.when(F.col("split") == "test", F.col(c).cast("string")) for c in ("doc1", "doc2")]
     path = shared_dir(spark, "raw_splits", unique=True)
-    wide.select(F.concat_ws("\t", *ids, *fx.raw_fields(wide)).alias("value"), "split").write.partitionBy("split").text(path)
+    wide.select(F.concat_ws("\t", *ids, *fx.raw_fields(wide)).alias("value"), "split").write.option(
+        "compression", "lz4").partitionBy("split").text(path)
     return path
 
 
@@ -65,12 +66,20 @@ def q_preprocess_splits_flow(spark, sf_dir):
     """E1 whole: train, dev and test from raw lines in one pass, the balanced train set and its diversity sample, each
     saved, with the statistics of every saved stage from one aggregate over all of them."""
     base = shared_dir(spark, "preprocess_splits", unique=True)
-    T.write_splits(RP.read_raw_splits(spark, _raw_splits(spark, sf_dir)), f"{base}/splits")
-    splits = T.load_splits(spark, f"{base}/splits")
-    train = splits.where(F.col("split") == "train").drop("split")
-    S.balanced(train, N_NEGATIVE, SEED).drop("shuffle_key").write.parquet(f"{base}/balanced")
-    balanced = spark.read.parquet(f"{base}/balanced")
-    S.unique_sample(balanced, N_UNIQUE, SEED).write.parquet(f"{base}/sample")
+    # what a step has staged or shuffled is deleted when its result is saved
+    with shuffles_dropped(spark):
+        with scratch(spark):
+            raw = _raw_splits(spark, sf_dir)
+            pairs = RP.read_raw_splits(spark, raw)
+            delete(spark, raw)  # its lines are staged with their ids
+            T.write_splits(pairs, f"{base}/splits")
+        splits = T.load_splits(spark, f"{base}/splits")
+        train = splits.where(F.col("split") == "train").drop("split")
+        with scratch(spark):
+            S.balanced(train, N_NEGATIVE, SEED).drop("shuffle_key").write.option("compression", COMPACT).parquet(f"{base}/balanced")
+        balanced = spark.read.parquet(f"{base}/balanced")
+        with scratch(spark):
+            S.unique_sample(balanced, N_UNIQUE, SEED).write.parquet(f"{base}/sample")
     columns = ["stage", "sentence1", "sentence2", "label"]
     saved = splits.withColumnRenamed("split", "stage").select(columns).unionByName(
         balanced.withColumn("stage", F.lit("balanced")).select(columns))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corefkit.functions.spans import with_triggers
 from corefkit.functions.text import let, strip
-from corefkit.session import staged
+from corefkit.session import groups_of, scratch, staged
 
 # The positional field names of the raw pair format.
 RAW_FIELDS = [
@@ -38,6 +38,10 @@ REQUIRED_INT = ["e1_trigger_start", "e1_trigger_end", "e2_trigger_start", "e2_tr
 OPTIONAL_INT = [f for f in RAW_FIELDS if f.endswith(("_start", "_end")) and f not in REQUIRED_INT]
 
 
+#: Offsets that are sent to all tasks at once (about 10 MB).
+OFFSETS_SENT = 1 << 18
+
+
 def field_names(with_ids: bool) -> list[str]:
     return (ID_FIELDS if with_ids else []) + RAW_FIELDS
 
@@ -47,22 +51,45 @@ def assign_pair_ids(lines: DataFrame, col: str = "value", by: Sequence[str] = ()
 
     Identical lines are identical rows, so any numbering of them gives the
     same set of (id, line). Lines stay where they are read: a task numbers the copies of
-    each line in its partition and writes them out with that number. Counts per (hash,
+    each line in its partition and writes them out with that number; ``lines`` is not read after that. Counts per (hash,
     partition) give each partition its offset; only hashes are shuffled for it. Offsets above
-    0, of lines with copies in several partitions, then meet the lines; Spark sends them to
-    the lines if their written size is below its broadcast limit, and joins by shuffle beyond.
+    0, of lines with copies in several partitions, then are sent to the lines: all at once if they are few, else
+    to the files of some partitions after another (:func:`_offset_by_files`). The lines are never shuffled.
     """
-    keyed = lines.select(*by, F.md5(col).alias("_h"), F.spark_partition_id().alias("_part"),
-                         F.md5(F.concat_ws("\x00", *[F.col(c) for c in by], F.md5(col))).alias("_k") if by else F.md5(col).alias("_k"),
-                         F.col(col).alias("_line"))
+    spark = lines.sparkSession
+    key = F.md5(F.concat_ws("\x00", *[F.col(c) for c in by], F.md5(col))) if by else F.md5(col)
+    keyed = lines.select(*by, F.spark_partition_id().alias("_part"), F.unhex(key).alias("_k"), F.col(col).alias("_line"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields)
-    rows = staged(keyed.mapInArrow(_number_copies, f"{fields}, _ord long"), "raw_lines")
-    counts = rows.groupBy("_k", "_part").agg((F.max("_ord") + 1).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_k").orderBy("_part")) - F.col("_n")
-    offsets = staged(counts.select("_k", "_part", before.alias("_off")).where("_off > 0"), "raw_offsets")
+    with scratch(spark) as kept:
+        rows = staged(keyed.mapInArrow(_number_copies, f"{fields}, _ord long"), "raw_lines", compact=True)
+        counts = rows.groupBy("_k", "_part").agg((F.max("_ord") + 1).alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy("_k").orderBy("_part")) - F.col("_n")
+        offsets = staged(counts.select("_k", "_part", before.alias("_off")).where("_off > 0"), "raw_offsets", compact=True)
+        if offsets.count() <= OFFSETS_SENT:
+            numbered = rows.join(F.broadcast(offsets), ["_k", "_part"], "left").drop("_k", "_part")
+            kept.update(("raw_lines", "raw_offsets"))
+        else:
+            numbered = staged(_offset_by_files(rows, offsets), "raw_numbered", compact=True)
+            kept.add("raw_numbered")
     number = (F.coalesce("_off", F.lit(0)) + F.col("_ord")).cast("string")
-    return rows.join(offsets, ["_k", "_part"], "left").select(
-        F.concat("_h", F.lit(":"), number).alias("pair_id"), *by, F.col("_line").alias(col))
+    return numbered.select(F.concat(F.md5("_line"), F.lit(":"), number).alias("pair_id"), *by, F.col("_line").alias(col))
+
+
+def _offset_by_files(rows: DataFrame, offsets: DataFrame) -> Iterator[DataFrame]:
+    """``rows`` with their ``_off``, the files of some partitions at a time, with at most ``OFFSETS_SENT`` offsets.
+
+    A file of ``rows`` holds rows of one partition. Only names and counts of files come to the driver.
+    """
+    name = F.col("_metadata.file_name")
+    files = {r["_part"]: r["names"] for r in rows.select("_part", name.alias("name")).groupBy("_part").agg(
+        F.collect_set("name").alias("names")).collect()}
+    counts = {r["_part"]: r["n"] for r in offsets.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # in order of partitions, so that each step reads the offsets of its own
+    offsets = staged(offsets.repartitionByRange("_part").sortWithinPartitions("_part"), "raw_offsets", compact=True)
+    for parts in groups_of({p: counts.get(p, 0) for p in files}, OFFSETS_SENT):
+        own = offsets.where(F.col("_part").between(parts[0], parts[-1]))
+        lines = rows.where(name.isin([f for p in parts for f in files[p]]))
+        yield lines.join(F.broadcast(own), ["_k", "_part"], "left").drop("_k", "_part")
 
 
 def _number_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corefkit.session import COMPACT
 from corefkit.sources.csv_records import read_records
 
 # Quote and escape are both '"' so quotes and newlines inside text survive;
@@ -37,7 +38,7 @@ def read_pairs_csv(spark: SparkSession, path: str | list[str], schema: StructTyp
 
 def write_splits(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
     """Write a pair table partitioned by split, so reading one split prunes the others."""
-    df.write.mode(mode).partitionBy(split_col).parquet(path)
+    df.write.mode(mode).option("compression", COMPACT).partitionBy(split_col).parquet(path)
 
 
 def load_splits(spark: SparkSession, path: str, splits: tuple[str, ...] = SPLITS,

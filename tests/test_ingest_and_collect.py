@@ -1,11 +1,16 @@
 """Raw ingest semantics and resumable collection."""
 
+import collections
+import hashlib
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from corefkit.operators import inference as INF
 from corefkit.plans import stubs
 from corefkit.plans import fixtures as fx
+from corefkit.registry import entries
 from corefkit.session import shared_dir
 from corefkit.sources import raw_pairs as RP
 from corefkit.sources.response_store import read_log
@@ -117,3 +122,25 @@ def test_hot_raw_line_is_spread(spark):
     sizes = [r["count"] for r in got.groupBy("task").count().collect()]
     assert max(sizes) <= 2.5 * 30_000 / 8
     assert glob.glob(f"{out}/*.parquet")
+
+
+def test_offsets_sent_by_files_give_the_same_ids(spark, monkeypatch):
+    rows = [("train" if k % 3 else "dev", f"line {k % 17}") for k in range(600)]
+    lines = spark.createDataFrame(rows, "split string, value string").repartition(6).persist()
+    want = {(f"{hashlib.md5(v.encode()).hexdigest()}:{n}", s, v) for (s, v), c in collections.Counter(rows).items() for n in range(c)}
+    for most in (10**9, 20):  # all offsets at once, and those of one partition after another
+        monkeypatch.setattr(RP, "OFFSETS_SENT", most)
+        ids = RP.assign_pair_ids(lines, by=["split"])
+        plan = ids._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan, plan  # no line is shuffled
+        got = [tuple(r) for r in ids.select("pair_id", "split", "value").collect()]
+        assert len(got) == len(rows) and set(got) == want
+
+
+def test_preprocess_splits_flow_keeps_only_what_it_saves(spark):
+    base = shared_dir(spark)
+    before = {os.path.join(d, f) for d, _, names in os.walk(base) for f in names}
+    made = entries()["preprocess_splits_flow"].fn(spark, SF_SMALL)
+    left = {os.path.join(d, f) for d, _, names in os.walk(base) for f in names} - before
+    assert left and all("/preprocess_splits/" in f for f in left)
+    assert {r.stage for r in made.collect()} == {"train", "dev", "test", "balanced", "sample"}
