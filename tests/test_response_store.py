@@ -151,14 +151,14 @@ def files_below(path):
 
 
 def test_a_call_leaves_nothing_but_the_store(spark):
-    base = shared_dir(spark)
+    base, store = shared_dir(spark), shared_dir(spark, "test_leaves_nothing", unique=True)
     pairs = own_pairs(spark, range(60)).repartition(3)
     before = files_below(base)
     for client in (lambda: stubs.HashStubClient(fail_mod=3, fail_once=True),) * 2:
-        merged = INF.collect_responses(pairs, client, f"{base}/test_leaves_nothing", tasks=2, wave_rows=20)
+        merged = INF.collect_responses(pairs, client, store, tasks=2, wave_rows=20)
     assert merged.where("reasoning_content is null").count() == 0
     left = files_below(base) - before
-    assert left and all(f.startswith(f"{base}/test_leaves_nothing/") for f in left)
+    assert left and all(f.startswith(f"{store}/") for f in left)
 
 
 def test_a_micro_batch_is_not_copied(spark):
